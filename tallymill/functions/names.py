@@ -102,17 +102,23 @@ def rule_ladder(text: Column, rules: Sequence[tuple[str, str]], default) -> Colu
 
 
 def canonical_type(name: Column) -> Column:
-    """Experiment type of a run name; NULL and unmatched names give ``unknown``."""
-    text = F.lower(name)
-    bare = F.exists(F.split(text, "__"), lambda s: (s == "bare") | s.startswith("bare_"))
-    unbalanced = text.contains("unbalanced")
-    return (
-        F.when(name.isNull(), "unknown")
-        .when(bare & unbalanced, "unbalanced-bare")
-        .when(bare, "bare")
-        .when(unbalanced, F.concat(F.lit("unbalanced-"), rule_ladder(text, SECONDARY_RULES, "noaug")))
-        .otherwise(rule_ladder(text, TYPE_RULES, "unknown"))
-    )
+    """Experiment type of a run name; NULL and unmatched names give ``unknown``.
+
+    The ladder is evaluated on a lambda variable, so the name is lower-cased once and the long
+    chain of tests short-circuits without a large generated method.
+    """
+
+    def classify(text):
+        bare = F.exists(F.split(text, "__"), lambda s: (s == "bare") | s.startswith("bare_"))
+        unbalanced = text.contains("unbalanced")
+        return (
+            F.when(bare & unbalanced, "unbalanced-bare")
+            .when(bare, "bare")
+            .when(unbalanced, F.concat(F.lit("unbalanced-"), rule_ladder(text, SECONDARY_RULES, "noaug")))
+            .otherwise(rule_ladder(text, TYPE_RULES, "unknown"))
+        )
+
+    return F.coalesce(F.get(F.transform(F.array(F.lower(name)), classify), 0), F.lit("unknown"))
 
 
 def is_long_horizon(name: Column) -> Column:
