@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallymill.hashing import md5_key, uniform
+from tallymill.hashing import md5_key, uniform, unit_from_hex
 from tallymill.plans.indexing import Order, Running, by_number, indexed, running
 
 
@@ -19,25 +19,28 @@ def level_weights(k: int, seed: int, epoch: int, level: Column, alpha: float | C
     normalised ``-ln(u)`` of hash uniforms, a plain Column; other values take
     seeded gamma draws in an Arrow-batched function.
     """
-    slots = range(k)
+    equal = F.array(*[F.lit(1.0 / k)] * k)
+    key = md5_key(seed, epoch, "weights", level)
     if isinstance(alpha, Column):
-        raw = F.when(alpha <= 0, F.array(*[F.lit(1.0)] * k)).otherwise(_gamma_draws(k, md5_key(seed, epoch, "weights", level), alpha))
-    elif alpha <= 0:
-        raw = F.array(*[F.lit(1.0)] * k)
-    elif alpha == 1:
-        raw = F.array(*[-F.ln(uniform(seed, epoch, "weights", level, j) + 1e-12) for j in slots])
-    else:
-        raw = _gamma_draws(k, md5_key(seed, epoch, "weights", level), F.lit(float(alpha)))
-    ordered = F.array_sort(raw)
+        return F.when(alpha <= 0, equal).otherwise(_dirichlet(k, key, alpha))
+    if alpha <= 0:
+        return equal
+    if alpha != 1:
+        return _dirichlet(k, key, F.lit(float(alpha)))
+    ordered = F.array_sort(F.array(*[-F.ln(uniform(seed, epoch, "weights", level, j) + 1e-12) for j in range(k)]))
     return F.transform(ordered, lambda w: w / F.aggregate(ordered, F.lit(0.0), lambda acc, x: acc + x))
 
 
-def _gamma_draws(k: int, key: Column, alpha: Column) -> Column:
+def _dirichlet(k: int, key: Column, alpha: Column, ascending: bool = True) -> Column:
+    """A seeded symmetric Dirichlet draw per hex key."""
+
     @F.pandas_udf("array<double>")
     def draws(keys: pd.Series, alphas: pd.Series) -> pd.Series:
         def one(hex_key, a):
             rng = np.random.default_rng(int(hex_key[:16], 16))
-            return np.maximum(rng.gamma(max(a, 1e-6), size=k), 1e-300)
+            gammas = np.maximum(rng.gamma(max(a, 1e-6), size=k), 1e-300)
+            shares = gammas / gammas.sum()
+            return np.sort(shares) if ascending else shares
 
         return pd.Series([one(h, a) for h, a in zip(keys, alphas)])
 
@@ -45,11 +48,10 @@ def _gamma_draws(k: int, key: Column, alpha: Column) -> Column:
 
 
 def beta_draw(key: Column, alpha: float) -> Column:
-    """Symmetric Beta draw for a hex key: uniform for ``alpha = 1``, else seeded in an Arrow-batched function."""
+    """Symmetric Beta draw for a hex key: uniform for ``alpha = 1``, else the first share of a two-way draw."""
     if alpha == 1:
-        return F.conv(F.substring(key, 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
-    pair = _gamma_draws(2, key, F.lit(float(alpha)))
-    return pair[0] / (pair[0] + pair[1])
+        return unit_from_hex(key)
+    return _dirichlet(2, key, F.lit(float(alpha)), ascending=False)[0]
 
 
 def mix_groups(schedule: DataFrame, label: str, key: str, k: int, weights: Column, seed: int, epoch: int) -> DataFrame:

@@ -107,8 +107,9 @@ def with_cells(df: DataFrame, keys, order: Order) -> tuple[DataFrame, bool]:
     if rows is not None and not rows:
         return df.withColumn(CELL, F.lit(0)), False
     if order.unit:
-        wanted = F.ceil(F.col("__rows") / limit)
-        out = join_null_safe(df, hot, keys)
+        # Without keys the one size is a literal and needs no join.
+        wanted = F.ceil(F.col("__rows") / limit) if keys else F.lit(math.ceil(rows[0]["__rows"] / limit))
+        out = join_null_safe(df, hot, keys) if keys else df
         cell = F.coalesce(F.floor(order.split * wanted), F.lit(0)).cast("int")
         return out.withColumn(CELL, cell).drop("__rows"), True
     most = max(r["__rows"] for r in rows) if rows else hot.agg(F.max("__rows")).first()[0]
@@ -116,13 +117,17 @@ def with_cells(df: DataFrame, keys, order: Order) -> tuple[DataFrame, bool]:
     step = max(2, math.ceil(math.sqrt(parts)))
     levels = F.expr("array(" + ",".join(f"{i / parts!r}D" for i in range(1, parts)) + ")")
     valued = df.select(*key_cols, order.split.alias("__x")).filter(F.col("__x").isNotNull())
-    hot_rows = join_null_safe(valued, hot.select(*key_cols, "__rows"), keys, "inner")
+    hot_rows = join_null_safe(valued, hot.select(*key_cols, "__rows"), keys, "inner") if keys else valued
     bounds = hot_rows.groupBy(*key_cols).agg(
         F.percentile_approx("__x", levels, F.lit(max(10_000, 4 * parts))).alias("__bounds")
     )
     bounds, _ = pin(bounds.withColumn("__coarse", F.filter("__bounds", lambda b, i: i % step == 0)))
-    out = join_null_safe(df, bounds, keys)
-    cell = F.coalesce(_bucket(F.col("__bounds"), F.col("__coarse"), F.lit(step), order.split), F.lit(0)).cast("int")
+    if keys:
+        out, cuts, coarse = join_null_safe(df, bounds, keys), F.col("__bounds"), F.col("__coarse")
+    else:
+        only = bounds.first()
+        out, cuts, coarse = df, F.lit(list(only["__bounds"])), F.lit(list(only["__coarse"]))
+    cell = F.coalesce(_bucket(cuts, coarse, F.lit(step), order.split), F.lit(0)).cast("int")
     return out.withColumn(CELL, cell).drop("__bounds", "__coarse"), True
 
 

@@ -26,7 +26,10 @@ def percentiles(df: DataFrame, keys, value: Column, levels: dict[str, float]) ->
     if large == []:
         return data.groupBy(*key_cols).agg(*[F.percentile("__v", F.lit(p)).alias(n) for n, p in levels.items()])
     ranked = running(data, keys, by_number(F.col("__v")), {"__i": Running("index")})
-    ranked = join_null_safe(ranked, sizes, keys, "inner")
+    if keys:
+        ranked = join_null_safe(ranked, sizes, keys, "inner")
+    else:
+        ranked = ranked.withColumn("__n", F.lit(large[0]["__n"]))
     out = []
     wanted = F.lit(False)
     for name, level in levels.items():

@@ -31,7 +31,7 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys, how: str = "left") -
         *[F.col(f"`{c}`") for c in right.columns if c not in keys],
     )
     if not keys:
-        return left.join(renamed, F.lit(True), how)
+        raise ValueError("a join needs keys")
     condition = None
     for i, key in enumerate(keys):
         term = left[f"`{key}`"].eqNullSafe(renamed[f"__r_{i}"])
