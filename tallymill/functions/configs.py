@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from tallymill.functions.binding import let
+
 WRAPPER_KEYS = ("value", "desc", "policy")
 
 
@@ -17,24 +19,22 @@ def unwrap_config(text: Column) -> Column:
     """Map of key to value text. ``{"value": x, "desc": ...}`` wrappers give x; plain values stay."""
 
     def plain(_, v):
-        inner = F.try_variant_get(v, "$", "map<string,variant>")
-        wrapped = inner.isNotNull() & F.map_contains_key(inner, "value") & F.forall(
-            F.map_keys(inner), lambda k: k.isin(*WRAPPER_KEYS))
-        return F.when(wrapped, F.try_element_at(inner, F.lit("value"))).otherwise(v)
+        def choose(inner):
+            wrapped = inner.isNotNull() & F.map_contains_key(inner, "value") & F.forall(F.map_keys(inner), lambda k: k.isin(*WRAPPER_KEYS))
+            return F.when(wrapped, F.try_element_at(inner, F.lit("value"))).otherwise(v)
+
+        return let(F.try_variant_get(v, "$", "map<string,variant>"), choose)
 
     return F.transform_values(config_map(text), plain)
 
 
 def flatten_value(value: Column) -> Column:
     """A VARIANT as one text cell: lists joined by ``,``, objects as ``k=v;k=v``, scalars as text."""
-    items = F.try_variant_get(value, "$", "array<string>")
-    fields = F.try_variant_get(value, "$", "map<string,string>")
-    pairs = F.transform(F.map_entries(fields), lambda e: F.concat_ws("=", e["key"], F.coalesce(e["value"], F.lit(""))))
-    return (
-        F.when(items.isNotNull(), F.array_join(items, ",", ""))
-        .when(fields.isNotNull(), F.array_join(pairs, ";"))
-        .otherwise(F.try_variant_get(value, "$", "string"))
-    )
+    pair = lambda e: F.concat_ws("=", e["key"], F.coalesce(e["value"], F.lit("")))
+    listed = F.array_join(F.try_variant_get(value, "$", "array<string>"), ",", "")
+    fields = F.array_join(F.transform(F.map_entries(F.try_variant_get(value, "$", "map<string,string>")), pair), ";")
+    # Scalars do not convert to a list or an object, so the first conversion that works is the right one.
+    return F.coalesce(listed, fields, F.try_variant_get(value, "$", "string"))
 
 
 def flatten_keys(text: Column, depth: int = 4, list_width: int = 500) -> Column:
@@ -42,20 +42,18 @@ def flatten_keys(text: Column, depth: int = 4, list_width: int = 500) -> Column:
     a list cell is ``list_width`` characters wide at most."""
 
     def level(prefix, value, remaining):
-        items = F.try_variant_get(value, "$", "array<variant>")
-        children = F.try_variant_get(value, "$", "map<string,variant>")
-        scalar = (
-            F.when(items.isNotNull(), F.substring(F.to_json(value), 1, list_width))
-            .when(children.isNotNull(), F.to_json(value))
-            .otherwise(F.try_variant_get(value, "$", "string"))
-        )
-        entry = F.array(F.struct(prefix.alias("key"), scalar.alias("value")))
-        if not remaining:
-            return entry
-        nested = F.flatten(F.transform(
-            F.map_entries(children),
-            lambda e: level(F.concat(prefix, F.lit("."), e["key"]), e["value"], remaining - 1)))
-        return F.when(children.isNotNull(), nested).otherwise(entry)
+        listed = F.substring(F.when(F.try_variant_get(value, "$", "array<variant>").isNotNull(), F.to_json(value)), 1, list_width)
+        leaf = F.coalesce(listed, F.try_variant_get(value, "$", "string"))
+        one = lambda text: F.array(F.struct(prefix.alias("key"), text.alias("value")))
+
+        def expand(children):
+            if not remaining:
+                return one(F.when(children.isNull(), leaf).otherwise(F.to_json(value)))
+            nested = F.flatten(F.transform(
+                F.map_entries(children), lambda e: level(F.concat(prefix, F.lit("."), e["key"]), e["value"], remaining - 1)))
+            return F.when(children.isNull(), one(leaf)).otherwise(nested)
+
+        return let(F.try_variant_get(value, "$", "map<string,variant>"), expand)
 
     tops = F.map_entries(config_map(text))
     return F.map_from_entries(F.flatten(F.transform(tops, lambda e: level(e["key"], e["value"], depth - 1))))

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tallymill.functions.binding import let
+
 # Fixed values of the run-name format.
 PREFIX_KEYS = ("img", "ma", "a", "k", "ld")
 
@@ -109,7 +111,8 @@ def canonical_type(name: Column) -> Column:
     """
 
     def classify(text):
-        bare = F.exists(F.split(text, "__"), lambda s: (s == "bare") | s.startswith("bare_"))
+        # The cheap test first: most names do not hold the word at all.
+        bare = text.contains("bare") & F.exists(F.split(text, "__"), lambda s: (s == "bare") | s.startswith("bare_"))
         unbalanced = text.contains("unbalanced")
         return (
             F.when(bare & unbalanced, "unbalanced-bare")
@@ -118,7 +121,7 @@ def canonical_type(name: Column) -> Column:
             .otherwise(rule_ladder(text, TYPE_RULES, "unknown"))
         )
 
-    return F.coalesce(F.get(F.transform(F.array(F.lower(name)), classify), 0), F.lit("unknown"))
+    return F.coalesce(let(F.lower(name), classify), F.lit("unknown"))
 
 
 def is_long_horizon(name: Column) -> Column:
@@ -136,12 +139,15 @@ def seed_of(name: Column) -> Column:
 
 def matching_category(name: Column, categories: Sequence[Sequence[str]]) -> Column:
     """First spelling of the first category that occurs in the name; case and ``-``/``_`` do not matter."""
-    flat = lambda text: F.translate(F.lower(text), "-", "_")
-    out = F.lit(None).cast("string")
-    for spellings in reversed(list(categories)):
-        for spelling in reversed(list(spellings)):
-            out = F.when(flat(name).contains(spelling.lower().replace("-", "_")), spellings[0]).otherwise(out)
-    return out
+
+    def match(text):
+        out = F.lit(None).cast("string")
+        for spellings in reversed(list(categories)):
+            for spelling in reversed(list(spellings)):
+                out = F.when(text.contains(spelling.lower().replace("-", "_")), spellings[0]).otherwise(out)
+        return out
+
+    return let(F.translate(F.lower(name), "-", "_"), match)
 
 
 def parse_folder(df: DataFrame, column: str, renames: dict[str, str], pattern: str) -> DataFrame:
