@@ -61,8 +61,8 @@ def class_map(df: DataFrame, label: str) -> DataFrame:
 
 def read_class_map(spark: SparkSession, path: str) -> DataFrame:
     """A ``.txt`` class map: line number is the index. One small file, read whole by one task."""
-    whole = spark.read.option("wholetext", True).text(path)
-    lines = whole.select(F.posexplode(F.split(F.rtrim("value"), "\n")).alias("idx", "label"))
+    whole = spark.read.text(path, wholetext=True)
+    lines = whole.select(F.posexplode(F.split(F.regexp_replace("value", r"\s+$", ""), "\n")).alias("idx", "label"))
     return lines.select(F.trim("label").alias("label"), "idx")
 
 
