@@ -52,7 +52,7 @@ def main() -> None:
                 measured.append(time.perf_counter() - start)
         times[name] = round(statistics.median(measured), 3)
         short = name.split("_")[0]
-        rates[name] = round(counts[DRIVING.get(short, DRIVING[short[0]])] / times[name])
+        rates[name] = round(counts[DRIVING.get(short) or DRIVING[short[0]]] / times[name])
     line = {
         "metric": "headline query time, sum of medians", "value": round(sum(times.values()), 3), "unit": "sec",
         "queries": times, "rows_per_sec": rates, "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"), "cpus": int(cpus), "runs": runs,

@@ -103,25 +103,28 @@ def rule_ladder(text: Column, rules: Sequence[tuple[str, str]], default) -> Colu
     return out.otherwise(default) if out is not None else F.lit(default)
 
 
+def _type_of(text: Column) -> Column:
+    """The ladder over an already lower-cased name."""
+    # The cheap test first: most names do not hold the word at all.
+    bare = text.contains("bare") & F.exists(F.split(text, "__"), lambda s: (s == "bare") | s.startswith("bare_"))
+    unbalanced = text.contains("unbalanced")
+    return (
+        F.when(bare & unbalanced, "unbalanced-bare")
+        .when(bare, "bare")
+        .when(unbalanced, F.concat(F.lit("unbalanced-"), rule_ladder(text, SECONDARY_RULES, "noaug")))
+        .otherwise(rule_ladder(text, TYPE_RULES, "unknown"))
+    )
+
+
 def canonical_type(name: Column) -> Column:
-    """Experiment type of a run name; NULL and unmatched names give ``unknown``.
+    """Experiment type of a run name; NULL and unmatched names give ``unknown``."""
+    return F.coalesce(let(F.lower(name), _type_of), F.lit("unknown"))
 
-    The ladder is evaluated on a lambda variable, so the name is lower-cased once and the long
-    chain of tests short-circuits without a large generated method.
-    """
 
-    def classify(text):
-        # The cheap test first: most names do not hold the word at all.
-        bare = text.contains("bare") & F.exists(F.split(text, "__"), lambda s: (s == "bare") | s.startswith("bare_"))
-        unbalanced = text.contains("unbalanced")
-        return (
-            F.when(bare & unbalanced, "unbalanced-bare")
-            .when(bare, "bare")
-            .when(unbalanced, F.concat(F.lit("unbalanced-"), rule_ladder(text, SECONDARY_RULES, "noaug")))
-            .otherwise(rule_ladder(text, TYPE_RULES, "unknown"))
-        )
-
-    return F.coalesce(let(F.lower(name), classify), F.lit("unknown"))
+def with_canonical_type(df: DataFrame, name: str = "name", out: str = "type") -> DataFrame:
+    """Adds the experiment type. The lower-cased name is its own projection, so the ladder runs in generated code."""
+    lowered = df.withColumn("_lower", F.lower(F.col(name)))
+    return lowered.withColumn(out, F.when(F.col("_lower").isNull(), "unknown").otherwise(_type_of(F.col("_lower")))).drop("_lower")
 
 
 def is_long_horizon(name: Column) -> Column:

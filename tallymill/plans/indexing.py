@@ -21,7 +21,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tallymill.plans.sizing import join_null_safe, pin
 
 CELL_CONF = "tallymill.cell.rows"
-CELL_ROWS = 1_000_000
+CELL_ROWS = 250_000
+CARRY_ROWS = 100_000
 MAX_BOUNDS = 16_384
 CELL = "__cell"
 
@@ -98,19 +99,19 @@ def _bucket(bounds: Column, coarse: Column, step: Column, x: Column) -> Column:
 
 
 def with_cells(df: DataFrame, keys, order: Order) -> tuple[DataFrame, bool]:
-    """Adds the cell number; the flag says whether any group was cut."""
+    """Adds the cell number, NULL for groups that are left whole; the flag says whether any group was cut."""
     keys = list(keys)
     limit = cell_rows(df)
     key_cols = [F.col(f"`{k}`") for k in keys]
     sizes = df.groupBy(*key_cols).agg(F.count(F.lit(1)).alias("__rows")).filter(F.col("__rows") > limit)
     hot, rows = pin(sizes)
     if rows is not None and not rows:
-        return df.withColumn(CELL, F.lit(0)), False
+        return df.withColumn(CELL, F.lit(None).cast("int")), False
     if order.unit:
         # Without keys the one size is a literal and needs no join.
         wanted = F.ceil(F.col("__rows") / limit) if keys else F.lit(math.ceil(rows[0]["__rows"] / limit))
         out = join_null_safe(df, hot, keys) if keys else df
-        cell = F.coalesce(F.floor(order.split * wanted), F.lit(0)).cast("int")
+        cell = F.floor(order.split * wanted).cast("int")
         return out.withColumn(CELL, cell).drop("__rows"), True
     most = max(r["__rows"] for r in rows) if rows else hot.agg(F.max("__rows")).first()[0]
     parts = min(math.ceil(most / limit), MAX_BOUNDS)
@@ -127,7 +128,7 @@ def with_cells(df: DataFrame, keys, order: Order) -> tuple[DataFrame, bool]:
     else:
         only = bounds.first()
         out, cuts, coarse = df, F.lit(list(only["__bounds"])), F.lit(list(only["__coarse"]))
-    cell = F.coalesce(_bucket(cuts, coarse, F.lit(step), order.split), F.lit(0)).cast("int")
+    cell = F.when(cuts.isNotNull(), _bucket(cuts, coarse, F.lit(step), order.split)).cast("int")
     return out.withColumn(CELL, cell).drop("__bounds", "__coarse"), True
 
 
@@ -144,13 +145,17 @@ def running(df: DataFrame, keys, order: Order, values: dict[str, Running], keep=
     if not cut:
         ordered = (Window.partitionBy(*key_cols) if keys else Window.partitionBy(F.col(CELL))).orderBy(*order.columns)
         return tagged.withColumns({n: v.local(ordered) for n, v in values.items()}).drop(CELL)
-    cells = tagged.groupBy(*key_cols, CELL).agg(*[v.partial().alias(f"__part_{n}") for n, v in values.items()])
+    cells = tagged.where(F.col(CELL).isNotNull()).groupBy(*key_cols, CELL).agg(
+        *[v.partial().alias(f"__part_{n}") for n, v in values.items()])
     # At most one row per cell here: thousands per group, not the group itself.
     earlier = Window.partitionBy(*key_cols).orderBy(CELL).rowsBetween(Window.unboundedPreceding, -1)
     carried = cells.select(
         *key_cols, CELL, *[v.carry(F.col(f"__part_{n}"), earlier).alias(f"__before_{n}") for n, v in values.items()]
-    )
-    joined = join_null_safe(tagged, carried, [*keys, CELL], "inner")
+    ).where(F.col(CELL) > 0)
+    # Rows only for cut groups, so this is about (rows / cell rows) long: normally a checked broadcast, which keeps
+    # the big side unshuffled until its window.
+    carried, _ = pin(carried, CARRY_ROWS)
+    joined = join_null_safe(tagged, carried, [*keys, CELL], "left")
     if keep is not None:
         joined = joined.filter(keep)
     ordered = Window.partitionBy(*key_cols, CELL).orderBy(*order.columns)

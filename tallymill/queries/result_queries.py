@@ -38,10 +38,9 @@ FROM (SELECT *, {TYPE_CASE} AS type, horizon <> '' AS long_horizon FROM runs) q
 
 
 def by_type(t):
-    # The type depends on the name's recipe and horizon only, so it is derived per distinct name after a partial count
-    # would not help here (means need rows); it stays a narrow projection before the one shuffle.
-    typed = t.runs.select(
-        names.canonical_type(F.col("name")).alias("type"), "dataset", "model", names.is_long_horizon(F.col("name")).alias("long_horizon"), "seed", "top1_acc", "brier")
+    # Narrow projections before the one shuffle.
+    typed = names.with_canonical_type(t.runs.select("name", "dataset", "model", "seed", "top1_acc", "brier")).withColumn(
+        "long_horizon", names.is_long_horizon(F.col("name"))).drop("name")
     return G.aggregate_by_type(typed, ["top1_acc", "brier", "ece/n_bins=15"])
 
 

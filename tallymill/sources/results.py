@@ -31,8 +31,9 @@ def load_results(spark: SparkSession, paths: Sequence[str], schema=None, blanks_
         raise ValueError("no result files given")
     # A header is the line with the smallest offset: CSV files start with it.
     lines = spark.read.text(list(paths)).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.col("value"))
-    heads = lines.where("at = 0").groupBy("file").agg(F.first("value").alias("header"))
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.col("value"),
+        F.monotonically_increasing_id().alias("line"))
+    heads = lines.where("at = 0").groupBy("file").agg(F.min_by("value", "line").alias("header"))
     groups = heads.groupBy("header").agg(F.collect_list("file").alias("files")).orderBy("header").collect()
     frames = []
     for group in groups:

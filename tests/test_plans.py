@@ -66,6 +66,7 @@ def test_hot_groups_are_cut_and_others_are_not(spark, skewed):
             F.count("*").alias("n"), F.max("count").alias("most")).collect()}
         assert cells["hot"][0] >= 3 and cells["hot"][1] <= 120
         assert all(v[0] == 1 for k, v in cells.items() if k != "hot")
+        assert tagged.where("k = 'hot' AND __cell IS NULL").count() == 0 and tagged.where("k = 'a' AND __cell IS NOT NULL").count() == 0
     finally:
         spark.conf.unset("tallymill.cell.rows")
 
