@@ -120,14 +120,12 @@ def latency_profile(df: DataFrame, keys: Sequence[str], warmup: int, batch: str
 
     ``batch`` counts from 1 within a run; batch 1 and the ``warmup`` batches after it are not measured.
     """
-    keys = list(keys)
-    measured = df.where(F.col(batch) > 1 + warmup)
-    cuts = percentiles(measured, keys, c(seconds), {"p50_seconds": 0.5, "p95_seconds": 0.95})
     late = F.col(batch) > 1 + warmup
-    sums = df.groupBy(*keys).agg(
-        (F.sum(F.when(late, c(items))) / F.sum(F.when(late, c(seconds)))).alias("items_per_second"),
-        F.max(F.when(F.col(batch) == 1, c(seconds))).alias("first_batch_seconds"), F.count_if(late).alias("measured"))
-    return join_null_safe(sums, cuts, keys)
+    extra = {
+        "items_per_second": F.sum(F.when(late, c(items))) / F.sum(F.when(late, c(seconds))),
+        "first_batch_seconds": F.max(F.when(F.col(batch) == 1, c(seconds))), "measured": F.count_if(late),
+    }
+    return percentiles(df, keys, F.when(late, c(seconds)), {"p50_seconds": 0.5, "p95_seconds": 0.95}, extra)
 
 
 def metrics_across_seeds(rows: DataFrame, group: Sequence[str], metrics: Sequence[str], level: str = "k") -> DataFrame:
@@ -257,10 +255,9 @@ def seed_set_consistency(df: DataFrame, group: Sequence[str], seed: str = "seed"
 
 def sensitivity_band(rows: DataFrame, axis: str, series: str, metric: str) -> DataFrame:
     """Median, minimum and maximum of the metric per series and axis value; every axis value appears for every series."""
-    mids = percentiles(rows, [series, axis], c(metric), {"median": 0.5})
-    ends = rows.groupBy(series, axis).agg(F.min(metric).alias("lo"), F.max(metric).alias("hi"))
+    band = percentiles(rows, [series, axis], c(metric), {"median": 0.5}, {"lo": F.min(metric), "hi": F.max(metric)})
     spine = rows.select(series).distinct().withColumn(axis, F.explode(F.lit(distinct_values(rows, axis))))
-    return spine.join(mids, [series, axis], "left").join(ends, [series, axis], "left")
+    return spine.join(band, [series, axis], "left")
 
 
 def robust_range(rows: DataFrame, keys: Sequence[str], value: Column, center: Column, q: float | None = 0.9,
@@ -270,9 +267,11 @@ def robust_range(rows: DataFrame, keys: Sequence[str], value: Column, center: Co
     keys = list(keys)
     finite = F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
     data = rows.select(*keys, finite.alias("_x"), center.cast("double").alias("_c")).withColumn("_d", F.abs(F.col("_x") - F.col("_c")))
-    ends = data.groupBy(*keys).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.max("_c").alias("center"), F.max("_d").alias("_full"))
+    ends = {"_lo": F.min("_x"), "_hi": F.max("_x"), "center": F.max("_c"), "_full": F.max("_d")}
     if q is not None:
-        ends = join_null_safe(ends, percentiles(data, keys, F.col("_d"), {"_q": q}), keys)
+        ends = percentiles(data, keys, F.col("_d"), {"_q": q}, ends)
+    else:
+        ends = data.groupBy(*keys).agg(*[v.alias(n) for n, v in ends.items()])
     half = F.greatest(F.col("_q") if q is not None else F.col("_full"), F.lit(float(min_half)), F.lit(1e-6))
     half = F.when(F.col("_full").isNull(), F.lit(1.0)).otherwise(half)
     low = F.col("center") - half

@@ -63,38 +63,33 @@ class MetricRegistry:
         group = list(group)
         bins = sorted({b for m in chosen.values() for b in m.bins})
         scored = scores.with_scores(df, logits, label).withColumns(
-            {f"_b{b}": scores.bin_of(F.col("_conf"), b) for b in bins} or {"_b0": F.lit(0)}
+            {f"_b{b}": scores.bin_of(F.col("_conf"), b) for b in bins} or {"_none": F.lit(0)}
         )
         sums = {"n": F.lit(1), "conf": F.col("_conf"), "hit": (F.col("_pred") == F.col(label)).cast("double")}
         for name, metric in chosen.items():
             sums.update({f"{name}.{k}": v for k, v in metric.sums.items()})
         bin_cols = [f"_b{b}" for b in bins]
         cells = scored.groupBy(*group, *bin_cols).agg(*[F.sum(v).alias(k) for k, v in sums.items()])
+        # One chain from the cells: a row per (group, bin count, bin) plus the entry 0 that carries the totals.
+        spread = F.array(*[F.struct(F.lit(b).alias("_bins"), F.col(f"_b{b}").alias("_bin")) for b in bins],
+                         F.struct(F.lit(0).alias("_bins"), F.lit(0).alias("_bin")))
+        per_bin = cells.select(*group, F.inline(spread), *[f"`{k}`" for k in sums]).groupBy(*group, "_bins", "_bin").agg(
+            *[F.sum(f"`{k}`").alias(k) for k in sums])
+        totals = per_bin.groupBy(*group, "_bins").agg(
+            (F.sum(F.abs(F.col("hit") - F.col("conf"))) / F.sum("n")).alias("_gap"), *[F.sum(f"`{k}`").alias(k) for k in sums])
         entries = []
-        totals = cells.groupBy(*group).agg(*[F.sum(f"`{k}`").alias(k) for k in sums])
         for name, metric in chosen.items():
-            if metric.finish is None:
-                continue
-            value = metric.finish({"n": F.col("n"), **{k: F.col(f"`{name}.{k}`") for k in metric.sums}})
-            named = {f"{name}/{k}": v for k, v in value.items()} if isinstance(value, dict) else {name: value}
-            entries += [F.struct(F.lit(k).alias("metric"), v.cast("double").alias("value")) for k, v in named.items()]
-        parts = []
-        if entries:
-            parts.append(totals.select(*group, F.inline(F.array(*entries))))
-        if bins:
-            gaps = bin_gaps(cells, group, bins)
-            wanted = [
-                F.struct(F.lit(b).alias("bins"), F.lit(f"{n}/n_bins={b}" if len(m.bins) > 1 else n).alias("metric"),
-                         F.lit(m.scale).alias("scale"))
-                for n, m in chosen.items() for b in m.bins
-            ]
-            named = gaps.withColumn("_w", F.explode(F.filter(F.array(*wanted), lambda w: w["bins"] == F.col("bins"))))
-            parts.append(named.select(*group, F.col("_w.metric").alias("metric"),
-                                      (F.col("gap") * F.col("_w.scale")).alias("value")))
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part)
-        return out
+            for b in metric.bins:
+                label_ = f"{name}/n_bins={b}" if len(metric.bins) > 1 else name
+                entries.append((b, label_, F.col("_gap") * metric.scale))
+            if metric.finish is not None:
+                value = metric.finish({"n": F.col("n"), **{k: F.col(f"`{name}.{k}`") for k in metric.sums}})
+                named = {f"{name}/{k}": v for k, v in value.items()} if isinstance(value, dict) else {name: value}
+                entries += [(0, k, v) for k, v in named.items()]
+        rows = F.array(*[
+            F.struct(F.lit(b).alias("bins"), F.lit(k).alias("metric"), v.cast("double").alias("value")) for b, k, v in entries])
+        out = totals.select(*group, "_bins", F.inline(rows))
+        return out.where(F.col("bins") == F.col("_bins")).select(*group, "metric", "value")
 
 
 def bin_gaps(cells: DataFrame, group: list[str], bins: Sequence[int]) -> DataFrame:

@@ -252,16 +252,20 @@ def resolve_run_id(runs: DataFrame, status: DataFrame) -> DataFrame:
     return out.withColumn("run_id", F.coalesce("_by_output", "_by_name")).drop("_output", "_by_output", "_by_name")
 
 
+def models_per_pair(df: DataFrame, model: str, sample: str, cls: str) -> DataFrame:
+    """The set of models that have each (sample, class): as many entries as there are models, one shuffle."""
+    return df.groupBy(sample, cls).agg(F.collect_set(model).alias("models"))
+
+
 def common_across(df: DataFrame, model: str, sample: str, cls: str, n_models: int) -> DataFrame:
     """(sample, class) pairs that every one of the ``n_models`` models has.
 
     A pair is in all models only if its sample is, so one division suffices.
     """
-    pairs = df.select(model, sample, cls).distinct().groupBy(sample, cls).agg(F.count(F.lit(1)).alias("_m"))
-    return pairs.where(F.col("_m") == n_models).select(sample, cls)
+    return models_per_pair(df, model, sample, cls).where(F.size("models") == n_models).select(sample, cls)
 
 
-def dropped_entries(df: DataFrame, common: DataFrame, model: str, sample: str, cls: str) -> DataFrame:
+def dropped_entries(df: DataFrame, model: str, sample: str, cls: str, n_models: int) -> DataFrame:
     """Number of distinct (model, sample, class) entries outside the common set, per model."""
-    entries = df.select(model, sample, cls).distinct()
-    return entries.join(common, [sample, cls], "left_anti").groupBy(model).agg(F.count(F.lit(1)).alias("dropped"))
+    rest = models_per_pair(df, model, sample, cls).where(F.size("models") < n_models)
+    return rest.select(F.explode("models").alias(model)).groupBy(model).agg(F.count(F.lit(1)).alias("dropped"))

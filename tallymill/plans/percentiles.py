@@ -8,29 +8,32 @@ from tallymill.plans.indexing import Running, by_number, cell_rows, running
 from tallymill.plans.sizing import join_null_safe, pin
 
 
-def percentiles(df: DataFrame, keys, value: Column, levels: dict[str, float]) -> DataFrame:
-    """One row per group with a column per entry of ``levels`` (name -> fraction in [0, 1]).
+def percentiles(df: DataFrame, keys, value: Column, levels: dict[str, float], extra: dict[str, Column] | None = None) -> DataFrame:
+    """One row per group with a column per entry of ``levels`` (name -> fraction in [0, 1]) and per aggregate of ``extra``.
 
     ``percentile`` keeps a group's distinct values in one task. That is fine up
-    to the cell size; if some group has more values, ranks are taken by
-    :func:`running` instead and only the rows next to each cut are aggregated.
+    to the cell size, and then everything is one aggregation; if some group has
+    more values, ranks are taken by :func:`running` instead and only the rows
+    next to each cut are aggregated. NULL values do not count.
     """
     for name, level in levels.items():
         if not 0 <= level <= 1:
             raise ValueError(f"level {name}={level} outside [0, 1]")
-    keys = list(keys)
+    keys, extra = list(keys), extra or {}
     key_cols = [F.col(f"`{k}`") for k in keys]
-    data = df.select(*key_cols, value.cast("double").alias("__v")).filter(F.col("__v").isNotNull())
-    sizes = data.groupBy(*key_cols).agg(F.count(F.lit(1)).alias("__n"))
-    _, large = pin(sizes.filter(F.col("__n") > cell_rows(df)), 1)
+    number = value.cast("double")
+    sizes = df.groupBy(*key_cols).agg(F.count(number).alias("__n"))
+    _, large = pin(sizes.where(F.col("__n") > cell_rows(df)), 1)
+    rest = [v.alias(n) for n, v in extra.items()]
     if large == []:
-        return data.groupBy(*key_cols).agg(*[F.percentile("__v", F.lit(p)).alias(n) for n, p in levels.items()])
+        return df.groupBy(*key_cols).agg(*[F.percentile(number, F.lit(p)).alias(n) for n, p in levels.items()], *rest)
+    data = df.select(*key_cols, number.alias("__v")).where(F.col("__v").isNotNull())
     ranked = running(data, keys, by_number(F.col("__v")), {"__i": Running("index")})
     if keys:
         ranked = join_null_safe(ranked, sizes, keys, "inner")
     else:
         ranked = ranked.withColumn("__n", F.lit(large[0]["__n"]))
-    out = []
+    cuts = []
     wanted = F.lit(False)
     for name, level in levels.items():
         at = F.lit(level) * (F.col("__n") - 1)
@@ -39,5 +42,10 @@ def percentiles(df: DataFrame, keys, value: Column, levels: dict[str, float]) ->
         lo = F.max(F.when(F.col("__i") == low, F.col("__v")))
         hi = F.max(F.when(F.col("__i") == high, F.col("__v")))
         weight = F.max(at - F.floor(at))
-        out.append((lo + (hi - lo) * weight).alias(name))
-    return ranked.filter(wanted).groupBy(*key_cols).agg(*out)
+        cuts.append((lo + (hi - lo) * weight).alias(name))
+    found = ranked.where(wanted).groupBy(*key_cols).agg(*cuts)
+    if not keys:
+        row = found.first()
+        return df.agg(*rest, F.count(F.lit(1)).alias("__all")).select(*extra, *[F.lit(row[n]).alias(n) for n in levels])
+    # Every group keeps its row, also one without values.
+    return join_null_safe(df.groupBy(*key_cols).agg(*rest, F.count(F.lit(1)).alias("__all")).drop("__all"), found, keys)

@@ -215,7 +215,7 @@ UNION ALL SELECT concat('dropped ', model), -1, count(*) FROM e WHERE NOT EXISTS
 def common_across(t):
     entries = t.lineitem.select(F.concat(F.lit("s"), (F.col("l_suppkey") % 3).cast("string")).alias("model"), F.col("l_partkey").alias("sample"), F.col("l_linenumber").alias("class"))
     common = J.common_across(entries, "model", "sample", "class", 3)
-    dropped = J.dropped_entries(entries, common, "model", "sample", "class")
+    dropped = J.dropped_entries(entries, "model", "sample", "class", 3)
     first = common.select(F.lit("common").alias("what"), "sample", F.col("class").cast("bigint").alias("value"))
     return first.unionByName(dropped.select(F.concat(F.lit("dropped "), "model").alias("what"), F.lit(-1).cast("bigint").alias("sample"), F.col("dropped").alias("value")))
 

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallymill.operators.metrics import bin_gaps
 
 
 def meter_sums(rows: DataFrame, keys: Sequence[str], value: Column, weight: Column, hit: Column, conf: Column, bins: int = 15) -> DataFrame:
@@ -17,13 +16,12 @@ def meter_sums(rows: DataFrame, keys: Sequence[str], value: Column, weight: Colu
         F.sum(hit.cast("double")).alias("hit"), F.sum(conf).alias("conf"))
 
 
-def meter_values(sums: DataFrame, keys: Sequence[str], bins: int = 15) -> DataFrame:
-    """Average, accuracy in percent and calibration error in percent at any time."""
-    keys = list(keys)
-    totals = sums.groupBy(*keys).agg(
-        (F.sum("value_sum") / F.sum("weight_sum")).alias("avg"), (F.sum("hit") / F.sum("n") * 100).alias("acc"), F.sum("n").alias("count"))
-    gaps = bin_gaps(sums, keys, [bins]).select(*keys, (F.col("gap") * 100).alias("ece"))
-    return totals.join(gaps, keys)
+def meter_values(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Average, accuracy in percent and calibration error in percent at any time. ``sums`` has one row per key and bin."""
+    gap = F.sum(F.abs(F.col("hit") - F.col("conf"))) / F.sum("n")
+    return sums.groupBy(*keys).agg(
+        (F.sum("value_sum") / F.sum("weight_sum")).alias("avg"), (F.sum("hit") / F.sum("n") * 100).alias("acc"),
+        F.sum("n").alias("count"), (gap * 100).alias("ece"))
 
 
 def history_rows(evals: DataFrame, train: Sequence[str], evaluated: Sequence[str], run: str = "run_id", step: str = "step", lr: str | None = None) -> DataFrame:
