@@ -115,7 +115,7 @@ def keyed_stream(aggregated: DataFrame, root: str, keys, available_now: bool = T
         if batch_id % snapshot_every == snapshot_every - 1:
             write_batch(current(spark, root, keys, batch_id), f"{root}/snapshot", batch_id)
 
-    return run_batches(aggregated, process, f"{root}/checkpoint", mode="update", available_now=available_now)
+    return run_batches(aggregated, process, f"{root}/checkpoint", mode="update", available_now=available_now, keep=False)
 
 
 def current(spark, root: str, keys, last: int | None = None) -> DataFrame:

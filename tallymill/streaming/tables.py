@@ -59,13 +59,16 @@ def parquet_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.p
     return reader.parquet(folder)
 
 
-def run_batches(stream: DataFrame, process, checkpoint: str, mode: str = "append", available_now: bool = True) -> StreamingQuery:
+def run_batches(stream: DataFrame, process, checkpoint: str, mode: str = "append", available_now: bool = True, keep: bool = True) -> StreamingQuery:
     """Starts ``process(df, batch_id)`` over the stream; with ``available_now`` it ends with the input at hand.
 
-    The micro-batch is kept while it is processed, as most jobs look at it more than once.
+    ``keep`` holds the micro-batch while it is processed, for jobs that look at it more than once.
     """
 
     def kept(batch: DataFrame, batch_id: int):
+        if not keep:
+            process(batch, batch_id)
+            return
         batch.persist()
         try:
             process(batch, batch_id)
