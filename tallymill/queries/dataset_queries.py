@@ -33,10 +33,15 @@ def long_tail_profile(t):
     return D.long_tail_profile(t.lineitem.select("l_suppkey").distinct(), 1280, 5)
 
 
-@query("d1_assign_ranks")
+@query("d1_assign_ranks", f"""
+WITH n AS (SELECT l_suppkey AS label, count(*) AS n FROM lineitem GROUP BY 1), s AS (SELECT min(n) AS big, count(*) AS c FROM n)
+SELECT label, CAST(rank AS INTEGER) AS rank, CASE WHEN rank = 0 THEN big WHEN rank = c - 1 THEN 1 ELSE CAST(greatest(1, least(big, round_even(big::DOUBLE * pow(1.0::DOUBLE / big, rank::DOUBLE / (c - 1)), 0))) AS BIGINT) END AS rows
+FROM (SELECT label, row_number() OVER (ORDER BY {h(42, 'label')}) - 1 AS rank FROM n) q, s
+""")
 def assign_ranks(t):
     counts = t.lineitem.groupBy(F.col("l_suppkey").alias("label")).agg(F.count(F.lit(1)).alias("n"))
     smallest = counts.agg(F.min("n")).first()[0]
+    # Every class has enough rows for every count, so the choice is the seeded order itself.
     wanted = [r["rows"] for r in D.long_tail_profile(counts, smallest, 1).orderBy("rank").collect()]
     return D.assign_ranks(counts, wanted, 42)
 
@@ -234,9 +239,20 @@ def group_of_four(t):
     return out.select("stream", F.get("members", 0).alias("lead"), F.array_join("labels", ",").alias("labels"), *[F.round(F.get("weights", i), 6).alias(f"w{i}") for i in range(4)])
 
 
-@query("d14_random_tuples")
+TUPLE_SQL = f"""
+WITH r AS (SELECT g.range AS i, c.n, {', '.join(f"CAST(floor({u(42, 5, 'g.range', j)} * (c.n - {4 - j})) AS BIGINT) AS r{j}" for j in range(5))}
+  FROM range(10000000) g, (SELECT count(*) AS n FROM embeddings) c WHERE g.range < (SELECT count(*) FROM supplier)),
+p0 AS (SELECT *, r0 AS a FROM r), p1 AS (SELECT *, CASE WHEN r1 = a THEN n - 4 ELSE r1 END AS b FROM p0), p2 AS (SELECT *, CASE WHEN r2 IN (a, b) THEN n - 3 ELSE r2 END AS c FROM p1),
+p3 AS (SELECT *, CASE WHEN r3 IN (a, b, c) THEN n - 2 ELSE r3 END AS d FROM p2), p4 AS (SELECT *, CASE WHEN r4 IN (a, b, c, d) THEN n - 1 ELSE r4 END AS e FROM p3),
+t AS (SELECT i, unnest([a, b, c, d, e]) AS spot, unnest([0, 1, 2, 3, 4]) AS slot FROM p4),
+k AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS spot FROM embeddings)
+SELECT printf('k05_%05d', t.i) AS sample_id, t.slot, k.vec_id FROM t JOIN k ON k.spot = t.spot
+"""
+
+
+@query("d14_random_tuples", TUPLE_SQL)
 def random_tuples(t):
-    # As many tuples as there are nations times regions worth of suppliers: grows with the table.
+    # One tuple per supplier: the work grows with the tables.
     return D.random_tuples(t.embeddings.select("vec_id"), "vec_id", t.supplier.count(), 5, 42)
 
 

@@ -117,7 +117,11 @@ def epoch_reader(t):
     return rows.groupBy("worker").agg(F.count(F.lit(1)).alias("rows"), F.sum("event_id").alias("key_sum"), F.max("seq").alias("last_seq"))
 
 
-@query("t5_epoch_stream")
+@query("t5_epoch_stream", """
+SELECT CAST(worker AS INTEGER) AS worker, least(count(*), max(target)) AS rows FROM (
+  SELECT ('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 15))::BIGINT % 6 AS worker, CAST(ceil(ceil(n / 6.0::DOUBLE) / 64) * 64 AS BIGINT) // 2 AS target
+  FROM events, (SELECT count(*) AS n FROM events) c) q GROUP BY worker
+""")
 def epoch_stream(t):
     root = scratch_path(t.spark, "epoch")
     target = sampling.worker_target(t.events.count(), 6, batch=64) // 2
@@ -139,18 +143,18 @@ def append_history(t):
 
 
 STATUS_SQL = """
-WITH h AS (SELECT *, CASE WHEN step % 3 = 0 THEN config END AS cfg FROM hist)
-SELECT run_id, epoch_us(min(ts)) AS created_at, epoch_us(max(ts)) AS updated_at, arg_max(state, epoch_us(ts) * 1000000::HUGEINT + step) AS status,
-  arg_max(cfg, epoch_us(ts) * 1000000::HUGEINT + step) FILTER (WHERE cfg IS NOT NULL) AS config, count(*) FILTER (WHERE state = 'launched') AS launch_count,
-  epoch_us(max(ts) FILTER (WHERE state = 'launched')) AS last_started_at, epoch_us(max(ts) FILTER (WHERE state IN ('finished', 'failed', 'interrupted'))) AS last_finished_at,
-  arg_max(state, epoch_us(ts) * 1000000::HUGEINT + step) = 'finished' AS finished FROM h GROUP BY run_id
+WITH h AS (SELECT run_id, step, state, CASE WHEN step % 3 = 0 THEN config END AS cfg, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS stamp, epoch_us(ts) * 1000000::HUGEINT + step AS seq FROM hist)
+SELECT run_id, min(stamp) AS created_at, max(stamp) AS updated_at, arg_max(state, seq) AS status, arg_max(cfg, seq) FILTER (WHERE cfg IS NOT NULL) AS config,
+  count(*) FILTER (WHERE state = 'launched') AS launch_count, max(stamp) FILTER (WHERE state = 'launched') AS last_started_at,
+  max(stamp) FILTER (WHERE state IN ('finished', 'failed', 'interrupted')) AS last_finished_at, arg_max(state, seq) = 'finished' AS finished FROM h GROUP BY run_id
 """
 
 
 def status_input(events):
+    """Status events; stamps are sortable text, as in the tracked runs."""
     state = F.when(F.col("event_type") == "signup", "launched").when(F.col("event_type") == "purchase", "finished").when(F.col("event_type") == "error", "failed").otherwise("running")
     return events.select(
-        F.col("user_id").alias("run_id"), F.col("event_id").alias("step"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), state.alias("state"), F.when(F.col("event_id") % 3 == 0, F.col("props")).alias("config"))
+        F.col("user_id").alias("run_id"), F.col("event_id").alias("step"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), state.alias("state"), F.when(F.col("event_id") % 3 == 0, F.col("props")).alias("config"))
 
 
 @query("t7_run_status", STATUS_SQL, uses=("hist",))
