@@ -62,19 +62,22 @@ def mix_groups(schedule: DataFrame, label: str, key: str, k: int, weights: Colum
     leads a last group filled with seeded earlier rows of the level and gives its
     first r outputs only. Levels below k rows give single-label targets with the
     label in the last slot. Every scheduled row leads exactly one output.
+
+    Places in a level are a seeded shuffle already, so the fill rows are a run of places from a seeded start: no
+    further ordering is needed.
     """
     n, pos = F.col("level_rows"), F.col("pos")
     rest = n % k
     full = n - rest
-    early = (pos < full).cast("int")
-    fill = Window.partitionBy("level", "_early").orderBy(md5_key(seed, epoch, "fill", F.col(key)), F.col(key))
-    rows = schedule.withColumn("_early", early).withColumn("_fill", F.row_number().over(fill) - 1)
+    start = F.floor(uniform(seed, epoch, "fill", F.col("level")) * full)
+    fill = F.when((n >= k) & (rest > 0) & (pos < full), F.pmod(pos - start, full))
+    rows = schedule.withColumn("_fill", fill)
     group = F.floor(F.col("pos") / k)
     home = F.struct(
         F.when(n < k, pos.cast("bigint")).otherwise(group).alias("group"), F.when(n < k, F.lit(0)).otherwise((pos % k).cast("int")).alias("slot"),
         F.lit(True).alias("leads"))
     guest = F.struct((full / k).cast("bigint").alias("group"), (rest + F.col("_fill")).cast("int").alias("slot"), F.lit(False).alias("leads"))
-    fills = (n >= k) & (rest > 0) & (F.col("_early") == 1) & (F.col("_fill") < k - rest)
+    fills = F.coalesce(F.col("_fill") < k - rest, F.lit(False))
     member = rows.select("level", "level_rows", key, label, F.inline(F.when(fills, F.array(home, guest)).otherwise(F.array(home))))
     # At most k rows per (level, group).
     packed = member.groupBy("level", "group").agg(

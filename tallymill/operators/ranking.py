@@ -11,8 +11,11 @@ from tallymill.plans.indexing import Running, by_number, indexed, running
 
 
 def average_rank(df: DataFrame, within: Sequence[str], item: str, value: Column, higher_is_better: bool = True) -> DataFrame:
-    """Mean over groups of each item's rank, ties sharing the average rank. Repeated cells are averaged first,
-    so a group holds one row per item when it is ranked."""
+    """Mean over groups of each item's rank, ties sharing the average rank.
+
+    Repeated cells are averaged first with map-side combine, so a group holds one
+    row per compared item (a method, a recipe) when it is ranked, not its data rows.
+    """
     within = list(within)
     cells = df.groupBy(*within, item).agg(F.avg(value).alias("_v")).where("_v IS NOT NULL")
     order = F.desc("_v") if higher_is_better else F.asc("_v")

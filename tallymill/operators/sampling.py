@@ -148,19 +148,23 @@ def resampled_schedule(df: DataFrame, label: str, key: str, mode: str | int, see
         F.floor(F.col("id") / classes).alias("cycle"), (F.col("id") % classes).alias("_class")).join(numbered, "_class")
     draws = draws.withColumn("_member", F.floor(uniform(seed, epoch, F.col("cycle"), F.col(label)) * F.col("n")))
     members = indexed(df.select(label, key), [label], by_number(F.col(key)), "_member")
-    chosen = draws.join(members, [label, "_member"])
-    # A cycle holds one row per class.
-    inside = Window.partitionBy("cycle").orderBy(md5_key(seed, epoch, "cycle", F.col("cycle"), F.col(label)))
-    return chosen.select("cycle", (F.row_number().over(inside) - 1).alias("pos"), label, key)
+    # Places come from the draws alone, before the members are attached. A cycle holds one row per class, which
+    # can be many; all cycles are equally long, so their size is known.
+    inside = by_hash(md5_key(seed, epoch, "cycle", F.col("cycle"), F.col(label)), F.col(label))
+    each = df.sparkSession.range(cycles).select(F.col("id").alias("cycle"), F.lit(classes).alias("n"))
+    placed = indexed(draws.drop("n"), ["cycle"], inside, "pos", sizes=each)
+    return placed.join(members, [label, "_member"]).select("cycle", "pos", label, key)
 
 
 def natural_schedule(df: DataFrame, label: str, key: str, seed: int, epoch: int) -> DataFrame:
     """Every row once: ``level`` is its place in its class's seeded shuffle, ``pos`` its seeded place in the level,
     ``level_rows`` the size of the level. A level holds at most one row per class."""
     levels = indexed(df, [label], seeded(seed, epoch, F.col(key)), "level")
-    inside = Window.partitionBy("level")
-    order = inside.orderBy(md5_key(seed, epoch, "level", F.col(key)), F.col(key))
-    return levels.withColumns({"pos": F.row_number().over(order) - 1, "level_rows": F.count(F.lit(1)).over(inside)})
+    # Level 0 has a row of every class: with many small classes it is a large share of the table, so places inside a
+    # level take the cell plan too.
+    sizes, _ = pin(levels.groupBy("level").agg(F.count(F.lit(1)).alias("n")))
+    inside = by_hash(md5_key(seed, epoch, "level", F.col(key)), F.col(key))
+    return indexed(levels, ["level"], inside, "pos", sizes=sizes).join(sizes.withColumnRenamed("n", "level_rows"), "level")
 
 
 def natural_mixed_schedule(df: DataFrame, label: str, key: str, seed: int, epoch: int, buffer: int, row_size: int) -> DataFrame:

@@ -8,7 +8,9 @@ aggregate per cell, prefix-summed and joined back. The result equals the plain
 window exactly, for any skew. With no keys the whole table is one such group.
 
 Cells are a function of the row's own values, never of a partition id, so a
-recomputed task puts its rows where they were before.
+recomputed task puts its rows where they were before. The order value must
+therefore be reproducible: an average of doubles, whose last bits depend on the
+order of addition, should be written or checkpointed before it is cut.
 """
 
 from __future__ import annotations
@@ -98,13 +100,19 @@ def _bucket(bounds: Column, coarse: Column, step: Column, x: Column) -> Column:
     return F.when(block == 0, F.lit(0)).otherwise((block - 1) * step + 1 + inside)
 
 
-def with_cells(df: DataFrame, keys, order: Order) -> tuple[DataFrame, bool]:
-    """Adds the cell number, NULL for groups that are left whole; the flag says whether any group was cut."""
+def with_cells(df: DataFrame, keys, order: Order, sizes: DataFrame | None = None) -> tuple[DataFrame, bool]:
+    """Adds the cell number, NULL for groups that are left whole; the flag says whether any group was cut.
+
+    ``sizes`` may give the known group sizes (keys, n) and saves counting them.
+    """
     keys = list(keys)
     limit = cell_rows(df)
     key_cols = [F.col(f"`{k}`") for k in keys]
-    sizes = df.groupBy(*key_cols).agg(F.count(F.lit(1)).alias("__rows")).filter(F.col("__rows") > limit)
-    hot, rows = pin(sizes)
+    if sizes is None:
+        counted = df.groupBy(*key_cols).agg(F.count(F.lit(1)).alias("__rows"))
+    else:
+        counted = sizes.select(*key_cols, F.col("n").alias("__rows"))
+    hot, rows = pin(counted.filter(F.col("__rows") > limit))
     if rows is not None and not rows:
         return df.withColumn(CELL, F.lit(None).cast("int")), False
     if order.unit:
@@ -132,7 +140,7 @@ def with_cells(df: DataFrame, keys, order: Order) -> tuple[DataFrame, bool]:
     return out.withColumn(CELL, cell).drop("__bounds", "__coarse"), True
 
 
-def running(df: DataFrame, keys, order: Order, values: dict[str, Running], keep=None) -> DataFrame:
+def running(df: DataFrame, keys, order: Order, values: dict[str, Running], keep=None, sizes: DataFrame | None = None) -> DataFrame:
     """Adds the running ``values`` of each group in ``order``.
 
     ``keep`` may name a predicate over ``__before_<name>`` columns (what the
@@ -140,7 +148,7 @@ def running(df: DataFrame, keys, order: Order, values: dict[str, Running], keep=
     shuffles them. It must only drop rows the caller drops anyway.
     """
     keys = list(keys)
-    tagged, cut = with_cells(df, keys, order)
+    tagged, cut = with_cells(df, keys, order, sizes)
     key_cols = [F.col(f"`{k}`") for k in keys]
     if not cut:
         ordered = (Window.partitionBy(*key_cols) if keys else Window.partitionBy(F.col(CELL))).orderBy(*order.columns)
@@ -163,9 +171,9 @@ def running(df: DataFrame, keys, order: Order, values: dict[str, Running], keep=
     return out.drop(CELL, *[f"__before_{n}" for n in values])
 
 
-def indexed(df: DataFrame, keys, order: Order, name: str = "idx", base: int = 0) -> DataFrame:
+def indexed(df: DataFrame, keys, order: Order, name: str = "idx", base: int = 0, sizes: DataFrame | None = None) -> DataFrame:
     """Position of each row in its group's order, starting at ``base``."""
-    out = running(df, keys, order, {name: Running("index")})
+    out = running(df, keys, order, {name: Running("index")}, sizes=sizes)
     return out if base == 1 else out.withColumn(name, F.col(name) + (base - 1))
 
 

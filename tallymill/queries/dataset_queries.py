@@ -94,7 +94,7 @@ def capped_label_sample(t):
 WITH n AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang),
 m AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i FROM documents),
 d AS (SELECT r.range AS cycle, n.lang, CAST(floor({u(3, 2, 'r.range', 'n.lang')} * n.n) AS BIGINT) AS i FROM n, range(1000000) r WHERE r.range < (SELECT min(n) FROM n))
-SELECT d.cycle, CAST(row_number() OVER (PARTITION BY d.cycle ORDER BY {h(3, 2, "'cycle'", 'd.cycle', 'd.lang')}) - 1 AS INTEGER) AS pos, d.lang, m.doc_id FROM d JOIN m ON m.lang = d.lang AND m.i = d.i
+SELECT d.cycle, row_number() OVER (PARTITION BY d.cycle ORDER BY {h(3, 2, "'cycle'", 'd.cycle', 'd.lang')}) - 1 AS pos, d.lang, m.doc_id FROM d JOIN m ON m.lang = d.lang AND m.i = d.i
 """)
 def resampled_schedule(t):
     return D.resampled_schedule(t.documents, "lang", "doc_id", "min", 3, 2)
@@ -108,7 +108,7 @@ def schedule(t):
     return D.natural_schedule(t.documents.select("lang", "doc_id"), "lang", "doc_id", 42, 0)
 
 
-@query("d7_natural_schedule", f"WITH {LEVELS} SELECT lang, doc_id, level, CAST(pos AS INTEGER) AS pos, n AS level_rows FROM lv")
+@query("d7_natural_schedule", f"WITH {LEVELS} SELECT lang, doc_id, level, pos, n AS level_rows FROM lv")
 def natural_schedule(t):
     return schedule(t)
 
@@ -133,7 +133,8 @@ RAW = ", ".join(f"-ln({u(42, 0, chr(39) + 'weights' + chr(39), 'level', j)} + 1e
 @query("d9_mix_groups", f"""
 WITH {LEVELS},
 home AS (SELECT level, n, doc_id, lang, CASE WHEN n < {K} THEN pos ELSE pos // {K} END AS grp, CASE WHEN n < {K} THEN 0 ELSE pos % {K} END AS slot, 1 AS leads FROM lv),
-fill AS (SELECT *, row_number() OVER (PARTITION BY level ORDER BY {h(42, 0, "'fill'", 'doc_id')}, doc_id) - 1 AS f FROM lv WHERE n >= {K} AND n % {K} > 0 AND pos < n - n % {K}),
+fill AS (SELECT *, ((pos - CAST(floor({u(42, 0, "'fill'", 'level')} * (n - n % {K})) AS BIGINT)) % (n - n % {K}) + (n - n % {K})) % (n - n % {K}) AS f
+  FROM lv WHERE n >= {K} AND n % {K} > 0 AND pos < n - n % {K}),
 guest AS (SELECT level, n, doc_id, lang, n // {K} AS grp, n % {K} + f AS slot, 0 AS leads FROM fill WHERE f < {K} - n % {K}),
 mem AS (SELECT * FROM home UNION ALL SELECT * FROM guest),
 packed AS (SELECT level, grp, max(n) AS n, sum(leads) AS outs, list(lang ORDER BY slot) AS ls, list(doc_id ORDER BY slot) AS ks FROM mem GROUP BY level, grp),
