@@ -184,9 +184,13 @@ def grid_coverage(rows: DataFrame, group: Sequence[str], axes: dict[str, Sequenc
     return wanted.join(rows.select(*group, *axes).distinct(), [*group, *axes], "left_anti")
 
 
+# Fixed value: the method name of runs without a baseline tag, also the kind of a sweep row.
+DEFAULT_METHOD = "labelmix"
+
+
 def with_method(df: DataFrame, tags: str = "tags", method: str = "method") -> DataFrame:
-    """The existing method where set, else ``baseline`` if a tag contains it, else ``labelmix``."""
-    derived = F.when(F.exists(tags, lambda t: t.contains("baseline")), "baseline").otherwise("labelmix")
+    """The existing method where set, else ``baseline`` if a tag contains it, else the default method."""
+    derived = F.when(F.exists(tags, lambda t: t.contains("baseline")), "baseline").otherwise(DEFAULT_METHOD)
     return df.withColumn(method, F.coalesce(F.col(method), derived) if method in df.columns else derived)
 
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tallymill.hashing import digest_long, md5_key
+from tallymill.operators.aggregates import DEFAULT_METHOD
 from tallymill.plans.sizing import join_null_safe
 from tallymill.sources.paths import basename
 
@@ -205,7 +206,7 @@ def harmonised_union(baseline: DataFrame, sweep: DataFrame, labels: dict[str, st
         none("int").alias("k"), F.col("n_seeds").cast("bigint").alias("n_seeds"), F.col("top1_mean").alias("eval_top1_mean"), F.col("top1_std").alias("eval_top1_std"),
         (F.col("ece_mean") * 100).alias("eval_ece_mean"), (F.col("ece_std") * 100).alias("eval_ece_std"))
     second = sweep.select(
-        F.lit("labelmix").alias("kind"), F.col("loss").alias("label"), "loss", "alpha", F.col("k").cast("int").alias("k"), F.lit(1).cast("bigint").alias("n_seeds"),
+        F.lit(DEFAULT_METHOD).alias("kind"), F.col("loss").alias("label"), "loss", "alpha", F.col("k").cast("int").alias("k"), F.lit(1).cast("bigint").alias("n_seeds"),
         F.col("eval_top1").alias("eval_top1_mean"), none("double").alias("eval_top1_std"), F.col("eval_ece").alias("eval_ece_mean"), none("double").alias("eval_ece_std"))
     return first.where("eval_top1_mean IS NOT NULL AND eval_ece_mean IS NOT NULL").unionByName(second)
 
