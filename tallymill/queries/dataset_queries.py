@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallymill.hashing import md5_key
 from tallymill.operators import mixing as X
 from tallymill.operators import sampling as D
 from tallymill.plans.indexing import by_number
