@@ -135,6 +135,7 @@ def metrics_across_seeds(rows: DataFrame, group: Sequence[str], metrics: Sequenc
     for m in metrics:
         parts += [F.avg(c(m)).alias(f"{m}_mean"), F.stddev_samp(c(m)).alias(f"{m}_std"), F.count(c(m)).alias(f"{m}_n")]
     number = F.col(level).try_cast("int")
+    parts.append(F.count(F.lit(1)).alias("n_seeds"))
     return rows.groupBy(*group).agg(*parts).withColumn("level_order", F.coalesce(number, F.lit(2_147_483_647)))
 
 

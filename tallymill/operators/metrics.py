@@ -211,8 +211,12 @@ def average_copies(df: DataFrame, source: Column, num_classes: int) -> DataFrame
     )
 
 
-def weighted_meter(df: DataFrame, keys: Sequence[str], value: Column, weight: Column) -> DataFrame:
-    return df.groupBy(*keys).agg((F.sum(value * weight) / F.sum(weight)).alias("avg"), F.sum(weight).alias("count"))
+def weighted_meter(df: DataFrame, keys: Sequence[str], value: Column, weight: Column, order: Column | None = None) -> DataFrame:
+    """Weighted average and total weight per run; with ``order`` also the last value."""
+    parts = [(F.sum(value * weight) / F.sum(weight)).alias("avg"), F.sum(weight).alias("count")]
+    if order is not None:
+        parts.append(F.max_by(value, order).alias("val"))
+    return df.groupBy(*keys).agg(*parts)
 
 
 def running_meter(df: DataFrame, keys: Sequence[str], order: Order, value: Column, weight: Column) -> DataFrame:

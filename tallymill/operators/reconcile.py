@@ -99,6 +99,13 @@ def first_existing(rows: DataFrame, keys: Sequence[str], candidates: str, invent
     return out.withColumn("tried", F.when(F.col("found").isNull(), F.array_join(candidates, "; ")))
 
 
+def candidate_dirs(output: Column, experiment: Column, roots: Sequence[str]) -> Column:
+    """Run folders to try, in order: an absolute output alone, else the output below each root."""
+    clean = F.regexp_replace(output, r"^\./", "")
+    below = F.array(*[F.concat_ws("/", F.lit(r.rstrip("/")), clean, experiment) for r in roots])
+    return F.when(clean.startswith("/"), F.array(F.concat_ws("/", clean, experiment))).otherwise(below)
+
+
 def eval_key(name: Column, run_id: Column) -> Column:
     return F.concat_ws("__", name, run_id)
 

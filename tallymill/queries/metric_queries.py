@@ -173,11 +173,11 @@ def running_meter(t):
 
 @query("m13_meter_total", """
 SELECT user_id, round(sum(value * (1 + event_id % 4)) / sum(1 + event_id % 4), 6) AS avg,
-       CAST(sum(1 + event_id % 4) AS BIGINT) AS count FROM events GROUP BY user_id
+       CAST(sum(1 + event_id % 4) AS BIGINT) AS count, arg_max(value, event_id) AS val FROM events GROUP BY user_id
 """)
 def meter_total(t):
-    out = M.weighted_meter(t.events, ["user_id"], F.col("value"), 1 + F.col("event_id") % 4)
-    return out.select("user_id", r6(F.col("avg"), "avg"), "count")
+    out = M.weighted_meter(t.events, ["user_id"], F.col("value"), 1 + F.col("event_id") % 4, F.col("event_id"))
+    return out.select("user_id", r6(F.col("avg"), "avg"), "count", "val")
 
 
 def mixed(t):

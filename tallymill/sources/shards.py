@@ -52,18 +52,21 @@ def the_complete_group(files: DataFrame, path: str = "path") -> tuple[str, str,
 def select_split(shards: DataFrame, spec: str, split: str = "split", shard: str = "shard", length: str = "shard_length") -> tuple[DataFrame, DataFrame]:
     """The shards a split spec names and a one-row table with their sample count.
 
-    ``train`` takes a whole split, ``train-{3..7}`` a range of its shards,
-    ``train-{3..7}|500`` fixes the sample count. The range becomes a predicate
-    on the shard number, so a later read touches only those files.
+    ``train`` takes a whole split (an unknown name is an error), ``train-{3..7}``
+    a range of its shards, also written as a file pattern
+    ``data-train-{0003..0007}.tar``; ``…|500`` fixes the sample count. The range
+    becomes a predicate on the shard number, so a later read touches only those files.
     """
     text, _, count = spec.partition("|")
-    match = re.fullmatch(r"(.*?)-?\{(\d+)\.\.(\d+)\}", text)
+    match = re.fullmatch(r"(.*?)-?\{(\d+)\.\.(\d+)\}(?:\.\w+)*", text)
     if match:
-        name, low, high = match.group(1), int(match.group(2)), int(match.group(3))
+        prefix, low, high = match.group(1), int(match.group(2)), int(match.group(3))
         chosen = shards.where(F.col(shard).between(low, high))
+        if prefix:
+            chosen = chosen.where(F.col(split).isin(prefix, prefix.rsplit("-", 1)[-1]))
     else:
-        name, chosen = text, shards
-    if name:
-        chosen = chosen.where(F.col(split) == name)
+        chosen = shards.where(F.col(split) == text)
+        if chosen.limit(1).count() == 0:
+            raise ValueError(f"unknown split {text!r}")
     samples = F.lit(int(count)) if count else F.sum(length)
     return chosen, chosen.agg(F.count(F.lit(1)).alias("shards"), samples.cast("bigint").alias("num_samples"))

@@ -103,3 +103,6 @@ def test_select_split_ranges(spark):
     df = spark.createDataFrame([("train", i, 10) for i in range(6)] + [("val", 0, 5)], "split string, shard int, shard_length int")
     pick = lambda spec: shards.select_split(df, spec)[1].first()
     assert tuple(pick("train-{1..3}")) == (3, 30) and tuple(pick("val")) == (1, 5) and tuple(pick("train-{0..1}|7")) == (2, 7)
+    assert tuple(pick("data-train-{0002..0003}.tar")) == (2, 20)
+    with pytest.raises(ValueError):
+        pick("absent")
