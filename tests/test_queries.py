@@ -8,7 +8,7 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-import __spark_entry__ as entry  # noqa: E402
+from tallymill.queries import ORACLES, QUERIES  # noqa: E402
 from tools.verify import check  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -30,15 +30,15 @@ def con():
 
 
 def test_every_query_has_a_check():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == ROWS_ONLY
+    assert set(QUERIES) - set(ORACLES) == ROWS_ONLY
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    df = entry.queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     got = (df.columns, [tuple(r) for r in df.collect()])
     if name in ROWS_ONLY:
         assert got[1]
         return
-    cur = con.execute(entry.oracle_sql()[name])
+    cur = con.execute(ORACLES[name])
     assert check(got, ([d[0] for d in cur.description], cur.fetchall())) is None
