@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallymill.llm import html, rules, urls
+from tallymill.llm import decontaminate, html, neardup, rules, urls
 from tallymill.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,15 @@ def quality_rules(t: Tables) -> DataFrame:
 @query("op10_html_extraction")
 def html_extraction(t: Tables) -> DataFrame:
     return html.extract_main(t.pages).select("page_id", "url", "text", "n_chars")
+
+
+@query("op6_benchmark_decontamination")
+def benchmark_decontamination(t: Tables) -> DataFrame:
+    found = decontaminate.find_benchmark(t.documents.select("doc_id", "text"), t.benchmark)
+    digest = F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
+
+
+@query("op3_simhash_near_dedup")
+def simhash_near_dedup(t: Tables) -> DataFrame:
+    return neardup.near_duplicates(t.documents.select("doc_id", "text"))
