@@ -185,8 +185,8 @@ def _extract(pages: pa.Array, winners: pa.Array) -> pa.Array:
 def host_paths(pages: DataFrame, html: str = "html", url: str = "url", min_share: float = MIN_SHARE) -> DataFrame:
     """``(host, paths)``: each host's winning paths, most votes first, ties by path."""
     vote = F.arrow_udf(_vote, "string")
-    votes = pages.select(url_host(F.col(f"`{url}`")).alias("host"), vote(F.col(f"`{html}`")).alias("path")).where("path IS NOT NULL")
-    counted = votes.groupBy("host", "path").agg(F.count("*").alias("n"))
+    votes = pages.select(url_host(F.col(f"`{url}`")).alias("host"), vote(F.col(f"`{html}`")).alias("path"))
+    counted = votes.groupBy("host", "path").agg(F.count("*").alias("n")).where("path IS NOT NULL")
     shared = counted.withColumn("total", F.sum("n").over(Window.partitionBy("host"))).where(F.col("n") >= F.col("total") * min_share)
     ranked = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "path")))
     return shared.groupBy("host").agg(F.transform(ranked, lambda x: x["path"]).alias("paths"))

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallymill.llm import decontaminate, html, neardup, rules, urls
+from tallymill.llm import decontaminate, html, lines, mixing, neardup, quality, rules, urls
+from tallymill.llm.targets import MIX_SEED, MIX_WEIGHTS, mix_domain
 from tallymill.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +77,21 @@ def benchmark_decontamination(t: Tables) -> DataFrame:
 @query("op3_simhash_near_dedup")
 def simhash_near_dedup(t: Tables) -> DataFrame:
     return neardup.near_duplicates(t.documents.select("doc_id", "text"))
+
+
+@query("op5_quality_classifier")
+def quality_classifier(t: Tables) -> DataFrame:
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    docs = t.documents.select("doc_id", "text", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"))
+    return quality.score_quality(docs, t.labels, ~F.col("held_out")).select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op4_line_dedup")
+def line_dedup(t: Tables) -> DataFrame:
+    return lines.remove_repeated(t.documents.select("doc_id", "text")).select("doc_id", "n_removed", "chars_removed", "text")
+
+
+@query("op9_source_mixing")
+def source_mixing(t: Tables) -> DataFrame:
+    mixed = mixing.mix(t.documents, MIX_WEIGHTS, mix_domain(F.col("source")), seed=MIX_SEED)
+    return mixed.select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
