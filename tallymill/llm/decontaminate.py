@@ -174,3 +174,9 @@ def find_benchmark(
 def _length(spans):
     """Total length of ``start, end`` pairs: ends count up, starts count down."""
     return F.aggregate(F.transform(spans, lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("bigint"), lambda a, x: a + x)
+
+
+def keep_clean(docs: DataFrame, bench: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` without a hit, with their columns as they came."""
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("__text"))
+    return find_benchmark(row, bench, "__text", **options).where(~F.col("contaminated")).select("row.*")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallymill.llm import decontaminate, html, lines, mixing, neardup, quality, rules, urls
+from tallymill.llm import decontaminate, html, lines, mixing, neardup, pii, ppm, quality, rules, urls
 from tallymill.llm.targets import MIX_SEED, MIX_WEIGHTS, mix_domain
 from tallymill.tables import Tables
 
@@ -95,3 +95,13 @@ def line_dedup(t: Tables) -> DataFrame:
 def source_mixing(t: Tables) -> DataFrame:
     mixed = mixing.mix(t.documents, MIX_WEIGHTS, mix_domain(F.col("source")), seed=MIX_SEED)
     return mixed.select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
+
+
+@query("op8_pii")
+def personal_data(t: Tables) -> DataFrame:
+    return pii.find_pii(t.documents)
+
+
+@query("op1_lm_scoring")
+def lm_scoring(t: Tables) -> DataFrame:
+    return ppm.score_texts(t.documents, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0)
