@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tallymill.llm.common import kept
 
 ORDER = 5
-SHARE = 17
+SHARE = 19
 START, END = 0xFE, 0xFF
 SYMBOLS = 255  # all bytes and the end mark, but not the start mark
 BLOCK_BYTES = 8 << 20
