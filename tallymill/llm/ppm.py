@@ -10,9 +10,10 @@ counts of the symbols left out. After an escape the symbols of the longer contex
 counts. Below the empty context all remaining bytes are equally likely. The model is pretrained and stays fixed while it
 scores, so a text's score is a sum over its bytes, looked up for whole batches of bytes at a time.
 
-The unigram base needs a count per word, a table that grows with the corpus, so it is joined, not broadcast: documents
-are written in blocks of some megabytes, each block sends its distinct words to the word counts, and each block's words
-come back to its documents. A frequent word is one row per block, so no word is a hot key.
+The unigram base needs a count per word, a table that grows with the corpus, so it is exchanged, not broadcast:
+documents are packed in blocks of some megabytes, each block sends its distinct words to the hash parts of the
+vocabulary, a part adds them up and sends each block its words' counts back, where they meet the block's texts. The
+number of parts follows the input's size. A frequent word is one entry per block, so no word is a hot key.
 
 Defined cases: NULL and empty texts have the end mark alone; a NULL id is a training text; with no training text every
 byte is equally likely and ``base_score`` is NULL; repeated rows count each time; the bytes FF and FE, which UTF-8 never
@@ -22,10 +23,13 @@ holds, serve as the end and start marks; input columns are not carried.
 from __future__ import annotations
 
 import uuid
+import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallymill.llm.common import kept
@@ -35,8 +39,11 @@ SHARE = 19
 START, END = 0xFE, 0xFF
 SYMBOLS = 255  # all bytes and the end mark, but not the start mark
 BLOCK_BYTES = 8 << 20
+PART_BYTES = 16 << 20
+END_TOKEN = b"\t"
+STEP = 500  # documents looked at together
 SLICE = 1 << 20
-MERGE = 8 << 20
+MERGE = 2 << 20
 
 
 def framed(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -68,14 +75,15 @@ def _count_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return order, np.bincount(where, weights=sums, minlength=len(order)).astype(np.int64)
 
     for batch in batches:
-        data, _ = framed(batch.column(0).to_pylist())
-        for begin in range(ORDER, len(data), SLICE):
-            got = runs(data, begin, min(begin + SLICE, len(data)))
-            waiting.append(np.unique(got[(got & 0xFF) != START], return_counts=True))
-            held += len(waiting[-1][0])
-        if held > MERGE // 4:
-            keys, counts = merged()
-            waiting, held = [], 0
+        for k in range(0, batch.num_rows, STEP):
+            data, _ = framed(batch.column(0).slice(k, STEP).to_pylist())
+            for begin in range(ORDER, len(data), SLICE):
+                got = runs(data, begin, min(begin + SLICE, len(data)))
+                waiting.append(np.unique(got[(got & 0xFF) != START], return_counts=True))
+                held += len(waiting[-1][0])
+            if held > MERGE:
+                keys, counts = merged()
+                waiting, held = [], 0
     keys, counts = merged()
     for k in range(0, len(keys), 1 << 18):
         yield pa.RecordBatch.from_arrays([pa.array(keys[k:k + (1 << 18)]), pa.array(counts[k:k + (1 << 18)])], ["run", "n"])
@@ -212,47 +220,84 @@ class Trie:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds a block name to rows (any columns, text last); a block ends at ``BLOCK_BYTES`` or with the task."""
-    name, size = uuid.uuid4().hex, 0
+    """One row per block of documents: a random name, their columns as lists, and their texts packed."""
+    packer = zstandard.ZstdCompressor(level=3)
+    ids, held, sizes, texts, size = [], [], [], [], 0
+
+    def row():
+        return pa.RecordBatch.from_arrays(
+            [pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([pa.concat_arrays(ids).to_pylist()], pa.list_(ids[0].type)), pa.array([held], pa.list_(pa.bool_())),
+             pa.array([sizes], pa.list_(pa.int64())), pa.array([packer.compress(b"".join(texts))], pa.binary())], ["block", "ids", "held", "sizes", "texts"])
+
     for batch in batches:
-        names = []
-        for text in batch.column(batch.num_columns - 1):
-            names.append(name)
-            size += len(text.as_py() or b"") + 64
+        for k in range(0, batch.num_rows, STEP):
+            part = batch.slice(k, STEP)
+            ids.append(part.column(0))
+            held += part.column(1).to_pylist()
+            for text in part.column(2).to_pylist():
+                texts.append(text or b"")
+                sizes.append(len(texts[-1]))
+                size += sizes[-1] + 64
             if size >= BLOCK_BYTES:
-                name, size = uuid.uuid4().hex, 0
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string())], [*batch.schema.names, "block"])
+                yield row()
+                ids, held, sizes, texts, size = [], [], [], [], 0
+    if ids:
+        yield row()
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    """Words, then the end token (empty)."""
-    return [*(text or b"").lower().split(), b""]
+def unpacked(sizes: list[int], texts: bytes) -> list[bytes]:
+    data, out, at = zstandard.ZstdDecompressor().decompress(texts, max_output_size=sum(sizes)) if sum(sizes) else b"", [], 0
+    for size in sizes:
+        out.append(data[at:at + size])
+        at += size
+    return out
 
 
-def _block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(block, word, n)``: how often training rows of a block have each of its words."""
-    names, words, counts = [], [], []
-    held: dict[bytes, int] = {}
-    last = None
+def tokens(text: bytes | None) -> list[bytes]:
+    """Words, then the end token (a tab, which no word holds)."""
+    return [*(text or b"").lower().split(), END_TOKEN]
+
+
+def _block_words(parts: int):
+    """``(block, part, words, n)``: a block's words by hash part, joined by spaces, and how often training texts have them."""
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                block, held, sizes, texts = (c[k].as_py() for c in batch.columns)
+                counts: dict[bytes, int] = {}
+                for text, out in zip(unpacked(sizes, texts), held):
+                    step, get = int(not out), counts.get
+                    for word in tokens(text):
+                        counts[word] = get(word, 0) + step
+                words = defaultdict(list)
+                for word in counts:
+                    words[zlib.crc32(word) % parts].append(word)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block] * len(words), pa.int64()), pa.array(list(words), pa.int32()), pa.array([b" ".join(w) for w in words.values()], pa.binary()),
+                     pa.array([[counts[x] for x in w] for w in words.values()], pa.list_(pa.int64()))], ["block", "part", "words", "n"])
+
+    return split
+
+
+def _sum_words(rows: pa.Table) -> pa.Table:
+    """All blocks' words of one part with their sums; one more row, block -1, has the sum and number of those above zero."""
+    split = [w.split(b" ") for w in rows.column("words").to_pylist()]
+    sums: dict[bytes, int] = {}
+    for words, n in zip(split, rows.column("n").to_pylist()):
+        for word, k in zip(words, n):
+            sums[word] = sums.get(word, 0) + k
+    counts = [[sums[x] for x in words] for words in split]
+    known = [v for v in sums.values() if v]
+    return pa.table({
+        "block": pa.array([*rows.column("block").to_pylist(), -1], pa.int64()), "words": pa.array([*rows.column("words").to_pylist(), b""], pa.binary()),
+        "c": pa.array([*counts, [sum(known), len(known)]], pa.list_(pa.int64()))})
 
-    def rows():
-        return pa.RecordBatch.from_arrays(
-            [pa.array([last] * len(held), pa.string()), pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], ["block", "word", "n"])
 
-    for batch in batches:
-        for held_out, text, block in zip(*(c.to_pylist() for c in batch.columns)):
-            if block != last:
-                if held:
-                    yield rows()
-                held, last = {}, block
-            step, get = int(not held_out), held.get
-            for word in tokens(text):
-                held[word] = get(word, 0) + step
-    if held:
-        yield rows()
+_TRIES: dict[str, Trie] = {}
 
 
-_TRIES: dict[str, Trie] = {}
+SCORED = pa.schema([
+    ("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
 def _scorer(model, n_train: int, v_train: int):
@@ -263,19 +308,24 @@ def _scorer(model, n_train: int, v_train: int):
         if key not in _TRIES:
             _TRIES.clear()
             _TRIES[key] = Trie(*model.value)
-        counts = words.column("c").to_numpy()
-        known = dict(zip(words.column("word").to_pylist(), zip((counts > 0).tolist(), np.log10(counts + 0.1).tolist())))
-        texts = rows.column("text").to_pylist()
-        totals, n_known, base = [], [], []
-        for text in texts:
-            got = [known[w] for w in tokens(text)]
-            totals.append(len(got))
-            n_known.append(sum(g[0] for g in got))
-            base.append(sum(g[1] for g in got) - len(got) * divisor if n_train else None)
-        return pa.table({
-            "id": rows.column("id"), "held_out": rows.column("held_out"), "n_tokens": pa.array(totals, pa.int64()),
-            "n_known": pa.array(n_known, pa.int64()), "base_score": pa.array(base, pa.float64()),
-            "score": pa.array(_TRIES[key].score(texts), pa.float64())})
+        logs: dict[bytes, float] = {}
+        for joined, c in zip(words.column("words"), words.column("c")):
+            logs.update(zip(joined.as_py().split(b" "), np.log10(c.values.to_numpy() + 0.1).tolist()))
+        out = []
+        for k in range(rows.num_rows):
+            _, ids, held, sizes, packed = (c[k] for c in rows.columns)
+            texts, totals, known, base, scores = unpacked(sizes.as_py(), packed.as_py()), [], [], [], []
+            for text in texts:
+                got = np.array([logs[w] for w in tokens(text)])
+                totals.append(len(got))
+                known.append(int((got > -0.5).sum()))  # log10(0.1) is -1, log10(1.1) above 0
+                base.append(float(got.sum() - len(got) * divisor) if n_train else None)
+            for at in range(0, len(texts), STEP):
+                scores.append(_TRIES[key].score(texts[at:at + STEP]))
+            out.append(pa.table({
+                "id": ids.values, "held_out": held.values, "n_tokens": pa.array(totals, pa.int64()), "n_known": pa.array(known, pa.int64()),
+                "base_score": pa.array(base, pa.float64()), "score": pa.array(np.concatenate(scores), pa.float64())}))
+        return pa.concat_tables(out) if out else SCORED.empty_table()
 
     return score
 
@@ -284,14 +334,15 @@ def score_texts(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)``, learning from rows not held out."""
     rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(f"`{text}`").cast("binary").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    blocks = kept(rows.mapInArrow(_blocks, f"id {kind}, held_out boolean, text binary, block string"), "blocks")
-    table = count_runs(blocks.where("NOT held_out").select("text"), share)
+    table = count_runs(rows.where("NOT held_out").select("text"), share)
     model = docs.sparkSession.sparkContext.broadcast(tuple(table.column(c).to_numpy() for c in ("size", "run", "n")))
-    used = kept(blocks.select("held_out", "text", "block").mapInArrow(_block_words, "block string, word binary, n bigint"), "block-words")
-    counted = kept(used.groupBy("word").agg(F.sum("n").alias("c")), "words")
-    n_train, v_train = counted.agg(F.sum("c"), F.count(F.when(F.col("c") > 0, 1))).first()
-    back = used.select("block", "word").distinct().join(counted, "word").select("block", "word", "c")
-    scorer = _scorer(model, n_train or 0, v_train)
+    blocks = kept(rows.mapInArrow(_blocks, f"block bigint, ids array<{kind}>, held array<boolean>, sizes array<bigint>, texts binary"), "blocks")
+    size = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + x))).first()[0] or 0
+    parts = max(1, -(-size // PART_BYTES))
+    used = blocks.select("block", "held", "sizes", "texts").mapInArrow(_block_words(parts), "block bigint, part int, words binary, n array<bigint>")
+    counted = kept(used.groupBy("part").applyInArrow(_sum_words, "block bigint, words binary, c array<bigint>"), "words")
+    n_train, v_train = counted.where("block = -1").agg(F.sum(F.get("c", F.lit(0))), F.sum(F.get("c", F.lit(1)))).first()
+    scorer = _scorer(model, n_train or 0, v_train or 0)
     schema = f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
-    scored = blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(scorer, schema)
+    scored = blocks.groupBy("block").cogroup(counted.where("block <> -1").groupBy("block")).applyInArrow(scorer, schema)
     return scored.select(F.col("id").alias(doc_id), "held_out", "n_tokens", "n_known", F.lit(n_train or 0).cast("bigint").alias("train_tokens"), "base_score", "score")
