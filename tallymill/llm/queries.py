@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallymill.llm import decontaminate, html, lines, mixing, neardup, pii, ppm, quality, rules, urls
+from tallymill.llm.common import kept
 from tallymill.llm.targets import MIX_SEED, MIX_WEIGHTS, mix_domain
 from tallymill.tables import Tables
 
@@ -58,7 +59,7 @@ def url_filters(t: Tables) -> DataFrame:
 
 @query("op7_quality_rules")
 def quality_rules(t: Tables) -> DataFrame:
-    measured = rules.measure(t.documents, ["doc_id", "lang", "source"])
+    measured = kept(rules.measure(t.documents, ["doc_id", "lang", "source"]), "measured")
     return rules.judge(measured, "lang", "source").select("doc_id", *rules.COUNTS, "base_failed", "kept")
 
 

@@ -138,9 +138,12 @@ def thresholds(sketches: DataFrame, lang: str, source: str, min_group: int = MIN
     return joined.groupBy(lang, source).agg(*[F.max(F.when(F.col("rate") == r, chosen)).alias(f"max_{r}") for r in RATES])
 
 
-def judge(measured: DataFrame, lang: str, source: str, **options) -> DataFrame:
-    """``measured`` (a written table of counts, rates and ``base_failed``) with ``kept``."""
-    limits = kept(thresholds(sketch(measured, [lang, source]), lang, source, **options), "limits").withColumnsRenamed({lang: "__lang", source: "__source"})
+def _limits(measured: DataFrame, lang: str, source: str, **options) -> DataFrame:
+    found = kept(thresholds(sketch(measured, [lang, source]), lang, source, **options), "limits")
+    return found.withColumnsRenamed({lang: "__lang", source: "__source"})
+
+
+def _judged(measured: DataFrame, limits: DataFrame, lang: str, source: str) -> DataFrame:
     joined = measured.join(limits, measured[lang].eqNullSafe(F.col("__lang")) & measured[source].eqNullSafe(F.col("__source")), "left")
     within = F.lit(True)
     for rate in RATES:
@@ -148,17 +151,20 @@ def judge(measured: DataFrame, lang: str, source: str, **options) -> DataFrame:
     return joined.withColumn("kept", ~F.col("base_failed") & within).drop("__lang", "__source", *[f"max_{r}" for r in RATES])
 
 
+def judge(measured: DataFrame, lang: str, source: str, **options) -> DataFrame:
+    """``measured`` (a written table of counts, rates and ``base_failed``) with ``kept``."""
+    return _judged(measured, _limits(measured, lang, source, **options), lang, source)
+
+
 def measure(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """Counts and rates of each row next to the columns in ``keep``, written once."""
-    added = _columns()
-    counted = add_counts(docs, text)
-    return kept(counted.select(*[F.col(f"`{c}`") for c in keep], *[c.alias(n) for n, c in added.items()]), "measured")
+    """Counts and rates of each row next to the columns in ``keep``."""
+    return add_counts(docs, text).select(*[F.col(f"`{c}`") for c in keep], *[c.alias(n) for n, c in _columns().items()])
 
 
 def keep_quality(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", **options) -> DataFrame:
-    """The rows of ``docs`` that pass, with their columns as they came."""
-    columns = docs.columns
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"), F.col(f"`{text}`").alias("__text"),
+    """The rows of ``docs`` that pass, with their columns as they came. Texts are measured twice rather than written."""
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(f"`{text}`").alias("__text"),
                        F.col(f"`{lang}`").alias("__lang_of"), F.col(f"`{source}`").alias("__source_of"))
-    measured = measure(held, ["__row", "__lang_of", "__source_of"], "__text")
-    return judge(measured, "__lang_of", "__source_of", **options).where("kept").select("__row.*")
+    groups = ["__lang_of", "__source_of"]
+    limits = _limits(kept(measure(held, groups, "__text"), "measured"), *groups, **options)
+    return _judged(measure(held, ["__row", *groups], "__text"), limits, *groups).where("kept").select("__row.*")
