@@ -18,7 +18,7 @@ LOWER = UPPER.lower()
 def kept(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: lineage ends there and survives lost executors."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
