@@ -37,12 +37,11 @@ def flatten_value(value: Column) -> Column:
     return F.coalesce(listed, fields, F.try_variant_get(value, "$", "string"))
 
 
-def flatten_keys(text: Column, depth: int = 4, list_width: int = 500) -> Column:
-    """Dotted-key map of a nested JSON object. Lists, and objects below ``depth`` levels, become JSON text;
-    a list cell is ``list_width`` characters wide at most."""
+def flatten_keys(text: Column, depth: int = 4) -> Column:
+    """Dotted-key map of a nested JSON object. Lists, and objects below ``depth`` levels, become JSON text, whole."""
 
     def level(prefix, value, remaining):
-        listed = F.substring(F.when(F.try_variant_get(value, "$", "array<variant>").isNotNull(), F.to_json(value)), 1, list_width)
+        listed = F.when(F.try_variant_get(value, "$", "array<variant>").isNotNull(), F.to_json(value))
         leaf = F.coalesce(listed, F.try_variant_get(value, "$", "string"))
         one = lambda text: F.array(F.struct(prefix.alias("key"), text.alias("value")))
 

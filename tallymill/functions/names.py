@@ -25,10 +25,10 @@ TYPE_RULES = (
     ("openmixup-tla", "tla"),
     ("cutmix", "cutmix"),
     ("mixup", "mixup"),
-    ("pl-loss", "labelmix-pl"),
-    ("soft-ce", "labelmix-sce"),
+    ("pl-loss", "groupmix-pl"),
+    ("soft-ce", "groupmix-sce"),
     ("mosaic", "mosaic"),
-    ("mixed", "labelmix-mixed"),
+    ("mixed", "groupmix-mixed"),
     ("noaug", "noaug"),
     ("bare", "bare"),
 )

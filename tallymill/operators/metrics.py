@@ -59,6 +59,9 @@ class MetricRegistry:
         bins, which leaves at most a few dozen rows per group whatever the
         data size; every metric is finished from those rows.
         """
+        # Factories name the columns ``logits`` and ``label``.
+        df = df.withColumns({k: F.col(f"`{v}`") for k, v in (("logits", logits), ("label", label)) if k != v})
+        logits, label = "logits", "label"
         chosen = {n: self.get(n) for n in (names or self.names())}
         group = list(group)
         bins = sorted({b for m in chosen.values() for b in m.bins})
@@ -115,8 +118,15 @@ def _topk(k: int) -> Metric:
 
 register_metric("top1_acc")(lambda: _topk(1))
 register_metric("top5_acc")(lambda: _topk(5))
-register_metric("nll")(lambda: Metric({"nll": F.col("_nll")}, lambda s: s["nll"] / s["n"]))
-register_metric("brier")(lambda: Metric({"brier": F.col("_brier")}, lambda s: s["brier"] / s["n"]))
+
+def _mean(score: str) -> Metric:
+    """Mean of a score over the rows that have one: a missing label counts in neither sum."""
+    value = F.col(score)
+    return Metric({"sum": value, "rows": value.isNotNull().cast("double")}, lambda s: s["sum"] / F.nullif(s["rows"], F.lit(0.0)))
+
+
+register_metric("nll")(lambda: _mean("_nll"))
+register_metric("brier")(lambda: _mean("_brier"))
 register_metric("ece")(lambda: Metric(bins=CALIBRATION_BINS))
 
 

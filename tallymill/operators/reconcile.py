@@ -218,11 +218,15 @@ def harmonised_union(baseline: DataFrame, sweep: DataFrame, labels: dict[str, st
     return first.where("eval_top1_mean IS NOT NULL AND eval_ece_mean IS NOT NULL").unionByName(second)
 
 
-def experiment_grid(base: DataFrame, axes: dict[str, Sequence]) -> DataFrame:
-    """Every row of ``base`` with every combination of the axis values (lists from the study definition)."""
+def experiment_grid(base: DataFrame, axes: dict[str, Sequence | DataFrame]) -> DataFrame:
+    """Every row of ``base`` with every combination of the axis values: lists from the study definition, or one-column
+    tables of any length. The result is a product by definition."""
     out = base
     for name, values in axes.items():
-        out = out.withColumn(name, F.explode(F.lit(list(values))))
+        if isinstance(values, DataFrame):
+            out = out.crossJoin(values.toDF(name))
+        else:
+            out = out.withColumn(name, F.explode(F.lit(list(values))))
     return out
 
 

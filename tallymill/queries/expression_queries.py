@@ -41,7 +41,7 @@ SELECT type, count(*) AS n, CAST(sum(is_long) AS BIGINT) AS long_runs FROM (
  SELECT CASE WHEN lower(name) LIKE '%\\_\\_bare\\_%' ESCAPE '\\' OR lower(name) LIKE '%\\_\\_bare' ESCAPE '\\' THEN 'bare'
   WHEN contains(name, 'baseline') THEN 'baseline' WHEN contains(name, 'mixup_switch_prob=1.0') THEN 'cutmix'
   WHEN contains(name, 'mixup_switch_prob=0.0') THEN 'mixup' WHEN contains(name, 'openmixup-fmix') THEN 'fmix'
-  WHEN contains(name, 'pl-loss') THEN 'labelmix-pl' WHEN contains(name, 'soft-ce') THEN 'labelmix-sce'
+  WHEN contains(name, 'pl-loss') THEN 'groupmix-pl' WHEN contains(name, 'soft-ce') THEN 'groupmix-sce'
   WHEN contains(name, 'mosaic') THEN 'mosaic' ELSE 'unknown' END AS type,
   CASE WHEN contains(name, '__300__') THEN 1 ELSE 0 END AS is_long FROM runs) q GROUP BY type
 """, uses=("runs",))
@@ -69,11 +69,11 @@ def name_tokens(t):
 
 # Fixed values of the folder format.
 FOLDER_PATTERN = r"^([^_]+)__coco__img[0-9]+__(baseline|pl-loss|soft-ce|mosaic)__ptseed([0-9]+)__trseed([0-9]+)__[A-Za-z0-9]+$"
-FOLDER_TYPES = {"baseline": "baseline", "pl-loss": "labelmix-pl", "soft-ce": "labelmix-sce", "mosaic": "mosaic"}
+FOLDER_TYPES = {"baseline": "baseline", "pl-loss": "groupmix-pl", "soft-ce": "groupmix-sce", "mosaic": "mosaic"}
 
 
 @query("p4_parse_folder", """
-SELECT s_suppkey, 'vit-' || s_nationkey AS model, CASE s_suppkey % 5 WHEN 0 THEN 'baseline' WHEN 1 THEN 'labelmix-pl' WHEN 2 THEN 'labelmix-sce'
+SELECT s_suppkey, 'vit-' || s_nationkey AS model, CASE s_suppkey % 5 WHEN 0 THEN 'baseline' WHEN 1 THEN 'groupmix-pl' WHEN 2 THEN 'groupmix-sce'
   ELSE 'mosaic' END AS type, CAST(42 + s_suppkey % 3 AS INTEGER) AS ptseed, CAST(s_suppkey % 7 AS INTEGER) AS trseed
 FROM supplier WHERE s_suppkey % 5 <> 4
 """)

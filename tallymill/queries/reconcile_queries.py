@@ -142,7 +142,7 @@ def validate_selection(t):
 WITH a AS (SELECT model, CASE WHEN contains(recipe, 'bare_') THEN 'bare' WHEN contains(recipe, 'baseline') THEN 'baseline' ELSE 'other' END AS type, count(DISTINCT seed) AS n_seeds, avg(top1_acc) AS tm, stddev_samp(top1_acc) AS ts, avg(brier) AS em, stddev_samp(brier) AS es FROM runs GROUP BY 1, 2)
 SELECT 'baseline' AS kind, CASE type WHEN 'bare' THEN 'single image' ELSE 'baseline' END AS label, NULL AS loss, NULL::DOUBLE AS alpha, NULL::INTEGER AS k, n_seeds, round(tm, 6) AS eval_top1_mean, round(ts, 6) AS eval_top1_std, round(em * 100, 6) AS eval_ece_mean, round(es * 100, 6) AS eval_ece_std
 FROM a WHERE model = 'vit-wee' AND type IN ('bare', 'baseline')
-UNION ALL SELECT 'labelmix', 'soft_ce', 'soft_ce', 0.1, CAST(4 + seed % 2 AS INTEGER), 1, round(top1_acc, 6), NULL, round(nll, 6), NULL FROM runs WHERE contains(recipe, 'soft-ce')
+UNION ALL SELECT 'groupmix', 'soft_ce', 'soft_ce', 0.1, CAST(4 + seed % 2 AS INTEGER), 1, round(top1_acc, 6), NULL, round(nll, 6), NULL FROM runs WHERE contains(recipe, 'soft-ce')
 """, uses=("runs",))
 def harmonised_union(t):
     kind = F.when(F.col("recipe").contains("bare_"), "bare").when(F.col("recipe").contains("baseline"), "baseline").otherwise("other")
@@ -158,8 +158,7 @@ def harmonised_union(t):
 SELECT concat(b.p_brand, '__', r.r_name, '__lr=', l.txt, '__m', m.m, '__seed=', s.seed) AS name FROM (SELECT DISTINCT p_brand FROM part) b, region r, (VALUES ('0.001'), ('0.0005')) l(txt), (VALUES (5), (9)) m(m), (VALUES (42), (43)) s(seed)
 """)
 def experiment_grid(t):
-    regions = [r["r_name"] for r in t.region.select("r_name").limit(1000).collect()]
-    grid = J.experiment_grid(t.part.select("p_brand").distinct(), {"region": regions, "lr": [0.001, 0.0005], "magnitude": [5, 9], "seed": [42, 43]})
+    grid = J.experiment_grid(t.part.select("p_brand").distinct(), {"region": t.region.select("r_name"), "lr": [0.001, 0.0005], "magnitude": [5, 9], "seed": [42, 43]})
     return grid.select(F.concat_ws(
         "__", "p_brand", "region", F.concat(F.lit("lr="), general(F.col("lr"))), F.concat(F.lit("m"), F.col("magnitude").cast("string")), F.concat(F.lit("seed="), F.col("seed").cast("string"))).alias("name"))
 

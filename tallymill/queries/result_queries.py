@@ -27,8 +27,8 @@ def over_seeds(t):
 
 
 TYPE_CASE = """CASE WHEN contains(recipe, 'bare_') THEN 'bare' WHEN contains(recipe, 'baseline') THEN 'baseline' WHEN contains(recipe, 'switch_prob=1.0') THEN 'cutmix'
-  WHEN contains(recipe, 'switch_prob=0.0') THEN 'mixup' WHEN contains(recipe, 'fmix') THEN 'fmix' WHEN contains(recipe, 'pl-loss') THEN 'labelmix-pl'
-  WHEN contains(recipe, 'soft-ce') THEN 'labelmix-sce' ELSE 'mosaic' END"""
+  WHEN contains(recipe, 'switch_prob=0.0') THEN 'mixup' WHEN contains(recipe, 'fmix') THEN 'fmix' WHEN contains(recipe, 'pl-loss') THEN 'groupmix-pl'
+  WHEN contains(recipe, 'soft-ce') THEN 'groupmix-sce' ELSE 'mosaic' END"""
 G2_SQL = f"""
 SELECT type, dataset, model, long_horizon, count(DISTINCT seed) AS n_seeds, string_agg(DISTINCT CAST(seed AS VARCHAR), ',' ORDER BY CAST(seed AS VARCHAR)) AS seeds_present,
   concat_ws(',', CASE WHEN count(*) FILTER (WHERE seed = 42) = 0 THEN '42' END, CASE WHEN count(*) FILTER (WHERE seed = 43) = 0 THEN '43' END, CASE WHEN count(*) FILTER (WHERE seed = 44) = 0 THEN '44' END) AS missing_seeds,
@@ -152,7 +152,7 @@ def grid_coverage(t):
 
 @query("g11_method_tables", """
 SELECT model, method, round(avg(top1_acc), 6) AS top1_acc_mean, round(stddev_samp(top1_acc), 6) AS top1_acc_std, round(avg(ece), 6) AS ece_mean, round(avg(nll), 6) AS nll_mean, count(DISTINCT seed) AS n_seeds
-FROM (SELECT *, brier / 2 AS ece, CASE WHEN contains(recipe, 'pl-loss') THEN 'given' WHEN contains(recipe, 'baseline') THEN 'baseline' ELSE 'labelmix' END AS method FROM runs) q GROUP BY model, method
+FROM (SELECT *, brier / 2 AS ece, CASE WHEN contains(recipe, 'pl-loss') THEN 'given' WHEN contains(recipe, 'baseline') THEN 'baseline' ELSE 'groupmix' END AS method FROM runs) q GROUP BY model, method
 """, uses=("runs",))
 def method_tables(t):
     given = F.when(F.col("name").contains("pl-loss"), "given")

@@ -43,10 +43,13 @@ def path_label_index(files: DataFrame, extensions: Sequence[str] = IMAGE_EXTENSI
     return files.where(has_extension(F.col(path), extensions)).withColumn("label", label_from_path(F.col(path), leaf_only))
 
 
-def natural_key(text: Column, width: int = 20) -> Column:
-    """Sort key in which digit runs compare as numbers: lower case, each run zero-padded to ``width``."""
+def natural_key(text: Column) -> Column:
+    """Sort key in which digit runs of any length compare as numbers: lower case, each run behind its number of digits
+    (six places), without leading zeros."""
     parts = F.regexp_extract_all(F.lower(text), F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
-    padded = F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(p, width, "0")).otherwise(p))
+    digits = lambda p: F.regexp_replace(p, "^0+(?=[0-9])", "")
+    padded = F.transform(parts, lambda p: F.when(
+        p.rlike("^[0-9]"), F.concat(F.lpad(F.length(digits(p)).cast("string"), 6, "0"), digits(p))).otherwise(p))
     return F.array_join(padded, "")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from itertools import batched
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
@@ -151,9 +152,10 @@ def write_split(df: DataFrame, root: str, split: str | Column = "split", force:
     elif split != "split":
         df = df.withColumnRenamed(split, "split")
     if not force:
-        incoming = [r["split"] for r in df.select("split").distinct().limit(10_000).collect()]
-        taken = existing_files(spark, [f"{root.rstrip('/')}/split={s}" for s in incoming])
-        if taken:
-            raise FileExistsError(f"splits already written: {taken}")
+        # Any number of splits, a bounded number of names at a time.
+        for names in batched((r["split"] for r in df.select("split").distinct().toLocalIterator()), 10_000):
+            taken = existing_files(spark, [f"{root.rstrip('/')}/split={s}" for s in names])
+            if taken:
+                raise FileExistsError(f"splits already written: {taken}")
     writer = df.write.partitionBy("split").mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.parquet(root)

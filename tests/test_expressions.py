@@ -29,7 +29,7 @@ def test_parsed_columns_do_not_overwrite(spark):
     ("v__in1k__cutmix_mixup_switch_prob=1.0__seed=1", "cutmix"),
     ("v__in1k__openmixup-fmix__seed=1", "fmix"),
     ("v__unbalanced__x", "unbalanced-noaug"),
-    ("v__unbalanced__baseline_soft-ce", "unbalanced-labelmix-sce"),
+    ("v__unbalanced__baseline_soft-ce", "unbalanced-groupmix-sce"),
     ("V__BASELINE__soft-ce", "baseline"),
     ("nothing", "unknown"),
     (None, "unknown"),

@@ -149,3 +149,13 @@ def test_running_meter_with_cut_runs(spark, small_cells):
     for i in range(20):
         total, weight = total + i * (1 + i % 3), weight + 1 + i % 3
         assert got[i] == pytest.approx(total / weight)
+
+
+def test_registry_missing_labels_and_column_names(spark):
+    rows = [("a", [1.0, 2.0, 0.5], 1), ("a", [0.2, 0.1, 3.0], 2), ("a", [1.0, 1.0, 1.0], -1)]
+    df = spark.createDataFrame(rows, "model string, z array<double>, y int")
+    from tallymill.operators.metrics import REGISTRY
+
+    whole = {r["metric"]: r["value"] for r in REGISTRY.evaluate(df, ["model"], ["nll", "brier", "top1_acc"], logits="z", label="y").collect()}
+    labelled = {r["metric"]: r["value"] for r in REGISTRY.evaluate(df.where("y >= 0"), ["model"], ["nll", "brier"], logits="z", label="y").collect()}
+    assert whole["nll"] == labelled["nll"] and whole["brier"] == labelled["brier"]

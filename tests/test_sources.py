@@ -106,3 +106,13 @@ def test_select_split_ranges(spark):
     assert tuple(pick("data-train-{0002..0003}.tar")) == (2, 20)
     with pytest.raises(ValueError):
         pick("absent")
+
+
+def test_natural_key_long_runs(spark):
+    from pyspark.sql import functions as F
+
+    from tallymill.sources.paths import natural_key
+
+    names = ["n9", "n10", "n" + "1" * 25, "n" + "1" * 24 + "2", "n" + "9" * 24, "n007"]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in names], "s string").orderBy(natural_key(F.col("s"))).collect()]
+    assert got == ["n007", "n9", "n10", "n" + "9" * 24, "n" + "1" * 25, "n" + "1" * 24 + "2"]
