@@ -164,18 +164,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The row with the least id of each component (least text hash among rows of one id), columns as they came."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    key = F.struct(F.col(f"`{doc_id}`").isNull().alias("none"), F.col(f"`{doc_id}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("hash"))
-    marked = kept(docs.select(row, F.col(f"`{doc_id}`").alias("id"), key.alias("key"), fingerprint(text).alias("fp")), "marked")
+    """The row with the least id of each component (least text hash among rows of one id), columns as they came.
+
+    Only ids and hashes are written and grouped; ``docs`` is read again to meet the chosen ones, so texts move once.
+    """
+    own_id, own_hash = F.col(f"`{doc_id}`"), F.xxhash64(F.col(f"`{text}`"))
+    marked = kept(docs.select(own_id.alias("id"), own_hash.alias("hash"), fingerprint(text).alias("fp")), "fingerprints")
     labels = label_points(marked, "id", **options)
-    first = marked.select("fp", "key").join(labels, "fp").groupBy("component").agg(
-        F.min(F.struct("key", "fp")).alias("k"), F.count("*").alias("n"))
-    chosen = kept(first.select("k.key", "k.fp"), "chosen")
-    stay = marked.join(chosen, (marked["fp"] == chosen["fp"]) & marked["key"].eqNullSafe(chosen["key"]), "left_semi")
-    # Rows that repeat a chosen id and text are the only ones left to thin out, so only they are shuffled again.
-    repeated = marked.groupBy("fp", "key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("fp").alias("r_fp"), F.col("key").alias("r_key"))
-    same = (F.col("fp") == F.col("r_fp")) & F.col("key").eqNullSafe(F.col("r_key"))
-    single = stay.join(repeated, same, "left_anti").select("row.*")
-    several = stay.join(repeated, same, "left_semi").groupBy("fp", "key").agg(F.first("row").alias("row")).select("row.*")
+    # Rows of one id and text are one unit, so that the rare repeated row is all that is left to thin out.
+    units = marked.groupBy("id", "hash", "fp").agg(F.count("*").alias("n")).join(labels, "fp")
+    key = F.struct(F.col("id").isNull().alias("none"), "id", "hash")
+    first = units.groupBy("component").agg(F.min(F.struct(key.alias("key"), "n")).alias("k"))
+    chosen = kept(first.select(F.col("k.key.id").alias("__id"), F.col("k.key.hash").alias("__hash"), F.col("k.n").alias("__n")), "chosen")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), own_id.alias("__own"), own_hash.alias("__of"))
+    same = F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__of") == F.col("__hash"))
+    single = rows.join(chosen.where("__n = 1"), same, "left_semi").select("__row.*")
+    several = rows.join(chosen.where("__n > 1"), same, "left_semi").groupBy("__own", "__of").agg(F.first("__row").alias("__row")).select("__row.*")
     return single.unionByName(several)
