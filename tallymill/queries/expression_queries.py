@@ -228,11 +228,11 @@ def describe_label(t):
 
 
 @query("p14_describe_topk", """
-SELECT s.vec_id, string_agg(n.n_name, ',' ORDER BY s.rk) AS names FROM soft s JOIN nation n ON n.n_nationkey = s.c WHERE s.rk <= 3 GROUP BY s.vec_id
+SELECT s.vec_id, string_agg(n.p_name, ',' ORDER BY s.rk) AS names FROM soft s JOIN part n ON n.p_partkey = s.c + 1 WHERE s.rk <= 3 GROUP BY s.vec_id
 """, uses=("soft",))
 def describe_topk(t):
     top = t.preds.select("vec_id", F.transform(scores.ranked_classes(F.col("logits"), 3), lambda s: s["class"]).alias("top"))
-    dim = text.describe_label(t.nation.select(F.col("n_nationkey").alias("idx"), F.col("n_name").alias("lemma")))
+    dim = text.describe_label(t.part.select((F.col("p_partkey") - 1).alias("idx"), F.col("p_name").alias("lemma")))
     return text.describe_array(top, dim, "top", ["vec_id"]).select("vec_id", F.array_join("descriptions", ",").alias("names"))
 
 

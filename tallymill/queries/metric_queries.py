@@ -84,7 +84,7 @@ def ece(t):
 
 @query("m6_ece_meter", f"SELECT model, round(ece * 100, 6) AS ece_percent FROM ({ECE_SQL}) z WHERE bins = 15", uses=("scored",))
 def ece_meter(t):
-    soft = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.when(i == F.col("label"), 0.91).otherwise(0.01))
+    soft = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(i == F.col("label"), 0.91).otherwise(0.01))
     out = M.calibration_meter(t.preds.withColumn("soft", soft), ["model"], "soft")
     return out.select("model", r6(F.col("ece_percent"), "ece_percent"))
 
@@ -155,7 +155,7 @@ SELECT source_id, label, CAST(arg_max(c, l) AS INTEGER) AS pred, round(max(l), 6
 GROUP BY source_id, label
 """, uses=("plong",))
 def tta_mean(t):
-    mean = M.average_copies(t.preds, F.floor(F.col("vec_id") / 5), 10)
+    mean = M.average_copies(t.preds, F.floor(F.col("vec_id") / 5), 64)
     return mean.select("source_id", "label", scores.argmax(F.col("logits")).alias("pred"), r6(F.array_max("logits"), "best"))
 
 
@@ -203,7 +203,7 @@ SELECT model, round(avg(soft), 6) AS soft_ce, round(avg(0.9::DOUBLE * nll + 0.1:
   FROM soft GROUP BY vec_id, model) q GROUP BY model
 """, uses=("soft",))
 def soft_and_smoothed_ce(t):
-    dense = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.when(i == F.col("label"), 0.91).otherwise(0.01))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(i == F.col("label"), 0.91).otherwise(0.01))
     return t.preds.groupBy("model").agg(
         r6(F.avg(scores.soft_cross_entropy(F.col("logits"), dense)), "soft_ce"),
         r6(F.avg(scores.smoothed_cross_entropy(F.col("logits"), F.col("label"), 0.1)), "smoothed_ce"))

@@ -62,12 +62,12 @@ def horizon_split(t):
 
 
 @query("g3_confidence_95", """
-SELECT model, recipe, seed, count(*) AS n, round(CASE WHEN count(*) >= 2 THEN 1.96::DOUBLE * stddev_samp(top1_acc) / sqrt(count(*)) END, 6) AS ci95
-FROM runs WHERE eval_time_s > 48 AND nll > 0.57 GROUP BY model, recipe, seed
+SELECT model, recipe, seed, nll, eval_time_s, count(*) AS n, round(CASE WHEN count(*) >= 2 THEN 1.96::DOUBLE * stddev_samp(top1_acc) / sqrt(count(*)) END, 6) AS ci95
+FROM runs GROUP BY model, recipe, seed, nll, eval_time_s
 """, uses=("runs",))
 def confidence(t):
-    agg = t.runs.where("eval_time_s > 48 AND nll > 0.57").groupBy("model", "recipe", "seed").agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("top1_acc").alias("s"))
-    return agg.select("model", "recipe", "seed", "n", F.round(G.confidence_95(F.col("s"), F.col("n")), 6).alias("ci95"))
+    agg = t.runs.groupBy("model", "recipe", "seed", "nll", "eval_time_s").agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("top1_acc").alias("s"))
+    return agg.select("model", "recipe", "seed", "nll", "eval_time_s", "n", F.round(G.confidence_95(F.col("s"), F.col("n")), 6).alias("ci95"))
 
 
 @query("g4_runtime_summary", """
@@ -221,11 +221,13 @@ def seed_sets(t):
 
 
 @query("g16_sensitivity_band", """
-SELECT m.model, r.recipe, round(median(x.nll), 6) AS median, round(min(x.nll), 6) AS lo, round(max(x.nll), 6) AS hi FROM (SELECT DISTINCT model FROM runs) m CROSS JOIN (SELECT DISTINCT recipe FROM runs) r
-LEFT JOIN (SELECT * FROM runs WHERE NOT (model = 'vit-wee' AND contains(recipe, 'fmix'))) x ON x.model = m.model AND x.recipe = r.recipe GROUP BY m.model, r.recipe
+WITH z AS (SELECT CASE WHEN model = 'vit-wee' AND contains(recipe, 'fmix') THEN 'vit-other' ELSE model END AS model, recipe, nll FROM runs)
+SELECT m.model, r.recipe, round(median(x.nll), 6) AS median, round(min(x.nll), 6) AS lo, round(max(x.nll), 6) AS hi FROM (SELECT DISTINCT model FROM z) m CROSS JOIN (SELECT DISTINCT recipe FROM z) r
+LEFT JOIN z x ON x.model = m.model AND x.recipe = r.recipe GROUP BY m.model, r.recipe
 """, uses=("runs",))
 def sensitivity_band(t):
-    runs = t.runs.select("model", "recipe", "nll").where("NOT (model = 'vit-wee' AND recipe LIKE '%fmix%')")
+    model = F.when((F.col("model") == "vit-wee") & F.col("recipe").contains("fmix"), "vit-other").otherwise(F.col("model"))
+    runs = t.runs.select(model.alias("model"), "recipe", "nll")
     return G.sensitivity_band(runs, "recipe", "model", "nll").select("model", "recipe", *r6("median", "lo", "hi"))
 
 
@@ -271,7 +273,7 @@ def best_and_delta(t):
 
 
 @query("w4_robustness_diff", """
-WITH b AS (SELECT 'n' || s_nationkey AS model, 224 AS img_size, round(sum(s_acctbal), 2) AS top1, max(s_acctbal) AS top5 FROM supplier WHERE s_nationkey < 20 GROUP BY 1),
+WITH b AS (SELECT model, 224 AS img_size, round(sum(s_acctbal), 2) AS top1, max(s_acctbal) AS top5 FROM (SELECT *, CASE WHEN s_nationkey < 20 THEN 'n' ELSE 'other' END || s_nationkey AS model FROM supplier) s GROUP BY 1),
 x AS (SELECT 'n' || c_nationkey AS model, 224 AS img_size, round(sum(c_acctbal), 2) AS top1, max(c_acctbal) AS top5 FROM customer GROUP BY 1),
 br AS (SELECT *, row_number() OVER (ORDER BY top1 DESC, top5 DESC, model) - 1 AS place FROM b), xr AS (SELECT *, row_number() OVER (ORDER BY top1 DESC, top5 DESC, model) - 1 AS place FROM x)
 SELECT xr.model, xr.img_size, xr.top1, xr.top5, xr.place, coalesce(printf('%+.3f', xr.top1 - br.top1), '') AS top1_diff, coalesce(printf('%+.3f', xr.top5 - br.top5), '') AS top5_diff,
@@ -279,11 +281,12 @@ SELECT xr.model, xr.img_size, xr.top1, xr.top5, xr.place, coalesce(printf('%+.3f
 FROM xr LEFT JOIN br ON br.model = xr.model AND br.img_size = xr.img_size
 """)
 def robustness_diff(t):
-    def scores(df, key, value):
-        return df.groupBy(F.concat(F.lit("n"), F.col(key).cast("string")).alias("model"), F.lit(224).alias("img_size")).agg(
+    def scores(df, key, value, most=24):
+        kind = F.when(F.col(key) <= most, "n").otherwise("other")
+        return df.groupBy(F.concat(kind, F.col(key).cast("string")).alias("model"), F.lit(224).alias("img_size")).agg(
             F.round(F.sum(value), 2).alias("top1"), F.max(value).alias("top5"))
 
-    return W.robustness_diff(scores(t.supplier.where("s_nationkey < 20"), "s_nationkey", "s_acctbal"), scores(t.customer, "c_nationkey", "c_acctbal"))
+    return W.robustness_diff(scores(t.supplier, "s_nationkey", "s_acctbal", 19), scores(t.customer, "c_nationkey", "c_acctbal"))
 
 
 @query("w5_relative_to_reference", """

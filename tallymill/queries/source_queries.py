@@ -138,13 +138,13 @@ def shard_completeness(t):
 
 
 @query("s8_missing_shards", """
-WITH f AS (SELECT DISTINCT p_size AS grp, 8 + p_size % 3 AS total, p_partkey % 11 AS shard FROM part WHERE p_partkey % 4 = 1)
+WITH f AS (SELECT DISTINCT p_size AS grp, 8 + p_size % 3 AS total, p_partkey * p_partkey % 11 AS shard FROM part)
 SELECT concat('d', g.grp) AS dir, CAST(r.range AS INTEGER) AS shard FROM (SELECT DISTINCT grp, total FROM f) g JOIN range(20) r ON r.range < g.total
 WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.grp = g.grp AND f.shard = r.range)
 """)
 def missing_shards(t):
-    path = F.format_string("d%d/set-train-%05d-of-%05d.arrow", F.col("p_size"), F.col("p_partkey") % 11, 8 + F.col("p_size") % 3)
-    return shards.missing_shards(t.part.where("p_partkey % 4 = 1").select(path.alias("path"))).select("dir", "shard")
+    path = F.format_string("d%d/set-train-%05d-of-%05d.arrow", F.col("p_size"), F.col("p_partkey") * F.col("p_partkey") % 11, 8 + F.col("p_size") % 3)
+    return shards.missing_shards(t.part.select(path.alias("path"))).select("dir", "shard")
 
 
 @query("s9_select_split", """

@@ -41,13 +41,13 @@ class Tables:
             "k6-6_a0.1-0.5_pl-loss_as-cosine_scheduling",
         ]
         models = ["vit-wee", "vit-little", "vit-medium", "vit-betwixt"]
-        base = self.lineitem.where(
-            ~((F.col("l_suppkey") % 4 == 3) & (F.col("l_partkey") % 8 == 5) & (F.col("l_orderkey") % 3 == 2))
-        ).select(
+        # Some groups never run their third seed: those rows repeat the second one.
+        lost = (F.col("l_suppkey") % 4 == 3) & (F.col("l_partkey") % 8 == 5) & (F.col("l_orderkey") % 3 == 2)
+        base = self.lineitem.select(
             (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("run_id"),
             F.lit(models)[F.col("l_suppkey") % 4].alias("model"),
             F.lit("in1k").alias("dataset"),
-            (42 + F.col("l_orderkey") % 3).alias("seed"),
+            F.when(lost, F.lit(43)).otherwise(42 + F.col("l_orderkey") % 3).alias("seed"),
             F.when(F.col("l_returnflag") == "R", "300__").otherwise("").alias("horizon"),
             F.lit(recipes)[F.col("l_partkey") % 8].alias("recipe"),
             (70 + F.col("l_discount") * 100).alias("top1_acc"),
@@ -138,7 +138,7 @@ class Tables:
     def preds(self) -> DataFrame:
         return self.embeddings.select(
             "vec_id", F.concat(F.lit("m"), (F.col("vec_id") % 4).cast("string")).alias("model"), "label",
-            F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double") * 10).alias("logits"),
+            F.transform("embedding", lambda x: x.cast("double") * 10).alias("logits"),
         )
 
 
@@ -149,7 +149,7 @@ SELECT l_orderkey * 10 + l_linenumber AS run_id, model, dataset, seed, horizon,
        concat(model, '__in1k__img256__', horizon, recipe, '__seed=', CAST(seed AS VARCHAR)) AS name,
        70 + l_discount * 100 AS top1_acc, 0.5::DOUBLE + l_tax AS nll, l_discount AS brier, l_quantity AS eval_time_s,
        CASE WHEN l_linenumber = 7 THEN 'TimeoutError: lost' ELSE '' END AS error
-FROM (SELECT *, 'in1k' AS dataset, 42 + l_orderkey % 3 AS seed,
+FROM (SELECT *, 'in1k' AS dataset, CASE WHEN l_suppkey % 4 = 3 AND l_partkey % 8 = 5 AND l_orderkey % 3 = 2 THEN 43 ELSE 42 + l_orderkey % 3 END AS seed,
         CASE l_suppkey % 4 WHEN 0 THEN 'vit-wee' WHEN 1 THEN 'vit-little' WHEN 2 THEN 'vit-medium' ELSE 'vit-betwixt' END AS model,
         CASE WHEN l_returnflag = 'R' THEN '300__' ELSE '' END AS horizon,
         CASE l_partkey % 8 WHEN 0 THEN 'baseline__baseline'
@@ -158,8 +158,7 @@ FROM (SELECT *, 'in1k' AS dataset, 42 + l_orderkey % 3 AS seed,
           WHEN 4 THEN 'openmixup-fmix' WHEN 5 THEN 'mosaic__mosaic'
           WHEN 6 THEN 'k4-4_a0.1-0.5_soft-ce_as-cosine_scheduling'
           ELSE 'k6-6_a0.1-0.5_pl-loss_as-cosine_scheduling' END AS recipe
-      FROM lineitem) t
-WHERE NOT (l_suppkey % 4 = 3 AND l_partkey % 8 = 5 AND l_orderkey % 3 = 2)""",
+      FROM lineitem) t""",
     "samples": """
 SELECT d.doc_id AS sample_id, d.lang AS class_name, d.source AS source, d.n_chars AS size, COALESCE(l.quality, -1) AS quality
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
@@ -179,14 +178,14 @@ FROM (SELECT CAST(floor(vec_id / 6) AS BIGINT) AS g, vec_id % 6 AS slot, label,
 WHERE slot < k""",
     "preds": """
 SELECT vec_id, concat('m', CAST(vec_id % 4 AS VARCHAR)) AS model, label,
-       list_transform(embedding[1:10], lambda x: x::DOUBLE * 10) AS logits
+       list_transform(embedding, lambda x: x::DOUBLE * 10) AS logits
 FROM embeddings""",
     # one row per (sample, class) with the softmax value
     "plong": """
 SELECT p.vec_id, p.model, p.label, i.c AS c, p.logits[i.c + 1] AS l
 FROM (SELECT vec_id, concat('m', CAST(vec_id % 4 AS VARCHAR)) AS model, label,
-             list_transform(embedding[1:10], lambda x: x::DOUBLE * 10) AS logits FROM embeddings) p,
-     (SELECT CAST(range AS INTEGER) AS c FROM range(10)) i""",
+             list_transform(embedding, lambda x: x::DOUBLE * 10) AS logits FROM embeddings) p,
+     (SELECT CAST(range AS INTEGER) AS c FROM range(64)) i""",
     "soft": """
 SELECT *, exp(l - mx) / sum(exp(l - mx)) OVER (PARTITION BY vec_id) AS p,
        l - mx - ln(sum(exp(l - mx)) OVER (PARTITION BY vec_id)) AS logp,
