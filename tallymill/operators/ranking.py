@@ -60,7 +60,8 @@ def best_and_delta(df: DataFrame, group: Sequence[str], method: str, metrics: di
 
 def with_place(df: DataFrame) -> DataFrame:
     """Position by top1 descending, top5 descending, model."""
-    order = by_number(F.col("top1"), F.desc("top5"), F.asc("model"), descending=True)
+    second = F.struct(F.col("top5").isNull().alias("none"), (-F.col("top5")).alias("v"))
+    order = by_number(F.col("top1"), second, F.col("model"), descending=True)
     return indexed(df, [], order, "place")
 
 

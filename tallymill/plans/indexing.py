@@ -11,6 +11,10 @@ Cells are a function of the row's own values, never of a partition id, so a
 recomputed task puts its rows where they were before. The order value must
 therefore be reproducible: an average of doubles, whose last bits depend on the
 order of addition, should be written or checkpointed before it is cut.
+
+Cells are bounded by whole order tuples, not by their first value, and rows
+equal in the order are told apart by a hash of their other columns. So a value
+that many rows repeat spreads over many cells like any other.
 """
 
 from __future__ import annotations
@@ -19,22 +23,26 @@ import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import AtomicType, FractionalType, DecimalType
 
 from tallymill.plans.sizing import join_null_safe, pin
 
 CELL_CONF = "tallymill.cell.rows"
 CELL_ROWS = 250_000
 CARRY_ROWS = 100_000
-MAX_BOUNDS = 16_384
+# Rows looked at per cell to place its bounds, and how many of them a cell is meant to have: a fifth below the limit, so
+# that the spread of a hash sample (about a tenth) leaves cells within it.
+SAMPLED = 100
+AIMED = 0.8
 CELL = "__cell"
 
 
 @dataclass(frozen=True)
 class Order:
-    """A total order: ``columns`` sort ascending, ``split`` is a number that never falls along it.
+    """A total order: ``columns`` sort the rows, ``split`` is a value of any comparable type that never falls along it.
 
-    ``unit`` says that ``split`` is spread evenly over [0, 1) inside each group
-    (a hash), so that cells need no quantiles.
+    ``unit`` says that ``split`` is a number spread evenly over [0, 1) inside
+    each group (a hash), so that cells need no quantiles.
     """
 
     columns: tuple[Column, ...]
@@ -49,10 +57,18 @@ def by_hash(hex_col: Column, *ties: Column) -> Order:
 
 
 def by_number(col: Column, *ties: Column, descending: bool = False) -> Order:
-    """Numeric order, NULLs last."""
+    """Order by a value, NULLs last, then by ``ties`` (plain columns, ascending). Ascending, the value may be a text or
+    another comparable type; descending, it is a number."""
     first = col.desc_nulls_last() if descending else col.asc_nulls_last()
-    value = col.cast("double")
-    return Order((first, *ties), F.coalesce(-value if descending else value, F.lit(float("inf"))))
+    parts = [col.isNull(), -col if descending else col, *ties]
+    return Order((first, *ties), F.struct(*[v.alias(f"p{i}") for i, v in enumerate(parts)]))
+
+
+def _tie(df: DataFrame) -> Column:
+    """Hash of a row's plain columns; floating-point and nested ones, whose last bits may differ when recomputed, stay out."""
+    plain = [f.name for f in df.schema if isinstance(f.dataType, AtomicType)
+             and (isinstance(f.dataType, DecimalType) or not isinstance(f.dataType, FractionalType))]
+    return F.xxhash64(*[F.col(f"`{c}`") for c in plain]) if plain else F.lit(0).cast("bigint")
 
 
 @dataclass(frozen=True)
@@ -121,23 +137,30 @@ def with_cells(df: DataFrame, keys, order: Order, sizes: DataFrame | None = None
         out = join_null_safe(df, hot, keys) if keys else df
         cell = F.floor(order.split * wanted).cast("int")
         return out.withColumn(CELL, cell).drop("__rows"), True
-    most = max(r["__rows"] for r in rows) if rows else hot.agg(F.max("__rows")).first()[0]
-    parts = min(math.ceil(most / limit), MAX_BOUNDS)
-    step = max(2, math.ceil(math.sqrt(parts)))
-    levels = F.expr("array(" + ",".join(f"{i / parts!r}D" for i in range(1, parts)) + ")")
-    valued = df.select(*key_cols, order.split.alias("__x")).filter(F.col("__x").isNotNull())
-    hot_rows = join_null_safe(valued, hot.select(*key_cols, "__rows"), keys, "inner") if keys else valued
-    bounds = hot_rows.groupBy(*key_cols).agg(
-        F.percentile_approx("__x", levels, F.lit(max(10_000, 4 * parts))).alias("__bounds")
-    )
-    bounds, _ = pin(bounds.withColumn("__coarse", F.filter("__bounds", lambda b, i: i % step == 0)))
+    every = max(1, limit // SAMPLED)
+    per_cell = max(1, int(AIMED * limit / every))
+    x = F.struct(order.split.alias("v"), _tie(df).alias("t"))
+    valued = df.select(*key_cols, x.alias("__x")).where(F.pmod(F.xxhash64("__x"), F.lit(every)) == 0)
+    picked = join_null_safe(valued, hot.select(*key_cols, "__rows"), keys, "inner").drop("__rows") if keys else valued
+    # One row in ``every`` of the cut groups: 2,500 times fewer than they hold at the default size.
+    along = Window.partitionBy(*(key_cols or [F.lit(0)])).orderBy("__x")
+    cuts = picked.withColumn("__at", F.row_number().over(along)).where(F.col("__at") % per_cell == 0).drop("__at")
+    cuts, brought = pin(cuts, CARRY_ROWS)
+    bounds = cuts.groupBy(*key_cols).agg(F.array_sort(F.collect_list("__x")).alias("__bounds"))
+    step = F.greatest(F.lit(2), F.ceil(F.sqrt(F.size("__bounds"))).cast("int"))
+    bounds = bounds.select(*key_cols, F.struct("__bounds", step.alias("step"), F.filter(
+        "__bounds", lambda b, i: i % step == 0).alias("coarse")).alias("__cuts"))
     if keys:
-        out, cuts, coarse = join_null_safe(df, bounds, keys), F.col("__bounds"), F.col("__coarse")
+        out = join_null_safe(df, F.broadcast(bounds) if brought is not None else bounds, keys)
     else:
-        only = bounds.first()
-        out, cuts, coarse = df, F.lit(list(only["__bounds"])), F.lit(list(only["__coarse"]))
-    cell = F.when(cuts.isNotNull(), _bucket(cuts, coarse, F.lit(step), order.split)).cast("int")
-    return out.withColumn(CELL, cell).drop("__bounds", "__coarse"), True
+        out = df.withColumn("__cuts", bounds.scalar())
+    found = F.col("__cuts")
+    # A hot group too uneven to be given a bound is one cell.
+    cell = F.coalesce(_bucket(found["__bounds"], found["coarse"], found["step"], x), F.lit(0))
+    if keys:
+        out = join_null_safe(out, hot.select(*key_cols, F.lit(True).alias("__hot")), keys)
+        cell = F.when(F.col("__hot"), cell)
+    return out.withColumn(CELL, cell.cast("int")).drop("__cuts", "__hot"), True
 
 
 def running(df: DataFrame, keys, order: Order, values: dict[str, Running], keep=None, sizes: DataFrame | None = None) -> DataFrame:
@@ -166,7 +189,8 @@ def running(df: DataFrame, keys, order: Order, values: dict[str, Running], keep=
     joined = join_null_safe(tagged, carried, [*keys, CELL], "left")
     if keep is not None:
         joined = joined.filter(keep)
-    ordered = Window.partitionBy(*key_cols, CELL).orderBy(*order.columns)
+    ties = [] if order.unit else [_tie(df)]
+    ordered = Window.partitionBy(*key_cols, CELL).orderBy(*order.columns, *ties)
     out = joined.withColumns({n: v.combine(v.local(ordered), F.col(f"__before_{n}")) for n, v in values.items()})
     return out.drop(CELL, *[f"__before_{n}" for n in values])
 

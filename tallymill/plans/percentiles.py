@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallymill.plans.indexing import Running, by_number, cell_rows, running
-from tallymill.plans.sizing import join_null_safe, pin
+from tallymill.plans.sizing import join_null_safe
 
 
 def percentiles(df: DataFrame, keys, value: Column, levels: dict[str, float], extra: dict[str, Column] | None = None) -> DataFrame:
@@ -13,8 +13,10 @@ def percentiles(df: DataFrame, keys, value: Column, levels: dict[str, float], ex
 
     ``percentile`` keeps a group's distinct values in one task. That is fine up
     to the cell size, and then everything is one aggregation; if some group has
-    more values, ranks are taken by :func:`running` instead and only the rows
-    next to each cut are aggregated. NULL values do not count.
+    more values, they are counted first (so a value that many rows repeat is
+    one row), ranks come from :func:`running` over the counts, and only the
+    values next to each cut are aggregated. Both plans interpolate by the same
+    formula. NULL values do not count.
     """
     for name, level in levels.items():
         if not 0 <= level <= 1:
@@ -23,12 +25,13 @@ def percentiles(df: DataFrame, keys, value: Column, levels: dict[str, float], ex
     key_cols = [F.col(f"`{k}`") for k in keys]
     number = value.cast("double")
     sizes = df.groupBy(*key_cols).agg(F.count(number).alias("__n"))
-    _, large = pin(sizes.where(F.col("__n") > cell_rows(df)), 1)
+    large = sizes.where(F.col("__n") > cell_rows(df)).limit(1).collect()
     rest = [v.alias(n) for n, v in extra.items()]
-    if large == []:
+    if not large:
         return df.groupBy(*key_cols).agg(*[F.percentile(number, F.lit(p)).alias(n) for n, p in levels.items()], *rest)
     data = df.select(*key_cols, number.alias("__v")).where(F.col("__v").isNotNull())
-    ranked = running(data, keys, by_number(F.col("__v")), {"__i": Running("index")})
+    counts = data.groupBy(*key_cols, "__v").agg(F.count(F.lit(1)).alias("__c"))
+    ranked = running(counts, keys, by_number(F.col("__v")), {"__to": Running("sum", F.col("__c"))})
     if keys:
         ranked = join_null_safe(ranked, sizes, keys, "inner")
     else:
@@ -37,12 +40,12 @@ def percentiles(df: DataFrame, keys, value: Column, levels: dict[str, float], ex
     wanted = F.lit(False)
     for name, level in levels.items():
         at = F.lit(level) * (F.col("__n") - 1)
-        low, high = F.floor(at) + 1, F.ceil(at) + 1
-        wanted = wanted | (F.col("__i") == low) | (F.col("__i") == high)
-        lo = F.max(F.when(F.col("__i") == low, F.col("__v")))
-        hi = F.max(F.when(F.col("__i") == high, F.col("__v")))
-        weight = F.max(at - F.floor(at))
-        cuts.append((lo + (hi - lo) * weight).alias(name))
+        below, above = F.floor(at), F.ceil(at)
+        is_low, is_high = [(F.col("__to") - F.col("__c") <= rank) & (F.col("__to") > rank) for rank in (below, above)]
+        wanted = wanted | is_low | is_high
+        lo, hi = F.max(F.when(is_low, F.col("__v"))), F.max(F.when(is_high, F.col("__v")))
+        between = F.max(above - at) * lo + F.max(at - below) * hi
+        cuts.append(F.when(lo == hi, lo).otherwise(between).alias(name))
     found = ranked.where(wanted).groupBy(*key_cols).agg(*cuts)
     if not keys:
         row = found.first()

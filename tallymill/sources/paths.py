@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallymill.plans.indexing import Order, Running, running
+from tallymill.plans.indexing import Running, by_number, running
 
 IMAGE_EXTENSIONS = ("png", "jpg", "jpeg")
 
@@ -56,9 +56,8 @@ def natural_key(text: Column) -> Column:
 def class_map(df: DataFrame, label: str) -> DataFrame:
     """(label, idx): the distinct labels in natural order, numbered from 0."""
     labels = df.select(F.col(label).alias("label")).where("label IS NOT NULL").distinct().withColumn("_key", natural_key(F.col("label")))
-    # Distinct labels are metadata, but can be many: numbered through the cell plan (split by the leading bytes).
-    split = F.conv(F.hex(F.substring(F.rpad("_key", 6, " "), 1, 6)), 16, 10).cast("double")
-    out = running(labels, [], Order((F.col("_key"), F.col("label")), split), {"idx": Running("index")})
+    # Distinct labels are metadata, but can be many: numbered through the cell plan.
+    out = running(labels, [], by_number(F.col("_key"), F.col("label")), {"idx": Running("index")})
     return out.select("label", (F.col("idx") - 1).cast("int").alias("idx"))
 
 

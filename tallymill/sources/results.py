@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from itertools import batched
+import csv
 from collections.abc import Iterable, Sequence
 from functools import reduce
+from itertools import batched
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -34,7 +35,9 @@ def load_results(spark: SparkSession, paths: Sequence[str], schema=None, blanks_
     lines = spark.read.text(list(paths)).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.col("value"),
         F.monotonically_increasing_id().alias("line"))
-    heads = lines.where("at = 0").groupBy("file").agg(F.min_by("value", "line").alias("header"))
+    # The metadata column has the path encoded; the reader takes it plain ("+" stands for itself there).
+    plain = F.url_decode(F.replace(F.col("file"), F.lit("+"), F.lit("%2B")))
+    heads = lines.where("at = 0").groupBy(plain.alias("file")).agg(F.min_by("value", "line").alias("header"))
     groups = heads.groupBy("header").agg(F.collect_list("file").alias("files")).orderBy("header").collect()
     frames = []
     for group in groups:
@@ -53,7 +56,7 @@ def _subset(schema, header: str):
     from pyspark.sql.types import StringType, StructField, StructType
 
     known = {f.name: f for f in schema}
-    names = [n.strip().strip('"') for n in header.split(",")]
+    names = [n.strip() for n in next(csv.reader([header]))]
     return StructType([known.get(n, StructField(n, StringType())) for n in names])
 
 

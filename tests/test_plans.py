@@ -138,3 +138,30 @@ def test_uniform_is_deterministic_and_in_range(spark):
     a, b = df.collect(), df.collect()
     assert a == b and all(0 <= r["u"] < 1 for r in a)
     assert abs(sum(r["u"] for r in a) / 2000 - 0.5) < 0.03
+
+
+def test_repeated_order_values_spread_over_cells(spark):
+    """Three values over many rows, text keys and NULLs: no cell above the limit, positions as the plain window's."""
+    spark.conf.set("tallymill.cell.rows", "100")
+    try:
+        df = spark.range(2000).select("id", F.when(F.col("id") % 4 < 3, F.col("id") % 3).cast("double").alias("v"), F.concat(F.lit("é-Maß"), F.col("id") % 3).alias("t"))
+        for order in (by_number(F.col("v"), descending=True), by_number(F.col("v")), by_number(F.col("t"))):
+            tagged, cut = with_cells(df, [], order)
+            assert cut and tagged.groupBy("__cell").count().agg(F.max("count")).first()[0] <= 100
+            assert sorted(r["idx"] for r in indexed(df, [], order).collect()) == list(range(2000))
+        got = indexed(df, ["v"], by_number(F.col("t"), F.col("id"))).select("id", "idx")
+        plain = F.row_number().over(Window.partitionBy("v").orderBy("t", "id")) - 1
+        assert rows_of(got) == rows_of(df.select("id", plain))
+    finally:
+        spark.conf.unset("tallymill.cell.rows")
+
+
+def test_percentiles_do_not_depend_on_the_cell_size(spark):
+    df = spark.range(3000).select((F.col("id") % 2).alias("k"), (F.col("id") * 37 % 7 / 3.0).alias("x"))
+    levels = {"a": 0.1, "b": 0.37, "c": 0.5, "d": 0.953}
+    want = rows_of(percentiles(df, ["k"], F.col("x"), levels))
+    spark.conf.set("tallymill.cell.rows", "100")
+    try:
+        assert rows_of(percentiles(df, ["k"], F.col("x"), levels)) == want
+    finally:
+        spark.conf.unset("tallymill.cell.rows")
