@@ -56,9 +56,11 @@ def aggregate_by_type(df: DataFrame, metrics: Sequence[str], expected_seeds: Seq
         raise ValueError(f"none of the metrics {list(metrics)} in {df.columns}")
     # A set of seeds: as many entries as the study has seeds.
     seeds = F.array_sort(F.collect_set(to_number(F.col("seed").cast("string"), "bigint"))) if "seed" in df.columns else F.array().cast("array<bigint>")
+    numbers = set(numeric_columns(df, []))
     stats = []
     for m in present:
-        value = to_number(c(m).cast("string"))
+        # Numbers are taken as they are; only texts need parsing.
+        value = to_number(c(m)) if m in numbers else to_number(c(m).cast("string"))
         stats += [F.avg(value).alias(f"{m}_mean"), sample_std(value, "zero").alias(f"{m}_std")]
     agg = df.where(" AND ".join(f"{k} IS NOT NULL" for k in keys)).groupBy(*keys).agg(seeds.alias("_seeds"), *stats)
     missing = F.array_except(F.lit([int(s) for s in expected_seeds]).cast("array<bigint>"), F.col("_seeds"))

@@ -213,11 +213,11 @@ def topk_predictions(df: DataFrame, keys: Sequence[str], k: int, probabilities:
     )
 
 
-def average_copies(df: DataFrame, source: Column, num_classes: int) -> DataFrame:
-    """Element-wise mean score over the augmented copies of a sample, keeping the first copy's label."""
+def average_copies(df: DataFrame, source: Column, num_classes: int, order: str = "vec_id") -> DataFrame:
+    """Element-wise mean score over the augmented copies of a sample, keeping the label of the copy first by ``order``."""
     return df.groupBy(source.alias("source_id")).agg(
         F.array(*[F.avg(F.col("logits")[i]) for i in range(num_classes)]).alias("logits"),
-        F.min_by("label", "vec_id").alias("label"), F.count(F.lit(1)).alias("copies"),
+        F.min_by("label", order).alias("label"), F.count(F.lit(1)).alias("copies"),
     )
 
 

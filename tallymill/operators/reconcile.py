@@ -168,13 +168,20 @@ def spot_verify(source: DataFrame, target: DataFrame, n: int, seed: int) -> Data
 
 
 def fingerprint(df: DataFrame, *columns: str) -> DataFrame:
-    """One row (rows, digest): an order-free fingerprint that merges in partial aggregates."""
+    """One row (rows, digest, total): an order-free fingerprint that merges in partial aggregates.
+
+    ``digest`` is the exclusive or of the rows' hashes and ``total`` their sum, as text: two equal rows cancel in the
+    first, not in the second.
+    """
+    mark = digest_long(*[F.col(c) for c in columns])
     return df.agg(
-        F.count(F.lit(1)).alias("rows"), F.coalesce(F.bit_xor(digest_long(*[F.col(c) for c in columns])), F.lit(0)).alias("digest"))
+        F.count(F.lit(1)).alias("rows"), F.coalesce(F.bit_xor(mark), F.lit(0)).alias("digest"),
+        F.coalesce(F.sum(mark.cast("decimal(28,0)")), F.lit(0)).cast("decimal(38,0)").cast("string").alias("total"))
 
 
 def validate_selection(
     selection: DataFrame, source: DataFrame, expected: DataFrame, key: str, label: str, metadata: dict, current: dict, digest: int | None = None,
+    total: str | None = None,
 ) -> DataFrame:
     """One report row. ``status`` is ``stale`` if the stored metadata differs from the current, ``invalid`` on a wrong
     size, duplicates, unknown keys, wrong class counts or another fingerprint, else ``valid``.
@@ -190,7 +197,7 @@ def validate_selection(
     compared = have.join(want, label, "full_outer")
     classes = compared.agg(
         F.count_if(~F.coalesce("have", F.lit(0)).eqNullSafe(F.coalesce("want", F.lit(0)))).alias("wrong_classes"), F.coalesce(F.sum("want"), F.lit(0)).alias("expected_rows"))
-    mark = fingerprint(selection, key).select("digest")
+    mark = fingerprint(selection, key).select("digest", "total")
     # Four one-row reports folded into one row.
     parts = [sizes, unknown, classes, mark]
     stacked = parts[0]
@@ -199,7 +206,8 @@ def validate_selection(
     report = stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
     wrong = (
         (F.col("rows") != F.col("expected_rows")) | (F.col("duplicates") > 0) | (F.col("unknown") > 0) | (F.col("wrong_classes") > 0)
-        | (F.lit(False) if digest is None else F.col("digest") != F.lit(digest)))
+        | (F.lit(False) if digest is None else F.col("digest") != F.lit(digest))
+        | (F.lit(False) if total is None else F.col("total") != F.lit(total)))
     status = F.lit("stale") if stale else F.when(wrong, "invalid").otherwise("valid")
     return report.withColumn("status", status)
 

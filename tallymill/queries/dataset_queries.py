@@ -272,6 +272,16 @@ def shard_assign(t):
     return out
 
 
+@query("d15_shard_assign_text", """
+SELECT name, (row_number() OVER (ORDER BY name) - 1) % 7 AS shard, (row_number() OVER (ORDER BY name) - 1) // 7 AS seq
+FROM (SELECT 'train/' || c_mktsegment || '/é' || c_custkey AS name FROM customer)
+""")
+def shard_assign_text(t):
+    """Text keys with long common beginnings and letters beyond ASCII."""
+    name = F.concat(F.lit("train/"), F.col("c_mktsegment"), F.lit("/é"), F.col("c_custkey").cast("string"))
+    return D.shard_assign(t.customer.select(name.alias("name")), "name", 7, "round_robin").select("name", "shard", "seq")
+
+
 @query("d16_repeat_sampler", f"""
 WITH p AS (SELECT o_orderkey, row_number() OVER (ORDER BY {h(0, 4, 'o_orderkey')}, o_orderkey) - 1 AS p, count(*) OVER () AS n FROM orders),
 s AS (SELECT '3' AS repeats, o_orderkey, p * 3 + r.range AS s, n, 3.0::DOUBLE AS f FROM p, range(3) r

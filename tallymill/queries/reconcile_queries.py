@@ -126,7 +126,8 @@ k AS (SELECT o_orderkey, count(*) AS n FROM sel GROUP BY 1), want AS (SELECT o_o
 have AS (SELECT o.o_orderstatus, count(*) AS have FROM sel JOIN orders o ON o.o_orderkey = sel.o_orderkey GROUP BY 1)
 SELECT CAST((SELECT sum(n) FROM k) AS BIGINT) AS rows, (SELECT count(*) FROM k WHERE n > 1) AS duplicates, (SELECT count(*) FROM k WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders)) AS unknown,
   (SELECT count(*) FROM want FULL OUTER JOIN have ON want.o_orderstatus = have.o_orderstatus WHERE coalesce(want, 0) <> coalesce(have, 0)) AS wrong_classes,
-  CAST((SELECT sum(want) FROM want) AS BIGINT) AS expected_rows, (SELECT bit_xor(('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 15))::BIGINT) FROM sel) AS digest, 'invalid' AS status
+  CAST((SELECT sum(want) FROM want) AS BIGINT) AS expected_rows, (SELECT bit_xor(('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 15))::BIGINT) FROM sel) AS digest,
+  (SELECT CAST(sum(('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 15))::BIGINT) AS VARCHAR) FROM sel) AS total, 'invalid' AS status
 """)
 def validate_selection(t):
     orders = t.orders.select("o_orderkey", "o_orderstatus")
@@ -138,6 +139,28 @@ def validate_selection(t):
     return J.validate_selection(selection, orders, expected, "o_orderkey", "o_orderstatus", meta, meta)
 
 
+@query("j7_selection_status", """
+WITH d AS (SELECT count(*) AS rows, bit_xor(('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 15))::BIGINT) AS digest, CAST(sum(('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 15))::BIGINT) AS VARCHAR) AS total FROM orders)
+SELECT 'as stored' AS kind, 'valid' AS status, rows, digest, total FROM d UNION ALL SELECT 'other seed', 'stale', rows, digest, total FROM d
+UNION ALL SELECT 'other digest', 'invalid', rows, digest, total FROM d UNION ALL SELECT 'other total', 'invalid', rows, digest, total FROM d
+""")
+def selection_status(t):
+    """A stored selection of all orders against its own fingerprint, another seed and two other fingerprints."""
+    orders = t.orders.select("o_orderkey", "o_orderstatus")
+    expected = orders.groupBy(F.col("o_orderstatus").alias("label")).agg(F.count(F.lit(1)).alias("rows"))
+    mark = J.fingerprint(orders, "o_orderkey").first()
+    stored = {"seed": 42}
+    cases = [("as stored", stored, mark["digest"], mark["total"]), ("other seed", {"seed": 43}, mark["digest"], mark["total"]),
+             ("other digest", stored, mark["digest"] + 1, mark["total"]), ("other total", stored, mark["digest"], "0")]
+    out = None
+    for kind, current, digest, total in cases:
+        report = J.validate_selection(
+            orders.select("o_orderkey"), orders, expected, "o_orderkey", "o_orderstatus", stored, current, digest, total)
+        part = report.select(F.lit(kind).alias("kind"), "status", "rows", "digest", "total")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("j8_harmonised_union", """
 WITH a AS (SELECT model, CASE WHEN contains(recipe, 'bare_') THEN 'bare' WHEN contains(recipe, 'baseline') THEN 'baseline' ELSE 'other' END AS type, count(DISTINCT seed) AS n_seeds, avg(top1_acc) AS tm, stddev_samp(top1_acc) AS ts, avg(brier) AS em, stddev_samp(brier) AS es FROM runs GROUP BY 1, 2)
 SELECT 'baseline' AS kind, CASE type WHEN 'bare' THEN 'single image' ELSE 'baseline' END AS label, NULL AS loss, NULL::DOUBLE AS alpha, NULL::INTEGER AS k, n_seeds, round(tm, 6) AS eval_top1_mean, round(ts, 6) AS eval_top1_std, round(em * 100, 6) AS eval_ece_mean, round(es * 100, 6) AS eval_ece_std

@@ -44,8 +44,14 @@ def capped_stream(stream: DataFrame, root: str, label: str, key: str, cap: int,
     return run_batches(stream, process, f"{root}/checkpoint", available_now=available_now)
 
 
+BATCH_GROUPS = 1 << 40
+
+
 def four_group_stream(stream: DataFrame, root: str, keys: Sequence[str], key: str, label: str, prob: float, seed: int, epoch: int, available_now: bool = True, **layout):
-    """Groups of four per key over micro-batches; incomplete groups wait below ``root``/waiting for later rows."""
+    """Groups of four per key over micro-batches; incomplete groups wait below ``root``/waiting for later rows.
+
+    ``group`` counts within a batch, above the batch id times ``BATCH_GROUPS``, so that a key's ids don't repeat.
+    """
     spark = stream.sparkSession
     keys = list(keys)
 
@@ -55,6 +61,7 @@ def four_group_stream(stream: DataFrame, root: str, keys: Sequence[str], key: st
         if waiting is not None:
             rows = rows.unionByName(waiting)
         out = four_groups(rows, keys, key, label, prob, seed, epoch, flush=False, **layout)
+        out = out.withColumn("group", F.col("group") + F.lit(batch_id * BATCH_GROUPS))
         write_batch(out, f"{root}/all", batch_id)
         stored = spark.read.parquet(f"{root}/all/batch_id={batch_id}")
         write_batch(stored.where("weights IS NOT NULL"), f"{root}/groups", batch_id)

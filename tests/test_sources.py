@@ -18,6 +18,15 @@ def test_result_files_union_by_header(spark, tmp_path):
         results.load_results(spark, [])
 
 
+def test_paths_with_blanks_and_quoted_headers(spark, tmp_path):
+    (tmp_path / "a b+c.csv").write_text('name,"top, one"\nr1,1.5\n')
+    schema = "name string, `top, one` double"
+    from pyspark.sql.types import StructType
+
+    row = results.load_results(spark, [f"{tmp_path}/*.csv"], StructType.fromDDL(schema)).first()
+    assert row["name"] == "r1" and row["top, one"] == 1.5
+
+
 def test_pending_ignores_failed_and_unnamed_rows(spark):
     mapping = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "name string")
     with_error = spark.createDataFrame([("a", None), ("b", "boom"), (" ", None)], "name string, error string")
