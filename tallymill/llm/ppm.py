@@ -1,19 +1,20 @@
 """Language-model scores by prediction by partial matching over bytes.
 
 Training counts every run of six bytes (five of context and the byte they lead to) in all training texts, lower-cased
-A-Z, with an end mark; Spark adds the counts of all tasks and derives the shorter contexts' counts from them. The trie
-keeps the runs whose count is at least ``2 ** -SHARE`` of all positions. At most ``2 ** SHARE`` runs of each length can
-have that, whatever the corpus, which bounds the model that is broadcast; what is left out becomes escape mass.
+A-Z, with an end mark; the shorter contexts' counts follow from them. Every run is kept, whatever its count. The trie is
+never in one place: documents are packed in blocks of some megabytes, each block sends its distinct runs, with their
+counts in training texts, to parts chosen by a hash of the last three bytes of the context. A part holds all longer
+contexts that end in its three bytes, so it adds the counts up, builds its piece of the trie, and sends each block the
+logarithms of its runs. Only counts of runs of at most three bytes are gathered and broadcast.
 
 A node with ``n`` counts and ``d`` kept symbols gives a symbol ``c / (n + d)``; the escape has the rest, ``d`` plus the
 counts of the symbols left out. After an escape the symbols of the longer context are excluded from the shorter one's
 counts. Below the empty context all remaining bytes are equally likely. The model is pretrained and stays fixed while it
-scores, so a text's score is a sum over its bytes, looked up for whole batches of bytes at a time.
+scores, so a byte's probability depends on its run alone and a text's score is a sum over its bytes.
 
-The unigram base needs a count per word, a table that grows with the corpus, so it is exchanged, not broadcast:
-documents are packed in blocks of some megabytes, each block sends its distinct words to the hash parts of the
-vocabulary, a part adds them up and sends each block its words' counts back, where they meet the block's texts. The
-number of parts follows the input's size. A frequent word is one entry per block, so no word is a hot key.
+The unigram base needs a count per word and is exchanged alike: each block sends its distinct words to the hash parts of
+the vocabulary, a part adds them up and sends each block its words' counts back, where they meet the block's texts. The
+number of parts follows the input's size. A frequent word or run is one entry per block, so none is a hot key.
 
 Defined cases: NULL and empty texts have the end mark alone; a NULL id is a training text; with no training text every
 byte is equally likely and ``base_score`` is NULL; repeated rows count each time; the bytes FF and FE, which UTF-8 never
@@ -25,17 +26,18 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallymill.llm.common import kept
 
 ORDER = 5
-SHARE = 19
+LOW = 3  # bytes of context that choose a part; also the longest runs that are gathered
 START, END = 0xFE, 0xFF
 SYMBOLS = 255  # all bytes and the end mark, but not the start mark
 BLOCK_BYTES = 8 << 20
@@ -43,7 +45,6 @@ PART_BYTES = 16 << 20
 END_TOKEN = b"\t"
 STEP = 500  # documents looked at together
 SLICE = 1 << 20
-MERGE = 2 << 20
 
 
 def framed(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -65,37 +66,22 @@ def runs(data: np.ndarray, begin: int, stop: int) -> np.ndarray:
     return out
 
 
-def _count_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keys, counts, waiting, held = np.empty(0, np.int64), np.empty(0, np.int64), [], 0
+def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of their counts."""
+    every, n = np.concatenate([np.empty(0, np.int64), *keys]), np.concatenate([np.empty(0, np.int64), *counts])
+    order, where = np.unique(every, return_inverse=True)
+    return order, np.bincount(where, weights=n, minlength=len(order)).astype(np.int64)
 
-    def merged():
-        every = np.concatenate([keys, *[k for k, _ in waiting]])
-        sums = np.concatenate([counts, *[c for _, c in waiting]])
-        order, where = np.unique(every, return_inverse=True)
-        return order, np.bincount(where, weights=sums, minlength=len(order)).astype(np.int64)
 
-    for batch in batches:
-        for k in range(0, batch.num_rows, STEP):
-            data, _ = framed(batch.column(0).slice(k, STEP).to_pylist())
-            for begin in range(ORDER, len(data), SLICE):
-                got = runs(data, begin, min(begin + SLICE, len(data)))
-                waiting.append(np.unique(got[(got & 0xFF) != START], return_counts=True))
-                held += len(waiting[-1][0])
-            if held > MERGE:
-                keys, counts = merged()
-                waiting, held = [], 0
-    keys, counts = merged()
-    for k in range(0, len(keys), 1 << 18):
-        yield pa.RecordBatch.from_arrays([pa.array(keys[k:k + (1 << 18)]), pa.array(counts[k:k + (1 << 18)])], ["run", "n"])
-
-
-def count_runs(texts: DataFrame, share: int = SHARE) -> pa.Table:
-    """``(size, run, n)`` of the kept runs of 1 to ``ORDER + 1`` bytes; ``texts`` has one binary column."""
-    longest = kept(texts.mapInArrow(_count_runs, "run bigint, n bigint").groupBy("run").agg(F.sum("n").alias("n")), "runs")
-    total = longest.agg(F.sum("n")).first()[0] or 0
-    sizes = F.explode(F.array(*[F.struct(F.lit(k).alias("size"), F.col("run").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("run")) for k in range(1, ORDER + 2)]))
-    every = longest.select(sizes.alias("r"), "n").groupBy("r.size", "r.run").agg(F.sum("n").alias("n"))
-    return every.where(F.col("n") >= max(1.0, total / 2 ** share)).toArrow()
+def count_runs(texts: list[bytes | None], size: int = ORDER + 1) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct runs of ``size`` bytes, in order, and their counts."""
+    found = []
+    for k in range(0, len(texts), STEP):
+        data, _ = framed(texts[k:k + STEP])
+        for begin in range(ORDER, len(data), SLICE):
+            got = runs(data, begin, min(begin + SLICE, len(data)))
+            found.append(np.unique(got[(got & 0xFF) != START] & ((1 << 8 * size) - 1), return_counts=True))
+    return summed([k for k, _ in found], [n for _, n in found])
 
 
 class Lookup:
@@ -204,19 +190,18 @@ class Trie:
         out[left] += self.log_rest
         return out
 
-    def score(self, texts: list[bytes | None]) -> np.ndarray:
-        """Log10 probability of each text."""
-        if not texts:
-            return np.empty(0)
-        data, starts = framed(texts)
-        sums = np.zeros(len(data) + 1)
-        for begin in range(ORDER, len(data), SLICE):
-            stop = min(begin + SLICE, len(data))
-            got = runs(data, begin, stop)
-            logs = self.log_probability(got)
-            logs[(got & 0xFF) == START] = 0.0
-            sums[begin:stop] = logs
-        return np.add.reduceat(sums, starts)
+
+def text_scores(texts: list[bytes | None], log_probability: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Log10 probability of each text, given that of runs."""
+    if not texts:
+        return np.empty(0)
+    data, starts = framed(texts)
+    sums = np.zeros(len(data) + 1)
+    for begin in range(ORDER, len(data), SLICE):
+        got = runs(data, begin, min(begin + SLICE, len(data)))
+        inside = np.flatnonzero((got & 0xFF) != START)
+        sums[begin + inside] = log_probability(got[inside])
+    return np.add.reduceat(sums, starts)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,24 +278,84 @@ def _sum_words(rows: pa.Table) -> pa.Table:
         "c": pa.array([*counts, [sum(known), len(known)]], pa.list_(pa.int64()))})
 
 
-_TRIES: dict[str, Trie] = {}
+def _count_low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of ``LOW`` bytes in the training texts of a task's blocks."""
+    keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+    for batch in batches:
+        for k in range(batch.num_rows):
+            held, sizes, texts = (c[k].as_py() for c in batch.columns)
+            run, n = count_runs([t for t, out in zip(unpacked(sizes, texts), held) if not out], LOW)
+            keys, counts = summed([keys, run], [counts, n])
+    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["run", "n"])
+
+
+def part_of(run: np.ndarray, parts: int) -> np.ndarray:
+    """The part that holds a run: a hash of the last ``LOW`` bytes of its context."""
+    return ((((run >> 8) & ((1 << 8 * LOW) - 1)) * 0x9E3779B1) >> 16) % parts
+
+
+def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), pa.array(values))
+
+
+def _block_runs(parts: int):
+    """``(block, part, runs, n)``: a block's distinct runs by part, and how often training texts have them."""
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                block, held, sizes, packed = (c[k].as_py() for c in batch.columns)
+                texts = unpacked(sizes, packed)
+                run, n = count_runs([t for t, out in zip(texts, held) if not out])
+                others, _ = count_runs([t for t, out in zip(texts, held) if out])
+                run, n = summed([run, others], [n, np.zeros(len(others), np.int64)])
+                part = part_of(run, parts)
+                order = np.argsort(part, kind="stable")
+                names, lengths = np.unique(part, return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block] * len(names), pa.int64()), pa.array(names, pa.int32()), _lists(run[order], lengths), _lists(n[order], lengths)],
+                    ["block", "part", "runs", "n"])
+
+    return split
+
+
+def part_logs(low: tuple[np.ndarray, np.ndarray], asked: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Log10 probability of each asked run, given all counts ``n`` of the runs of one part and those of ``low`` runs."""
+    keys, where = np.unique(asked, return_inverse=True)
+    counts = np.bincount(where, weights=n, minlength=len(keys))
+    sizes = [(k, *summed([low[0] & ((1 << 8 * k) - 1)], [low[1]])) for k in range(1, LOW + 1)]
+    sizes += [(k, *summed([keys[counts > 0] & ((1 << 8 * k) - 1)], [counts[counts > 0]])) for k in range(LOW + 1, ORDER + 2)]
+    trie = Trie(np.concatenate([np.full(len(r), k) for k, r, _ in sizes]), np.concatenate([r for _, r, _ in sizes]), np.concatenate([c for *_, c in sizes]))
+    return trie.log_probability(keys)[where]
+
+
+def _part_scorer(low):
+    """Sums the runs of one part over all blocks and gives each block ``(block, runs, logs)``."""
+    def score(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        lists = rows.column("runs").combine_chunks()
+        asked, n = lists.flatten().to_numpy(), rows.column("n").combine_chunks().flatten().to_numpy()
+        logs = part_logs(low.value, asked, n)
+        lengths = lists.value_lengths().to_numpy()
+        return pa.table({"block": rows.column("block"), "runs": lists, "logs": _lists(logs, lengths)})
+
+    return score
 
 
 SCORED = pa.schema([
     ("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def _scorer(model, n_train: int, v_train: int):
-    key = uuid.uuid4().hex
+def _scorer(n_train: int, v_train: int):
     divisor = np.log10(n_train + 0.1 * (v_train + 1)) if n_train else None
 
-    def score(rows: pa.Table, words: pa.Table) -> pa.Table:
-        if key not in _TRIES:
-            _TRIES.clear()
-            _TRIES[key] = Trie(*model.value)
+    def score(rows: pa.Table, given: pa.Table) -> pa.Table:
         logs: dict[bytes, float] = {}
+        words = given.filter(pc.is_valid(given.column("words")))
         for joined, c in zip(words.column("words"), words.column("c")):
             logs.update(zip(joined.as_py().split(b" "), np.log10(c.values.to_numpy() + 0.1).tolist()))
+        known_runs = given.filter(pc.is_valid(given.column("runs")))
+        found = Lookup(pc.list_flatten(known_runs.column("runs")).to_numpy())
+        run_logs = pc.list_flatten(known_runs.column("logs")).to_numpy()
         out = []
         for k in range(rows.num_rows):
             _, ids, held, sizes, packed = (c[k] for c in rows.columns)
@@ -321,7 +366,7 @@ def _scorer(model, n_train: int, v_train: int):
                 known.append(int((got > -0.5).sum()))  # log10(0.1) is -1, log10(1.1) above 0
                 base.append(float(got.sum() - len(got) * divisor) if n_train else None)
             for at in range(0, len(texts), STEP):
-                scores.append(_TRIES[key].score(texts[at:at + STEP]))
+                scores.append(text_scores(texts[at:at + STEP], lambda got: run_logs[found.find(got)]))
             out.append(pa.table({
                 "id": ids.values, "held_out": held.values, "n_tokens": pa.array(totals, pa.int64()), "n_known": pa.array(known, pa.int64()),
                 "base_score": pa.array(base, pa.float64()), "score": pa.array(np.concatenate(scores), pa.float64())}))
@@ -330,19 +375,22 @@ def _scorer(model, n_train: int, v_train: int):
     return score
 
 
-def score_texts(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", share: int = SHARE) -> DataFrame:
+def score_texts(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)``, learning from rows not held out."""
     rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(f"`{text}`").cast("binary").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    table = count_runs(rows.where("NOT held_out").select("text"), share)
-    model = docs.sparkSession.sparkContext.broadcast(tuple(table.column(c).to_numpy() for c in ("size", "run", "n")))
     blocks = kept(rows.mapInArrow(_blocks, f"block bigint, ids array<{kind}>, held array<boolean>, sizes array<bigint>, texts binary"), "blocks")
     size = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + x))).first()[0] or 0
-    parts = max(1, -(-size // PART_BYTES))
-    used = blocks.select("block", "held", "sizes", "texts").mapInArrow(_block_words(parts), "block bigint, part int, words binary, n array<bigint>")
-    counted = kept(used.groupBy("part").applyInArrow(_sum_words, "block bigint, words binary, c array<bigint>"), "words")
+    parts = max(1, -(-size // part_bytes))
+    used = blocks.select("block", "held", "sizes", "texts")
+    by_word = used.mapInArrow(_block_words(parts), "block bigint, part int, words binary, n array<bigint>")
+    counted = kept(by_word.groupBy("part").applyInArrow(_sum_words, "block bigint, words binary, c array<bigint>"), "words")
     n_train, v_train = counted.where("block = -1").agg(F.sum(F.get("c", F.lit(0))), F.sum(F.get("c", F.lit(1)))).first()
-    scorer = _scorer(model, n_train or 0, v_train or 0)
+    short = used.drop("block").mapInArrow(_count_low, "run bigint, n bigint").groupBy("run").agg(F.sum("n").alias("n")).toArrow()
+    low = docs.sparkSession.sparkContext.broadcast(tuple(short.column(c).to_numpy() for c in ("run", "n")))
+    by_run = used.mapInArrow(_block_runs(parts), "block bigint, part int, runs array<bigint>, n array<bigint>")
+    run_logs = by_run.groupBy("part").applyInArrow(_part_scorer(low), "block bigint, runs array<bigint>, logs array<double>")
+    given = counted.where("block <> -1").unionByName(run_logs, allowMissingColumns=True)
     schema = f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
-    scored = blocks.groupBy("block").cogroup(counted.where("block <> -1").groupBy("block")).applyInArrow(scorer, schema)
+    scored = blocks.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(_scorer(n_train or 0, v_train or 0), schema)
     return scored.select(F.col("id").alias(doc_id), "held_out", "n_tokens", "n_known", F.lit(n_train or 0).cast("bigint").alias("train_tokens"), "base_score", "score")

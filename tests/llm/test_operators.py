@@ -337,6 +337,19 @@ def test_trie_probabilities_sum_to_one(texts, context):
     assert total == pytest.approx(1.0, abs=1e-6)
 
 
+@pytest.mark.parametrize("part_bytes", [1 << 24, 300])
+def test_ppm_keeps_rare_runs_in_a_large_corpus(docs, part_bytes):
+    # The rare runs have one count in over 2**19 positions; what the whole trie says of every byte is the truth.
+    rows = [(2, "zyx qvj", "", ""), (3, "the zyx qvj", "", ""), *[(10 + i, " ".join(rng_words(i, 40, 9)), "", "") for i in range(6)], (1, "aaaa bbbb " * 60_000, "", "")]
+    training = [t.encode() for i, t, *_ in rows if i != 3]
+    sizes = [(k, *ppm.count_runs(training, k)) for k in range(1, ppm.ORDER + 2)]
+    trie = ppm.Trie(np.concatenate([np.full(len(r), k) for k, r, _ in sizes]), np.concatenate([r for _, r, _ in sizes]), np.concatenate([n for *_, n in sizes]))
+    got = {r["doc_id"]: r["score"] for r in ppm.score_texts(docs(rows), F.col("doc_id") == 3, part_bytes=part_bytes).collect()}
+    want = ppm.text_scores([t.encode() for _, t, *_ in rows], trie.log_probability)
+    assert got == {i: pytest.approx(w) for (i, *_), w in zip(rows, want)}
+    assert got[2] > -8  # seven bytes and the end, most of them sure after the first; about -20 without the rare runs
+
+
 # --- html
 
 def test_html(spark):
