@@ -182,6 +182,29 @@ def test_near_duplicates(docs, odd, empty):
     assert {r["doc_id"] for r in neardup.keep_one(odd).collect()} == {1, 4, 5} and neardup.keep_one(empty).count() == 0
 
 
+def test_keep_one_links_at_jaccard_080(docs):
+    r, texts = random.Random(17), []
+    for _ in range(30):
+        base = [f"v{r.randrange(10**6)}" for _ in range(200)]
+        copies = [list(base) for _ in range(3)]
+        for words, cuts in zip(copies, (1, 3, 5)):
+            for at in r.sample(range(5, 195), cuts):
+                words[at] = f"x{r.randrange(10**6)}"
+        texts += [" ".join(w) for w in (base, *copies)]
+    # A chain, and a crowd around its least text of which some members are only similar to each other.
+    step = [f"c{k}" for k in range(200)]
+    texts += [" ".join(step[:200 - 12 * k] + [f"d{i}" for i in range(12 * k)]) for k in range(8)]
+    sets = [{tuple(w[k:k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    label = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    got = {r["doc_id"] for r in neardup.keep_one(docs([(i, t, "en", "a") for i, t in enumerate(texts)])).collect()}
+    assert got == set(label) and len(got) < 60
+
+
 # --- decontamination
 
 @pytest.mark.parametrize("block_pairs", [400_000, 7])
