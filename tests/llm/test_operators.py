@@ -126,6 +126,20 @@ def test_line_dedup_round_trip_and_removal(spark, docs):
         assert all(x in got[i]["text"] for x in own[1:2])
 
 
+def test_line_dedup_removes_passages_whole(docs):
+    # Passages of over 50 words: many sentences, lines, two long sentences, or one long line without a sentence end.
+    r, rows, passages = random.Random(23), [], []
+    text = lambda n: " ".join(f"u{r.randrange(10**7)}" for _ in range(n))
+    for k in range(40):
+        n = 5 + k % 6
+        passages.append([" ".join(text(11) + "." for _ in range(n)), "\n".join(text(11) for _ in range(n)), f"{text(26)}. {text(26)}.", text(51)][k % 4])
+    for i in range(80):
+        rows.append((i, f"{text(8)}. {text(9)}.\n{text(20)}\n{passages[i % 40]}\n{text(7)}. {text(12)}\n{text(5)}", "en", "a"))
+    got = {r["doc_id"]: r["text"] for r in lines.remove_repeated(docs(rows)).collect()}
+    for i, t, *_ in rows:
+        assert got[i] == (t if i < 40 else t.replace(passages[i % 40] + "\n", ""))
+
+
 def test_line_dedup_odd(odd, empty):
     before, after = odd.orderBy("doc_id").select("doc_id", "text"), lines.remove_repeated(odd).orderBy("doc_id").select("doc_id", "text")
     assert [r[0] for r in before.collect()] == [r[0] for r in after.collect()]
