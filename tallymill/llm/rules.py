@@ -5,8 +5,9 @@ counting documents per bucket: values below 32 have a bucket each, larger ones 1
 quantile is exact to one part in 16. Sketches are rows of counts. They merge by adding, in any order, so a source with
 too few documents uses its language's merged sketch, and a language with too few uses that of all documents.
 
-The upper threshold of a rate is ``q75 + fence * max(q75 - q50, spread)`` of its sketch; ``spread`` keeps a rate that
-hardly varies from rejecting documents a hair above the rest. A document is kept if it passes the two fixed base rules
+The upper threshold of a rate is ``q90 + fence * max(q75 - q50, spread)`` of its sketch; ``spread`` keeps a rate that
+hardly varies from rejecting documents a hair above the rest. Where most documents have a rate of zero, the threshold is
+``fence * spread``, which lies well below what the base rules reject. A document is kept if it passes the two fixed base rules
 and lies at or below every threshold of its language and source.
 
 Defined cases: NULL and empty texts have no words and fail the base rule; NULL language or source is a group of its own;
@@ -27,7 +28,7 @@ FENCE = 6.0
 SYMBOLS = "#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 # rate -> least spread of its fence, in the rate's own unit (per thousand; tenths of a character for word_length).
-SPREADS = {"symbol_rate": 8, "upper_rate": 15, "bang_rate": 8, "dup_line_rate": 80, "repeat_rate": 50}
+SPREADS = {"symbol_rate": 8, "upper_rate": 15, "bang_rate": 8, "dup_line_rate": 25, "repeat_rate": 15}
 RATES = tuple(SPREADS)
 
 
@@ -115,20 +116,20 @@ def merge(sketches: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def quantiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """``(keys, rate, total, q50, q75)`` of each sketch."""
+    """``(keys, rate, total, q50, q75, q90)`` of each sketch."""
     group = Window.partitionBy(*keys, "rate")
     seen = F.sum("n").over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
     ranked = sketches.withColumns({"seen": seen, "total": F.sum("n").over(group)})
     at = lambda q: F.min(F.when(F.col("seen") >= q * F.col("total"), bucket_value(F.col("bucket"))))
-    return ranked.groupBy(*keys, "rate").agg(F.max("total").alias("total"), at(0.5).alias("q50"), at(0.75).alias("q75"))
+    return ranked.groupBy(*keys, "rate").agg(F.max("total").alias("total"), at(0.5).alias("q50"), at(0.75).alias("q75"), at(0.9).alias("q90"))
 
 
 def thresholds(sketches: DataFrame, lang: str, source: str, min_group: int = MIN_GROUP, fence: float = FENCE) -> DataFrame:
     """One row per (language, source): the upper limit of each rate, from the finest sketch with enough documents."""
     spread = F.create_map(*[x for r, s in SPREADS.items() for x in (F.lit(r), F.lit(s))])
     limit = lambda df: df.select(
-        *[c for c in df.columns if c not in ("q50", "q75")],
-        F.floor(F.col("q75") + F.lit(fence) * F.greatest(F.col("q75") - F.col("q50"), spread[F.col("rate")])).alias("limit"))
+        *[c for c in df.columns if c not in ("q50", "q75", "q90")],
+        F.floor(F.col("q90") + F.lit(fence) * F.greatest(F.col("q75") - F.col("q50"), spread[F.col("rate")])).alias("limit"))
     fine = limit(quantiles(sketches, [lang, source]))
     by_lang = limit(quantiles(merge(sketches, [lang]), [lang])).select(
         F.col(lang).alias("__l"), F.col("rate").alias("__r"), F.col("total").alias("lang_total"), F.col("limit").alias("lang_limit"))

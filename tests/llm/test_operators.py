@@ -101,6 +101,19 @@ def test_rules_keep_clean_and_drop_junk(docs, odd, empty):
     assert rules.keep_quality(odd).count() == 0 and rules.keep_quality(empty).count() == 0
 
 
+def test_each_rate_rejects_what_only_it_finds(docs):
+    plain = lambda i, n=60: [f"q{i}x{k}" for k in range(n)]
+    rows = [(i, " ".join(plain(i)), "en", "s0") for i in range(300)]
+    twice = plain(900, 8)
+    odd = {
+        "symbol_rate": " ".join(w + "##" for w in plain(901)), "upper_rate": " ".join(plain(902)).upper(), "bang_rate": " ".join(w + "!" for w in plain(903)),
+        "dup_line_rate": "\n".join(x for k in range(15) for x in (f"own{k} line", *["same words"] * (k % 3 == 0))),
+        "repeat_rate": " ".join([*plain(904, 64), *twice, *plain(905, 4), *twice])}
+    df = docs(rows + [(1000 + k, t, "en", "s0") for k, t in enumerate(odd.values())])
+    base = rules.measure(df, ["doc_id"]).where("base_failed").count()
+    assert base == 0 and {r["doc_id"] for r in rules.keep_quality(df).collect()} == set(range(300))
+
+
 # --- line dedup
 
 def test_line_dedup_round_trip_and_removal(spark, docs):
