@@ -37,22 +37,21 @@ def flatten_value(value: Column) -> Column:
     return F.coalesce(listed, fields, F.try_variant_get(value, "$", "string"))
 
 
-def flatten_keys(text: Column, depth: int = 4) -> Column:
-    """Dotted-key map of a nested JSON object. Lists, and objects below ``depth`` levels, become JSON text, whole."""
-
-    def level(prefix, value, remaining):
-        listed = F.when(F.try_variant_get(value, "$", "array<variant>").isNotNull(), F.to_json(value))
-        leaf = F.coalesce(listed, F.try_variant_get(value, "$", "string"))
-        one = lambda text: F.array(F.struct(prefix.alias("key"), text.alias("value")))
+def flatten_keys(text: Column) -> Column:
+    """Dotted-key map of a nested JSON object, to its deepest level. Lists become JSON text, whole."""
 
+    def opened(entry):
         def expand(children):
-            if not remaining:
-                return one(F.when(children.isNull(), leaf).otherwise(F.to_json(value)))
-            nested = F.flatten(F.transform(
-                F.map_entries(children), lambda e: level(F.concat(prefix, F.lit("."), e["key"]), e["value"], remaining - 1)))
-            return F.when(children.isNull(), one(leaf)).otherwise(nested)
+            below = F.transform(F.map_entries(children), lambda c: F.struct(F.concat(entry["key"], F.lit("."), c["key"]).alias("key"), c["value"].alias("value")))
+            return F.when(children.isNull(), F.array(entry)).otherwise(below)
 
-        return let(F.try_variant_get(value, "$", "map<string,variant>"), expand)
+        return let(F.try_variant_get(entry["value"], "$", "map<string,variant>"), expand)
+
+    def leaf(value):
+        listed = F.when(F.try_variant_get(value, "$", "array<variant>").isNotNull(), F.to_json(value))
+        return F.coalesce(listed, F.try_variant_get(value, "$", "string"))
 
-    tops = F.map_entries(config_map(text))
-    return F.map_from_entries(F.flatten(F.transform(tops, lambda e: level(e["key"], e["value"], depth - 1))))
+    # A text is nowhere deeper than it has opening braces; each step opens one level.
+    levels = F.sequence(F.lit(1), F.greatest(F.lit(1), F.regexp_count(text, F.lit("\\{"))))
+    entries = F.aggregate(levels, F.map_entries(config_map(text)), lambda found, _: F.flatten(F.transform(found, opened)))
+    return F.map_from_entries(F.transform(entries, lambda e: F.struct(e["key"].alias("key"), leaf(e["value"]).alias("value"))))

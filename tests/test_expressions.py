@@ -74,6 +74,11 @@ def test_flatten_keys(spark):
     assert row["f"] == {"a.b.c": "1", "a.b.d": "[1,2]", "e": "x"}
 
 
+def test_flatten_keys_to_the_end(spark):
+    row = one(spark, '{"a": {"b": {"c": {"d": {"e": {"f": 1}, "g": [{"h": 2}]}}}}}', configs.flatten_keys(F.col("name")).alias("f"))
+    assert row["f"] == {"a.b.c.d.e.f": "1", "a.b.c.d.g": '[{"h":2}]'}
+
+
 def test_filters(spark):
     df = spark.createDataFrame([(["x", "y"], "g", "finished", "run-1"), (["x"], "h", "failed", "run-2")], "tags array<string>, `group` string, state string, name string")
     assert df.where(predicates.run_filter()).count() == 2
