@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallymill.llm import decontaminate, html, lines, mixing, neardup, pii, ppm, quality, rules, urls
+from tallymill.llm import decontaminate, html, lines, mixing, neardup, pii, ppm, quality, repair, rules, spelling, urls
 from tallymill.llm.common import kept
-from tallymill.llm.targets import MIX_SEED, MIX_WEIGHTS, mix_domain
+from tallymill.llm.targets import MIX_SEED, MIX_WEIGHTS, damaged_turns, mix_domain
 from tallymill.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,14 @@ def personal_data(t: Tables) -> DataFrame:
 @query("op1_lm_scoring")
 def lm_scoring(t: Tables) -> DataFrame:
     return ppm.score_texts(t.documents, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0)
+
+
+@query("op11_spelling_variants")
+def spelling_variants(t: Tables) -> DataFrame:
+    return spelling.variants(t.documents.select("doc_id", "text"))
+
+
+@query("op12_conversation_repair")
+def conversation_repair(t: Tables) -> DataFrame:
+    turns = damaged_turns(t.conversations)
+    return repair.digests(turns, repair.report(turns, copies="copies"), copies="copies")
