@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallymill.llm import decontaminate, html, lines, mixing, neardup, pii, ppm, quality, repair, rules, spelling, urls
+from tallymill.llm import decontaminate, html, lines, mixing, neardup, pii, ppm, quality, repair, rules, spelling, toxicity, urls
 from tallymill.llm.common import kept
 from tallymill.llm.targets import MIX_SEED, MIX_WEIGHTS, damaged_turns, mix_domain
 from tallymill.tables import Tables
@@ -117,3 +117,11 @@ def spelling_variants(t: Tables) -> DataFrame:
 def conversation_repair(t: Tables) -> DataFrame:
     turns = damaged_turns(t.conversations)
     return repair.digests(turns, repair.report(turns, copies="copies"), copies="copies")
+
+
+@query("op13_toxicity")
+def toxic_texts(t: Tables) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    docs = t.documents.select("doc_id", "text", "lang", held_out.alias("held_out"))
+    scored = toxicity.score_toxicity(docs, t.labels, ~F.col("held_out"))
+    return scored.select("doc_id", "held_out", "score", "predicted", "threshold", "flagged")
