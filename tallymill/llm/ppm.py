@@ -5,7 +5,9 @@ A-Z, with an end mark; the shorter contexts' counts follow from them. Every run
 never in one place: documents are packed in blocks of some megabytes, each block sends its distinct runs, with their
 counts in training texts, to parts chosen by a hash of the last three bytes of the context. A part holds all longer
 contexts that end in its three bytes, so it adds the counts up, builds its piece of the trie, and sends each block the
-logarithms of its runs. Only counts of runs of at most three bytes are gathered and broadcast.
+logarithms of its runs. Runs travel sorted, those three bytes first, as compressed planes of bytes; logarithms come back
+alone in that order, which the block's texts give again. Only counts of runs of at most three bytes are gathered and
+broadcast.
 
 A node with ``n`` counts and ``d`` kept symbols gives a symbol ``c / (n + d)``; the escape has the rest, ``d`` plus the
 counts of the symbols left out. After an escape the symbols of the longer context are excluded from the shorter one's
@@ -298,22 +300,54 @@ def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), pa.array(values))
 
 
+def rotated(run: np.ndarray) -> np.ndarray:
+    """The run with the bytes that choose its part in front, so that neighbours in a part's order differ little."""
+    older = ORDER - LOW
+    return (((run >> 8) & ((1 << 8 * LOW) - 1)) << 8 * (older + 1)) | ((run >> 8 * (LOW + 1)) << 8) | (run & 0xFF)
+
+
+def unrotated(key: np.ndarray) -> np.ndarray:
+    older = ORDER - LOW
+    return (((key >> 8) & ((1 << 8 * older) - 1)) << 8 * (LOW + 1)) | ((key >> 8 * (older + 1)) << 8) | (key & 0xFF)
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Numbers of at least zero as compressed planes of bytes, without the planes that are all zero."""
+    planes = np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T)
+    used = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
+    return zstandard.ZstdCompressor(level=3).compress(planes[:used].tobytes())
+
+
+def unpack(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(-1, n) if n else np.empty((0, 0), np.uint8)
+    out = np.zeros((8, n), np.uint8)
+    out[:len(planes)] = planes
+    return np.ascontiguousarray(out.T).view("<i8").reshape(-1)
+
+
+def block_runs(texts: list[bytes | None], held: list[bool], parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A block's distinct runs in order of part and rotated run, their counts in training texts, the parts and their sizes."""
+    run, n = count_runs([t for t, out in zip(texts, held) if not out])
+    others, _ = count_runs([t for t, out in zip(texts, held) if out])
+    run, n = summed([run, others], [n, np.zeros(len(others), np.int64)])
+    part = part_of(run, parts)
+    order = np.lexsort((rotated(run), part))
+    names, lengths = np.unique(part, return_counts=True)
+    return run[order], n[order], names, lengths
+
+
 def _block_runs(parts: int):
-    """``(block, part, runs, n)``: a block's distinct runs by part, and how often training texts have them."""
+    """``(block, part, size, runs, n)``: a block's distinct runs by part, and how often training texts have them."""
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 block, held, sizes, packed = (c[k].as_py() for c in batch.columns)
-                texts = unpacked(sizes, packed)
-                run, n = count_runs([t for t, out in zip(texts, held) if not out])
-                others, _ = count_runs([t for t, out in zip(texts, held) if out])
-                run, n = summed([run, others], [n, np.zeros(len(others), np.int64)])
-                part = part_of(run, parts)
-                order = np.argsort(part, kind="stable")
-                names, lengths = np.unique(part, return_counts=True)
+                run, n, names, lengths = block_runs(unpacked(sizes, packed), held, parts)
+                cuts = np.cumsum(lengths)[:-1]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([block] * len(names), pa.int64()), pa.array(names, pa.int32()), _lists(run[order], lengths), _lists(n[order], lengths)],
-                    ["block", "part", "runs", "n"])
+                    [pa.array([block] * len(names), pa.int64()), pa.array(names, pa.int32()), pa.array(lengths, pa.int32()),
+                     *[pa.array([pack(x) for x in np.split(values, cuts)] if len(names) else [], pa.binary()) for values in (rotated(run), n)]],
+                    ["block", "part", "size", "runs", "n"])
 
     return split
 
@@ -329,14 +363,12 @@ def part_logs(low: tuple[np.ndarray, np.ndarray], asked: np.ndarray, n: np.ndarr
 
 
 def _part_scorer(low):
-    """Sums the runs of one part over all blocks and gives each block ``(block, runs, logs)``."""
+    """Sums the runs of one part over all blocks and gives each block ``(block, part, logs)``."""
     def score(rows: pa.Table) -> pa.Table:
-        rows = rows.combine_chunks()
-        lists = rows.column("runs").combine_chunks()
-        asked, n = lists.flatten().to_numpy(), rows.column("n").combine_chunks().flatten().to_numpy()
-        logs = part_logs(low.value, asked, n)
-        lengths = lists.value_lengths().to_numpy()
-        return pa.table({"block": rows.column("block"), "runs": lists, "logs": _lists(logs, lengths)})
+        lengths = rows.column("size").to_numpy()
+        asked, n = (np.concatenate([unpack(x.as_py(), k) for x, k in zip(rows.column(c), lengths)]) for c in ("runs", "n"))
+        logs = part_logs(low.value, unrotated(asked), n)
+        return pa.table({"block": rows.column("block"), "part": rows.column("part"), "logs": _lists(logs, lengths)})
 
     return score
 
@@ -345,7 +377,7 @@ SCORED = pa.schema([
     ("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def _scorer(n_train: int, v_train: int):
+def _scorer(n_train: int, v_train: int, parts: int):
     divisor = np.log10(n_train + 0.1 * (v_train + 1)) if n_train else None
 
     def score(rows: pa.Table, given: pa.Table) -> pa.Table:
@@ -353,13 +385,12 @@ def _scorer(n_train: int, v_train: int):
         words = given.filter(pc.is_valid(given.column("words")))
         for joined, c in zip(words.column("words"), words.column("c")):
             logs.update(zip(joined.as_py().split(b" "), np.log10(c.values.to_numpy() + 0.1).tolist()))
-        known_runs = given.filter(pc.is_valid(given.column("runs")))
-        found = Lookup(pc.list_flatten(known_runs.column("runs")).to_numpy())
-        run_logs = pc.list_flatten(known_runs.column("logs")).to_numpy()
+        run_logs = pc.list_flatten(given.filter(pc.is_valid(given.column("logs"))).sort_by("part").column("logs")).to_numpy()
         out = []
         for k in range(rows.num_rows):
             _, ids, held, sizes, packed = (c[k] for c in rows.columns)
             texts, totals, known, base, scores = unpacked(sizes.as_py(), packed.as_py()), [], [], [], []
+            found = Lookup(block_runs(texts, held.as_py(), parts)[0])
             for text in texts:
                 got = np.array([logs[w] for w in tokens(text)])
                 totals.append(len(got))
@@ -388,9 +419,9 @@ def score_texts(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text:
     n_train, v_train = counted.where("block = -1").agg(F.sum(F.get("c", F.lit(0))), F.sum(F.get("c", F.lit(1)))).first()
     short = used.drop("block").mapInArrow(_count_low, "run bigint, n bigint").groupBy("run").agg(F.sum("n").alias("n")).toArrow()
     low = docs.sparkSession.sparkContext.broadcast(tuple(short.column(c).to_numpy() for c in ("run", "n")))
-    by_run = used.mapInArrow(_block_runs(parts), "block bigint, part int, runs array<bigint>, n array<bigint>")
-    run_logs = by_run.groupBy("part").applyInArrow(_part_scorer(low), "block bigint, runs array<bigint>, logs array<double>")
+    by_run = used.mapInArrow(_block_runs(parts), "block bigint, part int, size int, runs binary, n binary")
+    run_logs = by_run.groupBy("part").applyInArrow(_part_scorer(low), "block bigint, part int, logs array<double>")
     given = counted.where("block <> -1").unionByName(run_logs, allowMissingColumns=True)
     schema = f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
-    scored = blocks.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(_scorer(n_train or 0, v_train or 0), schema)
+    scored = blocks.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(_scorer(n_train or 0, v_train or 0, parts), schema)
     return scored.select(F.col("id").alias(doc_id), "held_out", "n_tokens", "n_known", F.lit(n_train or 0).cast("bigint").alias("train_tokens"), "base_score", "score")
