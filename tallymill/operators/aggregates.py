@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -132,6 +133,49 @@ def latency_profile(df: DataFrame, keys: Sequence[str], warmup: int, batch: str
     return percentiles(df, keys, F.when(late, c(seconds)), {"p50_seconds": 0.5, "p95_seconds": 0.95}, extra)
 
 
+def sketch_size(rank_error: float) -> int:
+    """Items per level of a KLL sketch whose ranks are off by at most ``rank_error`` (a share, with 99 % confidence)."""
+    # The published fit of the sketch's error to its size.
+    size = math.ceil((2.296 / rank_error) ** (1 / 0.9723))
+    if not 8 <= size <= 65_535:
+        raise ValueError(f"no sketch has a rank error of {rank_error}")
+    return size
+
+
+def quantile_sketches(df: DataFrame, keys: Sequence[str], value: Column, rank_error: float = 0.002) -> DataFrame:
+    """(keys, ``sketch``): a mergeable sketch of the non-NULL values per group, of bounded size whatever the group's.
+
+    Write it by day or by shard, add it up with :func:`merge_sketches` and read
+    it with :func:`sketch_quantiles`. Partial aggregation merges on the map side,
+    so a hot group is no hot task.
+    """
+    return df.groupBy(*keys).agg(F.kll_sketch_agg_double(value.cast("double"), F.lit(sketch_size(rank_error))).alias("sketch"))
+
+
+def merge_sketches(sketches: DataFrame, keys: Sequence[str], rank_error: float = 0.002) -> DataFrame:
+    """One sketch per group of ``keys`` from finer ones of the same ``rank_error``."""
+    return sketches.groupBy(*keys).agg(F.kll_merge_agg_double("sketch", F.lit(sketch_size(rank_error))).alias("sketch"))
+
+
+def sketch_quantiles(sketches: DataFrame, keys: Sequence[str], levels: dict[str, float]) -> DataFrame:
+    """(keys, ``n``, a column per entry of ``levels``), NULL for groups without values."""
+    n = F.kll_sketch_get_n_double("sketch")
+    at = [F.when(n > 0, F.kll_sketch_get_quantile_double("sketch", F.lit(p))).alias(name) for name, p in levels.items()]
+    return sketches.select(*keys, n.alias("n"), *at)
+
+
+def rank_errors(df: DataFrame, quantiles: DataFrame, keys: Sequence[str], value: Column, levels: dict[str, float]) -> DataFrame:
+    """(keys, ``name``, ``error``): how far the exact ranks of values that are said to be quantiles are from their levels, as shares."""
+    rows = join_null_safe(df.select(*keys, value.cast("double").alias("_v")).where("_v IS NOT NULL"), quantiles.select(*keys, *levels), keys, "inner")
+    # NaN ranks above all numbers, in Spark's order as in the sketch's input.
+    counts = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col("_v") < F.col(c)).alias(f"_lt_{c}") for c in levels],
+        *[F.count_if(F.col("_v") <= F.col(c)).alias(f"_le_{c}") for c in levels])
+    entries = [F.struct(F.lit(c).alias("name"), F.greatest(
+        F.lit(0.0), F.col(f"_lt_{c}") / F.col("_n") - p, p - F.col(f"_le_{c}") / F.col("_n")).alias("error")) for c, p in levels.items()]
+    return counts.select(*keys, F.inline(F.array(*entries)))
+
+
 def metrics_across_seeds(rows: DataFrame, group: Sequence[str], metrics: Sequence[str], level: str = "k") -> DataFrame:
     """Mean and deviation over seeds of the values present (deviation NULL below two), with a sort ordinal for ``level``:
     numbers ascending, then ``all``."""

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallymill.functions import scores
+from tallymill.operators.metric_kinds import PerClass, Quantile, RankArea, Shape, UserAggregate
 from tallymill.plans.indexing import Order, Running, running
 
 CALIBRATION_BINS = (5, 10, 15, 20)
@@ -28,14 +29,17 @@ class Metric:
     scale: float = 1.0
 
 
+Kind = Metric | PerClass | Quantile | RankArea | UserAggregate
+
+
 class MetricRegistry:
     """Named metrics; duplicates and unknown names are errors."""
 
     def __init__(self):
-        self._metrics: dict[str, Callable[[], Metric]] = {}
+        self._metrics: dict[str, Callable[[], Kind]] = {}
 
     def register(self, name: str):
-        def wrap(factory: Callable[[], Metric]):
+        def wrap(factory: Callable[[], Kind]):
             if name in self._metrics:
                 raise ValueError(f"metric {name!r} is already registered")
             self._metrics[name] = factory
@@ -46,24 +50,34 @@ class MetricRegistry:
     def names(self) -> list[str]:
         return sorted(self._metrics)
 
-    def get(self, name: str) -> Metric:
+    def get(self, name: str) -> Kind:
         if name not in self._metrics:
             raise KeyError(f"unknown metric {name!r}; known: {self.names()}")
         return self._metrics[name]()
 
     def evaluate(self, df: DataFrame, group: Sequence[str], names: Sequence[str] | None = None,
                  logits: str = "logits", label: str = "label") -> DataFrame:
-        """Long table (group..., metric, value). The predictions are scanned and shuffled once.
+        """Long table (group..., metric, value). Metrics of sums scan and shuffle the predictions once.
 
-        The first aggregation is by group and by the combination of confidence
+        Their first aggregation is by group and by the combination of confidence
         bins, which leaves at most a few dozen rows per group whatever the
-        data size; every metric is finished from those rows.
+        data size; every metric is finished from those rows. Metrics of other
+        kinds add a plan each over the same scored rows.
         """
         # Factories name the columns ``logits`` and ``label``.
         df = df.withColumns({k: F.col(f"`{v}`") for k, v in (("logits", logits), ("label", label)) if k != v})
         logits, label = "logits", "label"
         chosen = {n: self.get(n) for n in (names or self.names())}
         group = list(group)
+        others = {n: m for n, m in chosen.items() if not isinstance(m, Metric)}
+        if others:
+            rows = scores.with_scores(df, logits, label)
+            tables = [m.table(rows, group, n) for n, m in others.items()]
+            summed = [n for n in chosen if n not in others]
+            out = self.evaluate(df, group, summed, logits, label) if summed else tables.pop(0)
+            for table in tables:
+                out = out.unionByName(table)
+            return out
         bins = sorted({b for m in chosen.values() for b in m.bins})
         scored = scores.with_scores(df, logits, label).withColumns(
             {f"_b{b}": scores.bin_of(F.col("_conf"), b) for b in bins} or {"_none": F.lit(0)}
@@ -130,6 +144,17 @@ register_metric("brier")(lambda: _mean("_brier"))
 register_metric("ece")(lambda: Metric(bins=CALIBRATION_BINS))
 
 
+def _hit() -> Column:
+    return F.col("_pred") == F.col("label")
+
+
+register_metric("class_acc")(lambda: PerClass({"hit": _hit().cast("double")}, lambda s: s["hit"] / s["n"] * 100))
+register_metric("median_nll")(lambda: Quantile(F.col("_nll"), 0.5))
+# Confidences that agree to nine digits tie, as the last bits of a softmax depend on the order of its sum.
+register_metric("auroc")(lambda: RankArea(F.round("_conf", 9), _hit()))
+register_metric("nll_shape")(lambda: UserAggregate({"x": F.col("_nll")}, Shape))
+
+
 def topk_accuracy(df: DataFrame, group: Sequence[str], ks: Sequence[int] = (1, 5)) -> DataFrame:
     """Percent of rows whose label is among the k best scores, one column per k."""
     hits = [

@@ -10,6 +10,7 @@ from tallymill.operators import metrics as M
 from tallymill.operators import ranking as W
 from tallymill.queries.metric_queries import AREA_CTE, area_samples
 from tallymill.queries.registry import query
+from tallymill.session import cut_lineage
 
 
 def r6(*columns):
@@ -105,6 +106,21 @@ def latency_profile(t):
     return out.select("configuration", "seed", *r6("p50_seconds", "p95_seconds", "items_per_second"), "first_batch_seconds", "measured")
 
 
+@query("g6_latency_sketch", """
+SELECT configuration, n, level, TRUE AS within FROM (SELECT configuration, count(*) AS n FROM lat WHERE batch_no > 21 GROUP BY configuration) c,
+  (VALUES ('p05'), ('p50'), ('p95'), ('p99')) v(level)
+""", uses=("lat",))
+def latency_sketch(t):
+    """Sketches per configuration and seed, merged per configuration; ranks are held against the exact ones, off by at most half a percent."""
+    levels = {"p05": 0.05, "p50": 0.5, "p95": 0.95, "p99": 0.99}
+    late = t.lat.where("batch_no > 21")
+    merged = G.merge_sketches(G.quantile_sketches(late, ["configuration", "seed"], F.col("seconds")), ["configuration"])
+    found = cut_lineage(G.sketch_quantiles(merged, ["configuration"], levels))
+    errors = G.rank_errors(late, found, ["configuration"], F.col("seconds"), levels)
+    return errors.join(found.select("configuration", "n"), "configuration").select(
+        "configuration", "n", F.col("name").alias("level"), (F.col("error") <= 0.005).alias("within"))
+
+
 @query("g7_metrics_across_seeds", AREA_CTE + """,
 rows AS (SELECT 'M' || (CAST(substr(model, 2) AS INTEGER) // 2 % 2) AS family, model AS seed, lv.k AS k, avg(rho) AS spearman_mean,
    sum(ok)::DOUBLE / nullif(sum(pairs), 0) AS pair_acc FROM contrib, (VALUES ('3'), ('4'), ('5'), ('6'), ('all')) lv(k)
