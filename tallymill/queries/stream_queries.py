@@ -7,16 +7,25 @@ from pyspark.sql import functions as F
 from tallymill.queries.dataset_queries import seen_sql, u
 from tallymill.queries.registry import query
 from tallymill.session import scratch_path
-from tallymill.streaming import meters, sampling, sync
-from tallymill.streaming.tables import drain, parquet_stream, read_between, read_version
+from tallymill.streaming import epochs, meters, sampling, stateful, sync
+from tallymill.streaming.tables import drain, parquet_stream, read_between, read_version, run_batches, write_batch
 
 
 def r6(*columns):
     return [F.round(c, 6).alias(c) for c in columns]
 
 
+PARTS = 4
+
+
 def event_stream(t):
-    return parquet_stream(t.spark, t.folder, t.events.schema, "events.parquet")
+    """The events as a stream of ``PARTS`` micro-batches: slices of the id range, written one after the other so that they arrive in order."""
+    folder = scratch_path(t.spark, "events")
+    end = t.events.agg(F.max("event_id")).first()[0] or 0
+    part = F.floor(F.col("event_id") * PARTS / (end + 1))
+    for k in range(PARTS):
+        t.events.where(part == k).coalesce(1).write.mode("append").parquet(folder)
+    return parquet_stream(t.spark, folder, t.events.schema, files_per_trigger=1)
 
 
 def notices(events):
@@ -28,7 +37,7 @@ def notices(events):
 
 
 @query("t1_sync_decisions", """
-WITH n AS (SELECT user_id AS run_id, event_id, strftime(ts, '%Y-%m-%d') AS stamp FROM events WHERE event_id % 2 = 0),
+WITH n AS (SELECT user_id AS run_id, event_id, strftime(ts, '%Y-%m-%d') AS stamp FROM events),
 l AS (SELECT run_id, arg_max(stamp, event_id) AS stamp FROM n GROUP BY run_id),
 m AS (SELECT user_id AS run_id, arg_max(strftime(ts, '%Y-%m-%d'), event_id) AS stamp, user_id % 3 = 0 AS files FROM events WHERE event_id % 5 <> 0 AND user_id % 7 <> 2 GROUP BY user_id)
 SELECT l.run_id, l.stamp AS server_at, CASE WHEN m.run_id IS NULL THEN 'new' WHEN m.stamp <> l.stamp THEN 'changed' WHEN NOT m.files THEN 'files' WHEN l.run_id % 4 = 1 THEN 'vanished' ELSE 'fresh' END AS reason
@@ -38,7 +47,7 @@ def sync_decisions(t):
     manifest = t.events.where("event_id % 5 <> 0 AND user_id % 7 <> 2").groupBy(F.col("user_id").alias("run_id")).agg(F.max_by(F.date_format("ts", "yyyy-MM-dd"), "event_id").alias("updated_at")).withColumns(
         {"include_files": F.col("run_id") % 3 == 0, "path": F.concat(F.lit("runs/"), F.col("run_id").cast("string"))})
     inventory = manifest.where("run_id % 4 <> 1").select("path")
-    out = sync.sync_decisions(notices(t.events.where("event_id % 2 = 0")), manifest, inventory, want_files=True)
+    out = sync.sync_decisions(notices(t.events), manifest, inventory, want_files=True)
     return out.select("run_id", "server_at", "reason")
 
 
@@ -79,24 +88,37 @@ def stream_meters(t):
     return meters.meter_values(sums, ["event_type"]).select("event_type", *r6("avg", "acc", "ece"), "count")
 
 
-@query("t3_capped_stream", """
+CAPPED_SQL = """
 WITH f AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rk FROM events WHERE value >= 20)
 SELECT event_type, event_id FROM (SELECT *, row_number() OVER (ORDER BY event_id) AS g FROM f WHERE rk <= 30) q WHERE g <= 120
-""")
+"""
+
+
+@query("t3_capped_state", CAPPED_SQL)
+def capped_state(t):
+    root = scratch_path(t.spark, "capped")
+    drain(stateful.capped_label_stream(event_stream(t), root, "event_type", "event_id", 30, 120, F.col("value") >= 20))
+    return read_between(t.spark, f"{root}/accepted").select("event_type", "event_id")
+
+
+@query("t3_capped_stream", CAPPED_SQL)
 def capped_stream(t):
     root = scratch_path(t.spark, "capped")
     drain(sampling.capped_stream(event_stream(t), root, "event_type", "event_id", 30, 120, F.col("value") >= 20))
     return read_between(t.spark, f"{root}/accepted").select("event_type", "event_id")
 
 
-@query("t4_four_group_stream", f"""
+FOURS_SQL = f"""
 WITH e AS (SELECT event_type, event_id, user_id % 10 AS label, {u(8, 2, "'group'", 'event_id')} < 0.7::DOUBLE AS inn FROM events),
 n AS (SELECT *, (row_number() OVER (PARTITION BY event_type, inn ORDER BY event_id) - 1) // 4 AS grp FROM e),
 g AS (SELECT event_type, grp, count(*) AS c, min(event_id) AS lead, list(label ORDER BY event_id) AS ls FROM n WHERE inn GROUP BY event_type, grp),
 d AS (SELECT *, round((0.5 + {u(8, 2, "'cx'", 'lead')}) * 224)::DOUBLE AS xc, round((0.5 + {u(8, 2, "'cy'", 'lead')}) * 224)::DOUBLE AS yc, 1.0::DOUBLE AS z FROM g WHERE c = 4),
 s AS (SELECT *, {seen_sql('greatest(xc - 224, 0)', 'xc')} AS l, {seen_sql('xc', 'least(xc + 224, 448)')} AS r, {seen_sql('greatest(yc - 224, 0)', 'yc')} AS t, {seen_sql('yc', 'least(yc + 224, 448)')} AS b FROM d)
 SELECT event_type, lead, array_to_string(ls, ',') AS labels, round(l * t / ((l + r) * (t + b)), 6) AS w0 FROM s
-UNION ALL SELECT n.event_type, n.event_id, concat_ws(',', label, label, label, label), 1 FROM n LEFT JOIN g ON n.inn AND g.event_type = n.event_type AND g.grp = n.grp WHERE NOT n.inn OR g.c < 4
+"""
+
+
+@query("t4_four_group_stream", FOURS_SQL + """UNION ALL SELECT n.event_type, n.event_id, concat_ws(',', label, label, label, label), 1 FROM n LEFT JOIN g ON n.inn AND g.event_type = n.event_type AND g.grp = n.grp WHERE NOT n.inn OR g.c < 4
 """)
 def four_group_stream(t):
     root = scratch_path(t.spark, "fours")
@@ -106,6 +128,19 @@ def four_group_stream(t):
     return out.select("event_type", F.get("members", 0).alias("lead"), F.array_join("labels", ",").alias("labels"), F.round(F.get("weights", 0), 6).alias("w0"))
 
 
+@query("t4_timed_fours", FOURS_SQL + """UNION ALL SELECT event_type, event_id, concat_ws(',', label, label, label, label), 1 FROM n WHERE NOT inn
+""")
+def timed_fours(t):
+    """Groups by list state; rows whose group is open at the end of the input still wait there."""
+    root = scratch_path(t.spark, "timed")
+    stream = event_stream(t).select("event_type", "event_id", (F.col("user_id") % 10).alias("label"))
+    with stateful.keyed_state(t.spark):
+        query = run_batches(stateful.timed_fours(stream, ["event_type"], "event_id", "label", 0.7, 8, 2), lambda rows, k: write_batch(rows, f"{root}/groups", k), f"{root}/checkpoint")
+    drain(query)
+    out = read_between(t.spark, f"{root}/groups")
+    return out.select("event_type", F.get("members", 0).alias("lead"), F.array_join("labels", ",").alias("labels"), F.round(F.get("weights", 0), 6).alias("w0"))
+
+
 @query("t5_epoch_reader", """
 WITH e AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS g, count(*) OVER () AS n FROM events),
 d AS (SELECT event_id, g % 6 AS worker, g // 6 AS i, CAST(ceil(ceil(2 * n / 6.0::DOUBLE) / 64) * 64 AS BIGINT) AS target, count(*) OVER (PARTITION BY g % 6) AS m FROM e)
@@ -118,15 +153,20 @@ def epoch_reader(t):
 
 
 @query("t5_epoch_stream", """
-SELECT CAST(worker AS INTEGER) AS worker, least(count(*), max(target)) AS rows FROM (
-  SELECT ('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 15))::BIGINT % 6 AS worker, CAST(ceil(ceil(n / 6.0::DOUBLE) / 64) * 64 AS BIGINT) // 2 AS target
-  FROM events, (SELECT count(*) AS n FROM events) c) q GROUP BY worker
+WITH e AS (SELECT event_id, event_id % 12 AS file, event_id % 6 AS worker, count(*) OVER () AS n FROM events),
+d AS (SELECT event_id, worker, row_number() OVER (PARTITION BY worker ORDER BY file, event_id) - 1 AS i, count(*) OVER (PARTITION BY worker) AS m,
+  CAST(ceil(ceil(2 * n / 6.0::DOUBLE) / 64) * 64 AS BIGINT) AS target FROM e)
+SELECT CAST(worker AS INTEGER) AS worker, i + r.range * m AS seq, r.range AS epoch, event_id FROM d, range(4) r WHERE i + r.range * m < target
 """)
 def epoch_stream(t):
-    root = scratch_path(t.spark, "epoch")
-    target = sampling.worker_target(t.events.count(), 6, batch=64) // 2
-    drain(sampling.epoch_stream(event_stream(t).select("event_id"), root, "event_id", 6, target))
-    return read_between(t.spark, f"{root}/accepted").groupBy("worker").agg(F.count(F.lit(1)).alias("rows"))
+    """Twelve files in three epochs, five files a micro-batch; stopped after the first epoch and started again from the checkpoint."""
+    root, folder = scratch_path(t.spark, "epoch"), scratch_path(t.spark, "files")
+    t.events.select("event_id", (F.col("event_id") % 12).alias("file")).repartition(12, "file").write.partitionBy("file").parquet(folder)
+    files = t.events.groupBy((F.col("event_id") % 12).alias("file")).agg(F.count(F.lit(1)).alias("rows")).withColumn("path", F.concat(F.lit(f"{folder}/file="), "file"))
+    target = sampling.worker_target(t.events.count(), 6, repeats=2, batch=64)
+    for stop in (1, None):
+        epochs.finish(epochs.repeated_files(t.spark, files, root, "event_id", 6, target, 5, stop))
+    return read_between(t.spark, f"{root}/read").select("worker", "seq", "epoch", "event_id")
 
 
 @query("t6_append_history", """

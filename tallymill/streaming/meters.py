@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-
 def meter_sums(rows: DataFrame, keys: Sequence[str], value: Column, weight: Column, hit: Column, conf: Column, bins: int = 15) -> DataFrame:
     """Mergeable sums per key and confidence bin; the same expression on a batch or a stream."""
     b = F.least(F.floor(conf * bins), F.lit(bins - 1)).cast("int")
@@ -24,18 +23,29 @@ def meter_values(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.sum("n").alias("count"), (gap * 100).alias("ece"))
 
 
-def history_rows(evals: DataFrame, train: Sequence[str], evaluated: Sequence[str], run: str = "run_id", step: str = "step", lr: str | None = None) -> DataFrame:
+def history_rows(evals: DataFrame, train: Sequence[str], evaluated: Sequence[str], run: str = "run_id", step: str = "step", lr: str | None = None, at: str | None = None) -> DataFrame:
     """One history row per evaluation: ``train_`` and ``eval_`` prefixed metrics, with the learning rate if there is one."""
     return evals.select(
-        run, step, *[F.col(m).alias(f"train_{m}") for m in train], *[F.col(f"{m}").alias(f"eval_{m}") for m in evaluated], *([F.col(lr).alias("lr")] if lr else []))
+        run, step, *([at] if at else []), *[F.col(m).alias(f"train_{m}") for m in train], *[F.col(f"{m}").alias(f"eval_{m}") for m in evaluated], *([F.col(lr).alias("lr")] if lr else []))
 
 
-def append_history(stream: DataFrame, root: str, train: Sequence[str], evaluated: Sequence[str], lr: str | None = None, available_now: bool = True):
+def append_history(
+    stream: DataFrame, root: str, train: Sequence[str], evaluated: Sequence[str], lr: str | None = None, at: str | None = None, delay: str = "1 hour",
+    available_now: bool = True,
+):
     """Append-only history below ``root``, one row per (run, step).
 
     Repeats are dropped by the stream's own keyed state, and the file sink
-    commits each micro-batch once, so no batch reads the history back.
+    commits each micro-batch once, so no batch reads the history back. With
+    ``at`` (an event time) a key stays in state only until the newest time is
+    ``delay`` past it: a repeat within that is dropped, a row that comes later
+    still counts as late and is dropped too, and the state doesn't grow with
+    the history. Without ``at`` all keys stay.
     """
-    rows = history_rows(stream, train, evaluated, lr=lr).dropDuplicates(["run_id", "step"])
+    rows = history_rows(stream, train, evaluated, lr=lr, at=at)
+    if at:
+        rows = rows.withWatermark(at, delay).dropDuplicatesWithinWatermark(["run_id", "step"]).drop(at)
+    else:
+        rows = rows.dropDuplicates(["run_id", "step"])
     writer = rows.writeStream.outputMode("append").format("parquet").option("path", f"{root}/history").option("checkpointLocation", f"{root}/checkpoint")
     return (writer.trigger(availableNow=True) if available_now else writer).start()

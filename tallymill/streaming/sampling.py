@@ -12,7 +12,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallymill.hashing import digest_long
 from tallymill.operators.mixing import four_groups
 from tallymill.plans.indexing import by_number, first_n, indexed
 from tallymill.plans.sizing import join_null_safe
@@ -98,9 +97,3 @@ def epoch_rows(df: DataFrame, key: str, workers: int, target: int) -> DataFrame:
     share = dealt.groupBy("worker").agg(F.count(F.lit(1)).alias("_m"))
     rounds = dealt.join(share, "worker").where(F.col("_i") < target)
     return rounds.withColumn("seq", F.explode(F.sequence(F.col("_i"), F.lit(target - 1).cast("bigint"), F.col("_m")))).select("worker", "seq", key)
-
-
-def epoch_stream(stream: DataFrame, root: str, key: str, workers: int, target: int, available_now: bool = True):
-    """Streaming reader: rows go to workers by key and stop at ``target`` per worker; a new epoch starts the stream anew."""
-    routed = stream.withColumn("worker", F.pmod(digest_long(F.col(key)), F.lit(workers)).cast("int"))
-    return capped_stream(routed, root, "worker", key, target, available_now=available_now)

@@ -65,12 +65,19 @@ def upsert_manifest(manifest: DataFrame, decisions: DataFrame, want_files: bool
     return manifest.join(fresh, "run_id", "left_anti").select("run_id", "updated_at", "include_files", "path").unionByName(fresh)
 
 
-def sync_stream(stream: DataFrame, root: str, want_files: bool = False, force: bool = False, refresh=None, available_now: bool = True):
+def sync_stream(
+    stream: DataFrame, root: str, want_files: bool = False, force: bool = False, refresh=None, available_now: bool = True,
+    inventory=None, limit: int | None = None,
+):
     """Keeps a manifest below ``root`` in step with a stream of run notices.
 
     ``refresh(decisions)`` may fetch the runs and return the decisions with a
-    ``failed`` column. Manifest versions are written per micro-batch, so no
-    table is overwritten while it is read.
+    ``failed`` column. ``inventory()`` gives the paths that exist now; runs
+    whose path is gone are refreshed. ``limit`` bounds the runs looked at per
+    micro-batch: notices of the others wait below ``root``/waiting and join the
+    next one. Manifest versions, decisions and counters are written per
+    micro-batch, so no table is overwritten while it is read; add the counters
+    up with :func:`stream_counters`.
     """
     spark = stream.sparkSession
 
@@ -78,26 +85,39 @@ def sync_stream(stream: DataFrame, root: str, want_files: bool = False, force: b
         manifest = read_version(spark, f"{root}/manifest", batch_id)
         if manifest is None:
             manifest = spark.createDataFrame([], f"run_id {batch.schema['run_id'].dataType.simpleString()}, updated_at string, include_files boolean, path string")
-        decisions = sync_decisions(batch, manifest, None, want_files, force)
+        incoming = batch
+        if limit is not None:
+            waiting = read_version(spark, f"{root}/waiting", batch_id)
+            incoming = batch if waiting is None else batch.unionByName(waiting)
+        decisions = sync_decisions(incoming, manifest, None if inventory is None else inventory(), want_files, force, limit)
         if refresh is not None:
             decisions = refresh(decisions)
         write_batch(decisions, f"{root}/decisions", batch_id)
         stored = spark.read.parquet(f"{root}/decisions/batch_id={batch_id}")
+        write_batch(sync_counters(stored), f"{root}/counters", batch_id)
+        if limit is not None:
+            write_batch(incoming.join(stored.select("run_id"), "run_id", "left_anti"), f"{root}/waiting", batch_id)
         write_batch(upsert_manifest(manifest, stored, want_files), f"{root}/manifest", batch_id)
 
     return run_batches(stream, process, f"{root}/checkpoint", available_now=available_now)
 
 
-def run_status(events: DataFrame, run: str = "run_id") -> DataFrame:
-    """Fold of status events (ts, step, state, optional config) into one row per run.
+def stream_counters(spark, root: str) -> DataFrame:
+    """One row: the counters of all micro-batches so far."""
+    return read_between(spark, f"{root}/counters").agg(*[F.sum(n).alias(n) for n in ("scanned", "downloaded", "skipped", "failed")])
 
-    Works on a batch and, in update mode, on a stream: every aggregate merges.
+
+def run_status(events: DataFrame, run: str = "run_id", optional=("config",)) -> DataFrame:
+    """Fold of status events (ts, step, state, optional fields) into one row per run.
+
+    An ``optional`` field keeps its latest value that is not NULL. Works on a
+    batch and, in update mode, on a stream: every aggregate merges.
     """
     at = F.struct("ts", "step")
     final = F.col("state").isin(*FINAL_STATES)
     return events.groupBy(run).agg(
         F.min("ts").alias("created_at"), F.max("ts").alias("updated_at"), F.max_by("state", at).alias("status"),
-        F.max_by("config", F.when(F.col("config").isNotNull(), at)).alias("config"), F.count_if(F.col("state") == "launched").alias("launch_count"),
+        *[F.max_by(f"`{name}`", F.when(F.col(f"`{name}`").isNotNull(), at)).alias(name) for name in optional], F.count_if(F.col("state") == "launched").alias("launch_count"),
         F.max(F.when(F.col("state") == "launched", F.col("ts"))).alias("last_started_at"), F.max(F.when(final, F.col("ts"))).alias("last_finished_at"),
     ).withColumn("finished", F.col("status") == "finished")
 
