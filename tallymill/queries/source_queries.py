@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallymill.queries.registry import query
 from tallymill.session import scratch_path
-from tallymill.sources import paths, results, shards
+from tallymill.sources import paths, results, shards, versions
 
 
 @query("s1_union_by_name", """
@@ -71,30 +71,50 @@ def supplied_class_map(t):
     return kept.select("lang", F.lit("kept").alias("outcome"), "n").unionByName(dropped.select("lang", F.lit("dropped").alias("outcome"), "n"))
 
 
-@query("s4_upsert_results", """
-SELECT 'o' || o_orderkey AS name, o_totalprice AS metric_a, NULL::DOUBLE AS metric_b, NULL AS run_dir, NULL AS error FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0 AND o_orderkey % 10 <> 4
+UPSERT_SQL = """
+SELECT 'o' || o_orderkey AS name, o_totalprice AS metric_a, NULL::DOUBLE AS metric_b, NULL AS run_dir, NULL AS error FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 10 <> 4
 UNION ALL SELECT 'o' || o_orderkey, NULL, o_totalprice * 2, NULL, NULL FROM orders WHERE o_orderkey % 3 = 0
 UNION ALL SELECT 'o' || o_orderkey, NULL, NULL, '/runs/' || o_custkey, 'lost' FROM orders WHERE o_orderkey % 10 = 4 AND o_orderkey % 3 <> 0
-""")
-def upsert_results(t):
+"""
+
+
+def upserted(t, existing=None):
     name = F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("name")
-    existing = t.orders.where("o_orderkey % 2 = 0").select(name, F.col("o_totalprice").alias("metric_a"), F.lit(None).cast("string").alias("error"))
+    before = t.orders.select(name, F.col("o_totalprice").alias("metric_a"), F.lit(None).cast("string").alias("error"))
     new = t.orders.where("o_orderkey % 3 = 0").select(name, (F.col("o_totalprice") * 2).alias("metric_b"))
     errors = t.orders.where("o_orderkey % 10 = 4 AND o_orderkey % 3 <> 0").select(name, F.lit("lost").alias("error"))
     mapping = t.orders.select(name, F.concat(F.lit("/runs/"), F.col("o_custkey").cast("string")).alias("run_dir"))
-    out = results.upsert_results(existing, new, errors, mapping)
+    out = results.upsert_results(before if existing is None else existing(before), new, errors, mapping)
     return out.select("name", "metric_a", "metric_b", "run_dir", "error")
 
 
+@query("s4_upsert_results", UPSERT_SQL)
+def upsert_results(t):
+    return upserted(t)
+
+
+@query("s4_commit_table", UPSERT_SQL)
+def commit_table(t):
+    """The table before is committed, read, and replaced by what is made from it."""
+    root = scratch_path(t.spark, "table")
+
+    def stored(before):
+        versions.commit_table(before, root)
+        return versions.read_table(t.spark, root)
+
+    versions.commit_table(upserted(t, stored), root)
+    return versions.read_table(t.spark, root)
+
+
 @query("s5_pending", """
 SELECT 'c' || c_custkey AS name, c_nationkey FROM customer WHERE c_custkey NOT IN (5, 6)
-  AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus <> 'F' AND o_orderkey % 2 = 0)
+  AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_orderkey % 31 <> 1)
   AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 31 = 1)
 """)
 def pending(t):
     name = lambda c: F.concat(F.lit("c"), F.col(c).cast("string")).alias("name")
     mapping = t.customer.select(name("c_custkey"), "c_nationkey")
-    first = t.orders.where("o_orderkey % 2 = 0").select(name("o_custkey"), F.when(F.col("o_orderstatus") == "F", "failed").otherwise(" ").alias("error"))
+    first = t.orders.where("o_orderkey % 31 <> 1").select(name("o_custkey"), F.when(F.col("o_orderstatus") == "P", " ").otherwise("failed").alias("error"))
     second = t.orders.where("o_orderkey % 31 = 1").select(name("o_custkey"))
     return results.pending(mapping, [first, second], skip_names=["c5", "c6"])
 
@@ -110,10 +130,22 @@ def write_predictions(t):
     return back.select("vec_id", "label", *[F.round(f"logits_{i}", 6).alias(f"logits_{i}") for i in range(3)])
 
 
-@query("s7_write_split", """
+SPLIT_SQL = """
 SELECT CASE WHEN sample_id % 5 = 0 THEN 'val' ELSE 'train' END AS split, class_name, count(*) AS n, CAST(sum(size + CASE WHEN sample_id % 5 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS size
 FROM samples GROUP BY 1, 2
-""", uses=("samples",))
+"""
+
+
+@query("s7_commit_splits", SPLIT_SQL, uses=("samples",))
+def commit_splits(t):
+    """Both splits in one commit, then one of them replaced by another."""
+    root = scratch_path(t.spark, "committed")
+    versions.commit_splits(t.samples, root, F.when(F.col("sample_id") % 5 == 0, "val").otherwise("train"))
+    versions.commit_splits(t.samples.where("sample_id % 5 = 0").withColumn("size", F.col("size") + 1), root, F.lit("val"), force=True)
+    return versions.read_splits(t.spark, root).groupBy("split", "class_name").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+
+
+@query("s7_write_split", SPLIT_SQL, uses=("samples",))
 def write_split(t):
     root = scratch_path(t.spark, "splits")
     split = F.when(F.col("sample_id") % 5 == 0, "val").otherwise("train")
