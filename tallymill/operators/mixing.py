@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tallymill.functions.binding import let
 from tallymill.hashing import md5_key, uniform, unit_from_hex
 from tallymill.plans.indexing import Order, Running, by_number, indexed, running
 
@@ -16,8 +16,7 @@ def level_weights(k: int, seed: int, epoch: int, level: Column, alpha: float | C
     """Ascending weights of one draw per level from a symmetric Dirichlet distribution.
 
     ``alpha <= 0`` gives equal weights. For ``alpha = 1`` the draw is the
-    normalised ``-ln(u)`` of hash uniforms, a plain Column; other values take
-    seeded gamma draws in an Arrow-batched function.
+    normalised ``-ln(u)`` of hash uniforms; other values take gamma draws.
     """
     equal = F.array(*[F.lit(1.0 / k)] * k)
     key = md5_key(seed, epoch, "weights", level)
@@ -31,20 +30,41 @@ def level_weights(k: int, seed: int, epoch: int, level: Column, alpha: float | C
     return F.transform(ordered, lambda w: w / F.aggregate(ordered, F.lit(0.0), lambda acc, x: acc + x))
 
 
-def _dirichlet(k: int, key: Column, alpha: Column, ascending: bool = True) -> Column:
-    """A seeded symmetric Dirichlet draw per hex key."""
+GAMMA_TRIES = 64
+
+
+def log_gamma_draw(key: Column, name, alpha: Column) -> Column:
+    """Logarithm of a gamma draw (shape ``alpha`` > 0) that depends on ``key`` and ``name`` alone.
+
+    Squeezed normal cubes by Marsaglia and Tsang, tried inside the row until one
+    is accepted (at least 95 % a try; a row in 10^83 would need more than there
+    are); shapes below one are drawn one higher and scaled by a power of a
+    uniform, in logarithms, so that small shapes don't vanish.
+    """
+    tiny = 2.0 ** -33
+    u = lambda what, t: uniform(key, name, what, t) + tiny
+    shape = F.when(alpha < 1, alpha + 1).otherwise(alpha) - 1.0 / 3
 
-    @F.pandas_udf("array<double>")
-    def draws(keys: pd.Series, alphas: pd.Series) -> pd.Series:
-        def one(hex_key, a):
-            rng = np.random.default_rng(int(hex_key[:16], 16))
-            gammas = np.maximum(rng.gamma(max(a, 1e-6), size=k), 1e-300)
-            shares = gammas / gammas.sum()
-            return np.sort(shares) if ascending else shares
+    def attempt(t: Column) -> Column:
+        normal = F.sqrt(-2 * F.ln(u("r", t))) * F.cos(2 * math.pi * u("c", t))
+        return let(normal, lambda x: let((1 + x / F.sqrt(9 * shape)) ** 3, lambda v: F.when(
+            (v > 0) & (F.ln(u("a", t)) < 0.5 * x * x + shape - shape * v + shape * F.ln(v)), F.ln(shape * v))))
+
+    # A try is only made where the ones before it failed.
+    none = F.lit(None).cast("double")
+    drawn = F.aggregate(F.sequence(F.lit(0), F.lit(GAMMA_TRIES - 1)), none, lambda found, t: F.when(found.isNotNull(), found).otherwise(attempt(t)))
+    return F.coalesce(drawn, F.ln(shape)) + F.when(alpha < 1, F.ln(u("s", 0)) / alpha).otherwise(0.0)
+
+
+def _dirichlet(k: int, key: Column, alpha: Column, ascending: bool = True) -> Column:
+    """A symmetric Dirichlet draw per hex key: normalised gamma draws, as Columns."""
+    logs = F.array(*[log_gamma_draw(key, j, F.greatest(alpha, F.lit(1e-6))) for j in range(k)])
 
-        return pd.Series([one(h, a) for h, a in zip(keys, alphas)])
+    def shares(x: Column) -> Column:
+        return let(F.transform(x, lambda v: F.exp(v - F.array_max(x))), lambda e: F.transform(
+            F.array_sort(e) if ascending else e, lambda w: w / F.aggregate(e, F.lit(0.0), lambda acc, y: acc + y)))
 
-    return draws(key, alpha)
+    return let(logs, shares)
 
 
 def beta_draw(key: Column, alpha: float) -> Column:
@@ -205,28 +225,32 @@ def four_groups(
     # Four rows per (stream, group).
     packed = inside.groupBy(*keys, "_group").agg(F.sort_array(F.collect_list(F.struct(key, label))).alias("_m"))
     parts = lambda name: F.transform("_m", lambda s: s[name])
-    lead = F.get(parts(key), 0)
-    unit = lambda what: uniform(seed, epoch, what, lead)
-    at = lambda what: F.round((F.lit(center[0]) + unit(what) * (center[1] - center[0])) * size).cast("double")
-    zoom = F.lit(scale[0]) + unit("zoom") * (scale[1] - scale[0]) if scale else F.lit(1.0)
     whole = F.size("_m") == 4
-    lone = lambda y: F.array(y, y, y, y)
-    single = F.array(*[F.lit(w) for w in (1.0, 0.0, 0.0, 0.0)])
-    complete = packed.where(whole).select(
-        *keys, F.col("_group").alias("group"), parts(key).alias("members"), parts(label).alias("labels"),
-        four_tile_weights(at("cx"), at("cy"), zoom, size).alias("weights"))
+    complete = packed.where(whole).select(*keys, F.col("_group").alias("group"), parts(key).alias("members"), parts(label).alias("labels"))
     left = packed.where(~whole).select(*keys, F.inline("_m"))
     passed = counted.where("_in = 0").select(*keys, key, label)
     if flush:
         passed = passed.unionByName(left)
-    alone = passed.select(
-        *keys, F.lit(None).cast("bigint").alias("group"), F.array(key).alias("members"), lone(F.col(label)).alias("labels"), single.alias("weights"))
-    out = complete.unionByName(alone)
+    single = lambda rows: rows.select(*keys, F.lit(None).cast("bigint").alias("group"), F.array(key).alias("members"), F.array(label).alias("labels"))
+    out = weighted_fours(complete.unionByName(single(passed)), seed, epoch, size, center, scale)
     if flush:
         return out
-    kept = left.select(
-        *keys, F.lit(None).cast("bigint").alias("group"), F.array(key).alias("members"), F.array(label).alias("labels"), F.lit(None).cast("array<double>").alias("weights"))
-    return out.unionByName(kept)
+    return out.unionByName(single(left).withColumn("weights", F.lit(None).cast("array<double>")))
+
+
+def weighted_fours(
+    groups: DataFrame, seed: int, epoch: int, size: int = 224, center: tuple[float, float] = (0.5, 1.5), scale: tuple[float, float] | None = None,
+) -> DataFrame:
+    """Adds ``weights`` to groups of four ``members`` and ``labels``; a single member becomes one label with the full weight."""
+    lead, y = F.get("members", 0), F.get("labels", 0)
+    unit = lambda what: uniform(seed, epoch, what, lead)
+    at = lambda what: F.round((F.lit(center[0]) + unit(what) * (center[1] - center[0])) * size).cast("double")
+    zoom = F.lit(scale[0]) + unit("zoom") * (scale[1] - scale[0]) if scale else F.lit(1.0)
+    four = F.size("members") == 4
+    # Each place is drawn once, not wherever the tiles' areas use it.
+    tiles = let(F.struct(at("cx").alias("x"), at("cy").alias("y"), zoom.alias("z")), lambda p: four_tile_weights(p["x"], p["y"], p["z"], size))
+    weights = F.when(four, tiles).otherwise(F.array(*[F.lit(w) for w in (1.0, 0.0, 0.0, 0.0)]))
+    return groups.withColumn("weights", weights).withColumn("labels", F.when(four, F.col("labels")).otherwise(F.array(y, y, y, y)))
 
 
 def pad_batches(df: DataFrame, key: str, size: int, target: str) -> DataFrame:

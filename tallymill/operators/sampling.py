@@ -10,11 +10,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tallymill.hashing import md5_key, uniform
-from tallymill.plans.indexing import Order, Running, by_hash, by_number, first_n, indexed, running
+from tallymill.plans.indexing import Order, Running, by_hash, by_number, cell_rows, first_n, indexed, running
 from tallymill.plans.sizing import pin
+from tallymill.session import cut_lineage
 
 
 def seeded(seed: int, epoch: int, key: Column) -> Order:
@@ -39,32 +41,81 @@ def long_tail_profile(classes: DataFrame, largest: int, smallest: int) -> DataFr
         F.col("id").alias("rank"), long_tail_count(F.col("id"), F.lit(n), largest, smallest).alias("rows"))
 
 
-def assign_ranks(counts: DataFrame, wanted: Sequence[int], seed: int) -> DataFrame:
+def assign_ranks(counts: DataFrame, wanted: DataFrame | Sequence[int], seed: int) -> DataFrame:
     """Gives each of the ``wanted`` counts, largest first, to a seeded-random class that has enough rows.
 
-    ``counts`` is (label, n). The choice is sequential by nature and runs over
-    the class table only, which must match ``wanted`` in size; the rows of the
-    classes are never collected.
+    ``counts`` is (label, n), ``wanted`` (rank, rows) or a list of rows by rank;
+    both must be of one size. Every count goes to the class of least seeded hash
+    among the large enough ones that are left. Neither table is collected.
+
+    Counts in falling order are slots; a class is free to take any from its
+    first on, and in order of hash takes the first one left. Which slots a set of
+    classes takes together does not depend on their order: they are those at
+    which the classes queue. So the half of lower hashes takes its slots by
+    running sums over all slots, and what it leaves are the slots of the other
+    half; both halves go on alone, down to parts that one task solves.
     """
-    ordered = counts.select("label", "n", md5_key(seed, F.col("label")).alias("h"))
-    classes = ordered.limit(len(wanted) + 1).collect()
-    if len(classes) != len(wanted):
-        raise ValueError(f"{len(wanted)} counts for {len(classes)} or more classes")
-    import heapq
-
-    by_size = sorted(classes, key=lambda r: -r["n"])
-    eligible: list = []
-    chosen, at = [], 0
-    for rank, need in sorted(enumerate(wanted), key=lambda p: -p[1]):
-        while at < len(by_size) and by_size[at]["n"] >= need:
-            heapq.heappush(eligible, (by_size[at]["h"], at))
-            at += 1
-        if not eligible:
-            raise ValueError(f"no class left with {need} rows")
-        _, i = heapq.heappop(eligible)
-        chosen.append((by_size[i]["label"], rank, int(need)))
+    spark = counts.sparkSession
+    if not isinstance(wanted, DataFrame):
+        wanted = spark.createDataFrame([(r, int(n)) for r, n in enumerate(wanted)], "rank long, rows long")
+    both = counts.select(F.lit(0).alias("kind"), F.col("label"), F.col("n").cast("bigint").alias("v"), F.lit(None).cast("bigint").alias("rank")).unionByName(
+        wanted.select(F.lit(1).alias("kind"), F.col("rows").cast("bigint").alias("v"), F.col("rank").cast("bigint").alias("rank")), allowMissingColumns=True)
+    falling = both.withColumn("down", -F.col("v"))
+    placed = cut_lineage(running(falling, [], by_number(F.col("down"), F.col("kind"), F.col("rank"), F.col("label").cast("string")), {"_at": Running("sum", F.col("kind"))}))
+    classes = placed.where("kind = 0").select("label", F.col("_at").alias("first"), F.lit(0).cast("bigint").alias("node"))
+    # A class whose first slot lies behind the last one has no place: its own check finds the slot that stays empty.
+    classes = cut_lineage(indexed(classes, [], by_hash(md5_key(seed, F.col("label")), F.col("label")), "place"))
+    slots = placed.where("kind = 1").select("rank", F.col("v").alias("rows"), (F.col("_at") - 1).alias("slot"), F.lit(0).cast("bigint").alias("node"))
+    n, size = classes.count(), slots.count()
+    if n != size:
+        raise ValueError(f"{size} counts for {n} classes")
+
+    def queued(some: DataFrame) -> DataFrame:
+        """Slots with ``_in``, how many of ``some`` classes are free to take them or an earlier one."""
+        arrived = some.groupBy("node", F.col("first").alias("slot")).agg(F.count(F.lit(1)).alias("_c"))
+        return running(slots.join(arrived, ["node", "slot"], "left").fillna(0, ["_c"]), ["node"], by_number(F.col("slot")), {"_in": Running("sum", F.col("_c"))})
+
+    short = queued(classes).where(F.col("slot") + 1 > F.col("_in")).orderBy("slot").limit(1).collect()
+    if short:
+        raise ValueError(f"no class left with {short[0]['rows']} rows")
+    part, leaf = 1 << math.ceil(math.log2(max(n, 1))), cell_rows(counts)
+    while part > leaf:
+        part //= 2
+        lower = F.floor(F.col("place") / part) % 2 == 0
+        lag = queued(classes.where(lower)).withColumn("_lag", F.col("slot") + 1 - F.col("_in"))
+        lag = running(lag, ["node"], by_number(F.col("slot")), {"_before": Running("max_before", F.col("_lag"))})
+        # Slots that the lower half leaves free before a slot, and up to it.
+        before = F.greatest(F.coalesce("_before", F.lit(0)), F.lit(0))
+        free = cut_lineage(lag.select("rank", "rows", "slot", "node", before.alias("_before"), F.greatest(before, "_lag").alias("_free")))
+        at = free.select("node", F.col("slot").alias("first"), "_before")
+        # A class of the lower half queues at its own first slot, so that one is taken.
+        classes = cut_lineage(classes.join(at, ["node", "first"], "left").select(
+            "label", "place", F.when(lower, F.col("first") - F.col("_before")).otherwise(F.col("_before")).alias("first"),
+            (F.col("node") * 2 + F.when(lower, 0).otherwise(1)).alias("node")))
+        taken = F.col("_free") == F.col("_before")
+        slots = free.select(
+            "rank", "rows", F.when(taken, F.col("slot") - F.col("_free")).otherwise(F.col("_free") - 1).alias("slot"),
+            (F.col("node") * 2 + F.when(taken, 0).otherwise(1)).alias("node"))
     label = counts.schema["label"].dataType.simpleString()
-    return counts.sparkSession.createDataFrame(chosen, f"label {label}, rank int, rows bigint")
+    pairs = classes.groupBy("node").cogroup(slots.groupBy("node"))
+    return pairs.applyInPandas(_first_free, f"label {label}, rank int, rows bigint")
+
+
+def _first_free(classes, slots):
+    """One part: classes in order of hash take the first slot left from their first one on, by union-find over slots."""
+    slots = slots.sort_values("slot")
+    after, took = list(range(len(slots) + 1)), []
+    for first in classes.sort_values("place")["first"]:
+        at, seen = int(first), []
+        while after[at] != at:
+            seen.append(at)
+            at = after[at]
+        for k in seen:
+            after[k] = at
+        took.append(at)
+        after[at] = at + 1
+    chosen = slots.iloc[took]
+    return pd.DataFrame({"label": classes.sort_values("place")["label"].to_numpy(), "rank": chosen["rank"].to_numpy(), "rows": chosen["rows"].to_numpy()})
 
 
 def select_long_tail(df: DataFrame, label: str, key: str, counts: DataFrame, seed: int) -> DataFrame:

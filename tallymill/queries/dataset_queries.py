@@ -41,8 +41,7 @@ def assign_ranks(t):
     counts = t.lineitem.groupBy(F.col("l_suppkey").alias("label")).agg(F.count(F.lit(1)).alias("n"))
     smallest = counts.agg(F.min("n")).first()[0]
     # Every class has enough rows for every count, so the choice is the seeded order itself.
-    wanted = [r["rows"] for r in D.long_tail_profile(counts, smallest, 1).orderBy("rank").collect()]
-    return D.assign_ranks(counts, wanted, 42)
+    return D.assign_ranks(counts, D.long_tail_profile(counts, smallest, 1), 42)
 
 
 @query("d2_select_long_tail", f"""
@@ -161,10 +160,26 @@ def dirichlet_weights(t):
     return levels.select("level", F.posexplode(X.level_weights(K, 42, 0, F.col("level"))).alias("slot", "weight")).withColumn("weight", F.round("weight", 6))
 
 
-@query("d10_dirichlet_weights_general")
+def gu(what: str, t: str = "t") -> str:
+    """Check SQL for a uniform of a gamma draw."""
+    return f"({u('key', 'j', what, t)} + {2.0 ** -33!r}::DOUBLE)"
+
+
+@query("d10_dirichlet_weights_general", f"""
+WITH {LEVELS}, a AS (SELECT level, j.range AS j, t.range AS t, {h(42, 0, "'weights'", 'level')} AS key, CASE WHEN level % 3 = 2 THEN 2.5::DOUBLE ELSE 0.4::DOUBLE END AS alpha
+  FROM (SELECT DISTINCT level FROM lv) q, range(4) j, range(12) t),
+n AS (SELECT *, CASE WHEN alpha < 1 THEN alpha + 1 ELSE alpha END - 1 / 3.0::DOUBLE AS d, sqrt(-2 * ln({gu("'r'")})) * cos(2 * pi() * {gu("'c'")}) AS x FROM a),
+v AS (SELECT *, power(1 + x / sqrt(9 * d), 3) AS v FROM n),
+g AS (SELECT level, j, arg_min(ln(d * v), t) AS lg, any_value(CASE WHEN alpha < 1 THEN ln({gu("'s'", '0')}) / alpha ELSE 0 END) AS boost
+  FROM v WHERE v > 0 AND ln({gu("'a'")}) < 0.5::DOUBLE * x * x + d - d * v + d * ln(greatest(v, 1e-300)) GROUP BY level, j),
+e AS (SELECT level, exp(lg + boost - max(lg + boost) OVER (PARTITION BY level)) AS e FROM g)
+SELECT level, CAST(row_number() OVER (PARTITION BY level ORDER BY e) - 1 AS INTEGER) AS slot, round(e / sum(e) OVER (PARTITION BY level), 6) AS weight FROM e
+""")
 def dirichlet_general(t):
+    """Shapes below and above one."""
+    alpha = F.when(F.col("level") % 3 == 2, 2.5).otherwise(0.4)
     levels = schedule(t).select("level").distinct()
-    return levels.select("level", F.posexplode(X.level_weights(4, 42, 0, F.col("level"), 0.4)).alias("slot", "weight"))
+    return levels.select("level", F.posexplode(X.level_weights(4, 42, 0, F.col("level"), alpha)).alias("slot", "weight")).withColumn("weight", F.round("weight", 6))
 
 
 def embedded(t):

@@ -1,6 +1,8 @@
 """Schedules and groups: coverage, counts, determinism, change with epoch, for plain and cut groups."""
 
 import collections
+import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -43,6 +45,38 @@ def test_rank_assignment_uses_each_class_once(spark):
         D.assign_ranks(counts, [9, 1, 1, 1], 42)
 
 
+def heap_ranks(counts, wanted, seed):
+    """The same choice one count at a time."""
+    left, out = dict(counts), {}
+    key = lambda c: hashlib.md5(f"{seed}|{c}".encode()).hexdigest()
+    for rank, need in sorted(enumerate(wanted), key=lambda p: -p[1]):
+        best = min((c for c, n in left.items() if n >= need), key=key, default=None)
+        if best is None:
+            return need
+        out[best] = (rank, need)
+        del left[best]
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_ranks_without_the_driver_equal_the_heap(spark, small_cells, seed):
+    r = random.Random(seed)
+    n = r.choice([1, 7, 16, 33])
+    counts = [(i, r.choice([3, 5, 5, 8, 13, 21, 34])) for i in range(n)]
+    sizes = sorted((c for _, c in counts), reverse=True)
+    wanted = [max(1, s - r.randrange(4)) for s in sizes]
+    r.shuffle(wanted)
+    expected = heap_ranks(counts, wanted, seed)
+    df = spark.createDataFrame(counts, "label long, n long")
+    if not isinstance(expected, dict):
+        with pytest.raises(ValueError, match=str(expected)):
+            D.assign_ranks(df, wanted, seed)
+        return
+    got = D.assign_ranks(df, wanted, seed).collect()
+    assert {x["label"]: (x["rank"], x["rows"]) for x in got} == expected and len(got) == n
+
+
+
 def test_long_tail_selection(spark, cells, labelled):
     counts = spark.createDataFrame([(0, 4), (1, 1), (3, 2)], "label int, rows long")
     a = D.select_long_tail(labelled, "label", "id", counts, 1).collect()
