@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import AtomicType, FractionalType, DecimalType
 
 from tallymill.plans.sizing import join_null_safe, pin
+from tallymill.session import cut_lineage
 
 CELL_CONF = "tallymill.cell.rows"
 CELL_ROWS = 250_000
@@ -34,6 +35,8 @@ CARRY_ROWS = 100_000
 # that the spread of a hash sample (about a tenth) leaves cells within it.
 SAMPLED = 100
 AIMED = 0.8
+# Rows of the sample that are sorted in one task.
+SAMPLE_ROWS = 1_000_000
 CELL = "__cell"
 
 
@@ -143,15 +146,17 @@ def with_cells(df: DataFrame, keys, order: Order, sizes: DataFrame | None = None
     valued = df.select(*key_cols, x.alias("__x")).where(F.pmod(F.xxhash64("__x"), F.lit(every)) == 0)
     picked = join_null_safe(valued, hot.select(*key_cols, "__rows"), keys, "inner").drop("__rows") if keys else valued
     # One row in ``every`` of the cut groups: 2,500 times fewer than they hold at the default size.
-    along = Window.partitionBy(*(key_cols or [F.lit(0)])).orderBy("__x")
-    cuts = picked.withColumn("__at", F.row_number().over(along)).where(F.col("__at") % per_cell == 0).drop("__at")
-    cuts, brought = pin(cuts, CARRY_ROWS)
+    expected = picked.count() if rows is None else sum(r["__rows"] for r in rows) // every
+    cuts = _sample_places(picked, keys, expected).where(F.col("__at") % per_cell == 0)
+    cuts, brought = pin(cuts.withColumn("__at", (F.col("__at") / per_cell).cast("bigint")), CARRY_ROWS)
+    if brought is None:
+        return _cells_by_blocks(df, keys, hot, cuts, x), True
     bounds = cuts.groupBy(*key_cols).agg(F.array_sort(F.collect_list("__x")).alias("__bounds"))
     step = F.greatest(F.lit(2), F.ceil(F.sqrt(F.size("__bounds"))).cast("int"))
     bounds = bounds.select(*key_cols, F.struct("__bounds", step.alias("step"), F.filter(
         "__bounds", lambda b, i: i % step == 0).alias("coarse")).alias("__cuts"))
     if keys:
-        out = join_null_safe(df, F.broadcast(bounds) if brought is not None else bounds, keys)
+        out = join_null_safe(df, F.broadcast(bounds), keys)
     else:
         out = df.withColumn("__cuts", bounds.scalar())
     found = F.col("__cuts")
@@ -163,6 +168,50 @@ def with_cells(df: DataFrame, keys, order: Order, sizes: DataFrame | None = None
     return out.withColumn(CELL, cell.cast("int")).drop("__cuts", "__hot"), True
 
 
+def _sample_places(picked: DataFrame, keys: list[str], expected: int) -> DataFrame:
+    """``picked`` with ``__at``, each row's place (from 1) in its group's order of ``__x``.
+
+    A sample beyond ``SAMPLE_ROWS`` is cut by range into as many tasks as it
+    needs, whatever its keys, and counted on from task to task; the ranges are
+    written first, so that a repeated task finds them again.
+    """
+    key_cols = [F.col(f"`{k}`") for k in keys]
+    along = Window.partitionBy(*(key_cols or [F.lit(0)])).orderBy("__x")
+    if expected <= SAMPLE_ROWS:
+        return picked.withColumn("__at", F.row_number().over(along))
+    ranged = cut_lineage(picked.repartitionByRange(math.ceil(expected / SAMPLE_ROWS) + 1, *key_cols, "__x").withColumn("__task", F.spark_partition_id()))
+    sizes = ranged.groupBy(*key_cols, "__task").agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy(*(key_cols or [F.lit(0)])).orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per task and group.
+    ahead = sizes.select(*key_cols, "__task", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__ahead"))
+    inside = Window.partitionBy(*key_cols, "__task").orderBy("__x")
+    placed = join_null_safe(ranged, ahead, [*keys, "__task"]).withColumn("__at", F.row_number().over(inside) + F.col("__ahead"))
+    return placed.drop("__task", "__ahead")
+
+
+def _cells_by_blocks(df: DataFrame, keys: list[str], hot: DataFrame, cuts: DataFrame, x: Column) -> DataFrame:
+    """Cells from more bounds than a row's expression can carry: each row finds its block of bounds, and meets it by a join.
+
+    ``cuts`` has every bound ``__x`` with its number ``__at`` from 1. With ``m``
+    bounds a block and the list of blocks both have about the root of ``m``.
+    """
+    key_cols = [F.col(f"`{k}`") for k in keys]
+    most = cuts.groupBy(*key_cols).count().agg(F.max("count")).first()[0]
+    wide = math.ceil(math.sqrt(most))
+    numbered = cuts.withColumn("__block", F.floor((F.col("__at") - 1) / wide))
+    coarse = numbered.where((F.col("__at") - 1) % wide == 0).groupBy(*key_cols).agg(F.array_sort(F.collect_list("__x")).alias("__coarse"))
+    fine = numbered.groupBy(*key_cols, "__block").agg(F.array_sort(F.collect_list("__x")).alias("__fine"))
+    out = join_null_safe(df, coarse, keys) if keys else df.withColumn("__coarse", coarse.scalar())
+    out = out.withColumn("__block", (F.size(F.filter("__coarse", lambda b: b <= x)) - 1).cast("bigint"))
+    out = join_null_safe(out, fine, [*keys, "__block"])
+    inside = F.coalesce(F.size(F.filter("__fine", lambda b: b <= x)), F.lit(0))
+    cell = F.when(F.col("__block") >= 0, F.col("__block") * wide + inside).otherwise(F.lit(0))
+    if keys:
+        out = join_null_safe(out, hot.select(*key_cols, F.lit(True).alias("__hot")), keys)
+        cell = F.when(F.col("__hot"), cell)
+    return out.withColumn(CELL, cell.cast("int")).drop("__coarse", "__fine", "__block", "__hot")
+
+
 def running(df: DataFrame, keys, order: Order, values: dict[str, Running], keep=None, sizes: DataFrame | None = None) -> DataFrame:
     """Adds the running ``values`` of each group in ``order``.
 

@@ -57,6 +57,34 @@ def test_index_in_hash_and_value_order(spark, skewed, cells, keys):
         spark.conf.unset("tallymill.cell.rows")
 
 
+@pytest.mark.parametrize("sample, carry", [(5, 100_000), (10**6, 4), (7, 2)])
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_large_samples_and_many_bounds_change_nothing(spark, skewed, small_cells, monkeypatch, keys, sample, carry):
+    """The sample sorted over several tasks, and bounds met by a join, as beyond 10^9 and 10^10 rows."""
+    from tallymill.plans import indexing
+
+    monkeypatch.setattr(indexing, "SAMPLE_ROWS", sample)
+    monkeypatch.setattr(indexing, "CARRY_ROWS", carry)
+    part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
+    for order, sort in ((by_number(F.col("x"), F.col("id")), [F.asc_nulls_last("x"), F.col("id")]), (by_number(F.col("id")), [F.col("id")])):
+        got = running(skewed, keys, order, {"i": Running("index"), "s": Running("sum", F.col("id")), "m": Running("max_before", F.col("id"))})
+        w = part.orderBy(*sort)
+        want = skewed.withColumns({
+            "i": F.row_number().over(w).cast("bigint"), "s": F.sum("id").over(w.rowsBetween(Window.unboundedPreceding, 0)),
+            "m": F.max("id").over(w.rowsBetween(Window.unboundedPreceding, -1))})
+        assert rows_of(got.select("id", "i", "s", "m")) == rows_of(want.select("id", "i", "s", "m"))
+
+
+def test_cells_by_joined_bounds_stay_small(spark, skewed, small_cells, monkeypatch):
+    from tallymill.plans import indexing
+
+    monkeypatch.setattr(indexing, "SAMPLE_ROWS", 20)
+    monkeypatch.setattr(indexing, "CARRY_ROWS", 3)
+    tagged, cut = with_cells(skewed, [], by_number(F.col("x"), F.col("id")))
+    sizes = [r["count"] for r in tagged.groupBy("__cell").count().collect()]
+    assert cut and len(sizes) > 100 and max(sizes) <= 12
+
+
 def test_hot_groups_are_cut_and_others_are_not(spark, skewed):
     spark.conf.set("tallymill.cell.rows", "100")
     try:
