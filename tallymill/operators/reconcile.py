@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tallymill.hashing import digest_long, md5_key
 from tallymill.operators.aggregates import DEFAULT_METHOD
+from tallymill.plans.indexing import Running, by_number, indexed, running
 from tallymill.plans.sizing import join_null_safe
+from tallymill.session import cut_lineage
 from tallymill.sources.paths import basename
 
 
@@ -179,6 +181,53 @@ def fingerprint(df: DataFrame, *columns: str) -> DataFrame:
         F.coalesce(F.sum(mark.cast("decimal(28,0)")), F.lit(0)).cast("decimal(38,0)").cast("string").alias("total"))
 
 
+LEAF, FAN = 1000, 1000
+
+
+def digest_leaves(df: DataFrame, label: str, key: str, columns: Sequence[str], leaf: int = LEAF) -> DataFrame:
+    """Leaves of a hash tree per class, over its rows in key order: (label, first, last, n, digest).
+
+    A leaf ends before every key whose hash is divisible by ``leaf``, so it has
+    about that many rows, and rows put in or taken out change their own leaf
+    alone. A class is never gathered: leaves come from a running count. Keys
+    are unique and not NULL; NULL columns count as a mark of their own.
+    """
+    mark = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0")) for c in (key, *columns)]).cast("binary"), 256)
+    cut = (F.pmod(digest_long(F.col(f"`{key}`")), F.lit(leaf)) == 0).cast("int")
+    rows = df.select(F.col(f"`{label}`").alias("label"), F.col(f"`{key}`").alias("key"), mark.alias("mark"), cut.alias("cut"))
+    numbered = running(rows, ["label"], by_number(F.col("key")), {"leaf": Running("sum", F.col("cut"))})
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("key", "mark"))), lambda r: r["mark"])
+    return numbered.groupBy("label", "leaf").agg(
+        F.min("key").alias("first"), F.max("key").alias("last"), F.count(F.lit(1)).alias("n"),
+        F.sha2(F.array_join(ordered, "").cast("binary"), 256).alias("digest")).drop("leaf")
+
+
+def ordered_digests(leaves: DataFrame, fan: int = FAN) -> DataFrame:
+    """(label, n, digest): the root over each class's leaves in key order, ``fan`` children a node."""
+    nodes = cut_lineage(indexed(leaves, ["label"], by_number(F.col("first")), "at").select("label", "at", "n", "digest"))
+    while True:
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "digest"))), lambda r: r["digest"]), "")
+        nodes = cut_lineage(nodes.groupBy("label", F.floor(F.col("at") / fan).alias("at")).agg(
+            F.sum("n").alias("n"), F.sha2(joined.cast("binary"), 256).alias("digest")))
+        if nodes.where("at > 0").isEmpty():
+            return nodes.drop("at")
+
+
+def differing_ranges(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Leaves whose content differs between two tables: (label, first, last, left_rows, right_rows), bounds over both sides.
+
+    A leaf is known by its first key. Where a first key is missing on one side,
+    its rows lie in the leaf before, which differs too and is listed.
+    """
+    side = lambda df, s: df.select(
+        F.col("label").alias(f"{s}_label"), F.col("first").alias(f"{s}_first"), F.col("last").alias(f"{s}_last"), F.col("n").alias(f"{s}_rows"), F.col("digest").alias(f"{s}_digest"))
+    a, b = side(left, "left"), side(right, "right")
+    both = a.join(b, F.col("left_label").eqNullSafe(F.col("right_label")) & (F.col("left_first") == F.col("right_first")), "full_outer")
+    return both.where(~F.col("left_digest").eqNullSafe(F.col("right_digest"))).select(
+        F.coalesce("left_label", "right_label").alias("label"), F.coalesce("left_first", "right_first").alias("first"),
+        F.greatest("left_last", "right_last").alias("last"), F.coalesce("left_rows", F.lit(0)).alias("left_rows"), F.coalesce("right_rows", F.lit(0)).alias("right_rows"))
+
+
 def validate_selection(
     selection: DataFrame, source: DataFrame, expected: DataFrame, key: str, label: str, metadata: dict, current: dict, digest: int | None = None,
     total: str | None = None,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallymill.functions import configs, names, predicates, schedules, text
+from tallymill.functions import configs, names, needles, predicates, schedules, text
 from tallymill.functions import scores
 from tallymill.missing import coerce
 from tallymill.queries.registry import query
@@ -52,6 +52,23 @@ def canonical_type(t):
         F.sum("n").alias("n"), F.sum(F.when(names.is_long_horizon(F.col("name")), F.col("n")).otherwise(0)).alias("long_runs"))
 
 
+@query("p2_rule_table", """
+WITH r AS (SELECT substr(c_name, length(c_name) - 2) AS needle, 'digits' || (c_custkey % 7) AS label, c_custkey % 100 AS priority FROM customer
+  UNION ALL SELECT substr(p_name, 1 + p_partkey % 5, 2 + p_partkey % 4), p_brand, 50 + p_partkey % 1000 FROM part),
+p AS (SELECT DISTINCT p_name FROM part),
+m AS (SELECT p.p_name, arg_min(r.label, r.rk) AS label FROM p JOIN (SELECT needle, label, row_number() OVER (ORDER BY priority, needle, label) AS rk FROM r) r ON contains(p.p_name, r.needle) GROUP BY p.p_name)
+SELECT part.p_partkey, coalesce(m.label, 'unknown') AS label FROM part LEFT JOIN m ON m.p_name = part.p_name
+""")
+def rule_table(t):
+    """Names of parts by a table of rules cut out of names: as many rules as customers and parts."""
+    digits = t.customer.select(
+        F.expr("substr(c_name, length(c_name) - 2)").alias("needle"), F.concat(F.lit("digits"), (F.col("c_custkey") % 7).cast("string")).alias("label"),
+        (F.col("c_custkey") % 100).cast("long").alias("priority"))
+    pieces = t.part.select(
+        F.expr("substr(p_name, cast(1 + p_partkey % 5 as int), cast(2 + p_partkey % 4 as int))").alias("needle"), F.col("p_brand").alias("label"), (50 + F.col("p_partkey") % 1000).cast("long").alias("priority"))
+    return needles.first_rule(t.part, "p_name", digits.unionByName(pieces)).select("p_partkey", "label")
+
+
 @query("p3_name_tokens", """
 SELECT optimizer, seed, category, count(*) AS n FROM (
   SELECT CASE run_id % 3 WHEN 0 THEN 'muon' WHEN 1 THEN 'adamw' ELSE 'none' END AS optimizer, seed,

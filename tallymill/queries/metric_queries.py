@@ -115,6 +115,25 @@ def metric_registry(t):
         "model", "metric", r6(F.col("value"), "value"))
 
 
+@query("m8_metric_kinds", """
+WITH s AS (SELECT model, label, nll, round(conf, 9) AS conf, pred = label AS hit FROM scored),
+r AS (SELECT model, hit, rank() OVER w + (count(*) OVER (PARTITION BY model, conf) - 1) / 2.0::DOUBLE AS rk FROM s WINDOW w AS (PARTITION BY model ORDER BY conf)),
+a AS (SELECT model, sum(rk) FILTER (WHERE hit) AS rs, count(*) FILTER (WHERE hit)::DOUBLE AS p, count(*) FILTER (WHERE NOT hit)::DOUBLE AS q FROM r GROUP BY model),
+c AS (SELECT model, avg(nll) AS m, var_pop(nll) AS v, stddev_samp(nll) AS sd FROM s GROUP BY model),
+k AS (SELECT s.model, avg((nll - m) * (nll - m) * (nll - m)) / power(max(v), 1.5::DOUBLE) AS skew FROM s JOIN c ON c.model = s.model GROUP BY s.model)
+SELECT model, metric, round(value, 6) AS value FROM (
+  SELECT model, 'top1_acc' AS metric, avg(CASE WHEN hit THEN 1.0::DOUBLE ELSE 0 END) * 100 AS value FROM s GROUP BY model
+  UNION ALL SELECT model, 'class_acc', avg(acc) FROM (SELECT model, label, avg(CASE WHEN hit THEN 100.0::DOUBLE ELSE 0 END) AS acc FROM s GROUP BY model, label) z GROUP BY model
+  UNION ALL SELECT model, 'median_nll', quantile_cont(nll, 0.5) FROM s GROUP BY model
+  UNION ALL SELECT model, 'auroc', (rs - p * (p + 1) / 2) / (p * q) FROM a
+  UNION ALL SELECT model, 'nll_shape/mean', m FROM c UNION ALL SELECT model, 'nll_shape/std', sd FROM c
+  UNION ALL SELECT model, 'nll_shape/skew', skew FROM k) u
+""", uses=("scored",))
+def metric_kinds(t):
+    return M.REGISTRY.evaluate(t.preds, ["model"], ["top1_acc", "class_acc", "median_nll", "auroc", "nll_shape"]).select(
+        "model", "metric", r6(F.col("value"), "value"))
+
+
 @query("m9_multi_label_acc", """
 SELECT model, round(avg(CASE WHEN ok THEN 1.0::DOUBLE ELSE 0 END) * 100, 6) AS real_top3, count(*) AS n FROM (
   SELECT vec_id, model, bool_or(c = label OR c = (label + 3) % 10) AS ok FROM soft
@@ -181,8 +200,8 @@ def meter_total(t):
 
 
 def mixed(t):
-    """Mixed targets with the scores of sample 6*g."""
-    return t.mix_targets.withColumn("vec_id", F.col("g") * 6).join(t.preds.select("vec_id", "model", "logits"), "vec_id")
+    """Every scored row with the mixed target of its group."""
+    return t.mix_samples.join(t.mix_targets, "g")
 
 
 @query("m14_mixed_target_ce", """
@@ -236,7 +255,7 @@ SELECT model, k, n_samples, round(spearman_mean, 6) AS spearman_mean, spearman_n
   LEFT JOIN contrib x ON x.model = s.model AND (s.k = 'all' OR s.k = CAST(x.k AS VARCHAR)) GROUP BY s.model, s.k) f
 """
 AREA_CTE = """
-WITH areas AS (SELECT g, k, model, label, sum(weight) AS area, any_value(score) AS score FROM mixed_scores GROUP BY g, k, model, label),
+WITH areas AS (SELECT g, k, model, label, sum(weight) AS area, any_value(score) AS score FROM mixed_scores WHERE k IN (3, 4, 5, 6) GROUP BY g, k, model, label),
 ranked AS (SELECT *, count(*) OVER (PARTITION BY g) AS n, rank() OVER (PARTITION BY g ORDER BY area) AS ra,
                   rank() OVER (PARTITION BY g ORDER BY score) AS rs FROM areas),
 per AS (SELECT g, k, model, max(n) AS n, sum((ra - rs) * (ra - rs)) AS d2, count(DISTINCT area) AS na, count(DISTINCT score) AS ns,
@@ -253,9 +272,8 @@ contrib AS (SELECT p.g, p.k, p.model,
 
 
 def area_samples(t):
-    present = M.present_classes(t.mix_slots, ["g", "k"]).withColumn("vec_id", F.col("g") * 6)
-    joined = present.join(t.preds.select("vec_id", "model", "logits"), "vec_id")
-    return joined.select("g", "model", "k", M.with_class_scores(F.col("present"), F.col("logits")).alias("present"))
+    joined = t.mix_samples.join(M.present_classes(t.mix_slots, ["g", "k"]), "g")
+    return joined.select(F.col("vec_id").alias("g"), "model", "k", M.with_class_scores(F.col("present"), F.col("logits")).alias("present"))
 
 
 def area_metrics(t):
@@ -269,11 +287,11 @@ def area_score_metrics(t):
 
 
 @query("m17_class_probability", """
-SELECT m.g, m.slot, m.label + (CASE WHEN m.slot = 2 THEN 5 ELSE 0 END) AS class, round(s.p, 6) AS probability
-FROM mix_slots m LEFT JOIN soft s ON s.vec_id = m.g * 6 AND s.c = m.label + (CASE WHEN m.slot = 2 THEN 5 ELSE 0 END)
+SELECT v.vec_id, m.slot, m.label + (CASE WHEN m.slot = 2 THEN 5 ELSE 0 END) AS class, round(s.p, 6) AS probability
+FROM mix_slots v JOIN mix_slots m ON m.g = v.g LEFT JOIN soft s ON s.vec_id = v.vec_id AND s.c = m.label + (CASE WHEN m.slot = 2 THEN 5 ELSE 0 END)
 """, uses=("mix_slots", "plong", "soft"))
 def class_probability(t):
-    wanted = t.mix_slots.select(
-        "g", "slot", (F.col("g") * 6).alias("vec_id"), (F.col("label") + F.when(F.col("slot") == 2, 5).otherwise(0)).alias("class"))
+    classes = t.mix_slots.select("g", "slot", (F.col("label") + F.when(F.col("slot") == 2, 5).otherwise(0)).alias("class"))
+    wanted = t.mix_slots.select("vec_id", "g").join(classes, "g").drop("g")
     out = M.class_probability(wanted, t.preds, ["vec_id"])
-    return out.select("g", "slot", "class", r6(F.col("probability"), "probability"))
+    return out.select("vec_id", "slot", "class", r6(F.col("probability"), "probability"))

@@ -139,6 +139,35 @@ def validate_selection(t):
     return J.validate_selection(selection, orders, expected, "o_orderkey", "o_orderstatus", meta, meta)
 
 
+def leaf_sql(name: str, table: str) -> str:
+    """Check SQL for the leaves of a table (lang, doc_id, n_chars, source)."""
+    return f"""{name}_m AS (SELECT lang, doc_id, sha256(concat_ws('|', CAST(doc_id AS VARCHAR), coalesce(CAST(n_chars AS VARCHAR), chr(0)), coalesce(source, chr(0)))) AS mark,
+  sum(CASE WHEN ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15))::BIGINT % 20 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY lang ORDER BY doc_id) AS leaf FROM {table}),
+{name} AS (SELECT lang, min(doc_id) AS first, max(doc_id) AS last, count(*) AS n, sha256(string_agg(mark, '' ORDER BY doc_id)) AS digest FROM {name}_m GROUP BY lang, leaf)"""
+
+
+@query("j7_ordered_digests", f"""
+WITH {leaf_sql('a', 'documents')}, i AS (SELECT *, (row_number() OVER (PARTITION BY lang ORDER BY first) - 1) // 1000 AS node FROM a),
+u AS (SELECT lang, node, sum(n) AS n, sha256(string_agg(digest, '' ORDER BY first)) AS digest FROM i GROUP BY lang, node)
+SELECT lang AS label, CAST(sum(n) AS BIGINT) AS n, CASE WHEN count(*) = 1 THEN max(digest) ELSE sha256(string_agg(digest, '' ORDER BY node)) END AS digest FROM u GROUP BY lang
+""")
+def ordered_digests(t):
+    return J.ordered_digests(J.digest_leaves(t.documents, "lang", "doc_id", ["n_chars", "source"], 20))
+
+
+@query("j7_differing_ranges", f"""
+WITH copy AS (SELECT lang, doc_id, n_chars + CASE WHEN doc_id % 97 = 0 THEN 1 ELSE 0 END AS n_chars, source FROM documents WHERE doc_id % 101 <> 5),
+{leaf_sql('a', 'documents')}, {leaf_sql('b', 'copy')}
+SELECT coalesce(a.lang, b.lang) AS label, coalesce(a.first, b.first) AS first, greatest(coalesce(a.last, b.last), coalesce(b.last, a.last)) AS last, coalesce(a.n, 0) AS left_rows, coalesce(b.n, 0) AS right_rows
+FROM a FULL OUTER JOIN b ON a.lang IS NOT DISTINCT FROM b.lang AND a.first = b.first WHERE a.digest IS DISTINCT FROM b.digest
+""")
+def differing_ranges(t):
+    """All documents against a copy with changed and missing rows."""
+    copy = t.documents.where("doc_id % 101 <> 5").withColumn("n_chars", F.col("n_chars") + (F.col("doc_id") % 97 == 0).cast("int"))
+    leaves = [J.digest_leaves(df, "lang", "doc_id", ["n_chars", "source"], 20) for df in (t.documents, copy)]
+    return J.differing_ranges(*leaves)
+
+
 @query("j7_selection_status", """
 WITH d AS (SELECT count(*) AS rows, bit_xor(('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 15))::BIGINT) AS digest, CAST(sum(('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 15))::BIGINT) AS VARCHAR) AS total FROM orders)
 SELECT 'as stored' AS kind, 'valid' AS status, rows, digest, total FROM d UNION ALL SELECT 'other seed', 'stale', rows, digest, total FROM d

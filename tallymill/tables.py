@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 NAMES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -120,12 +120,20 @@ class Tables:
 
     @cached_property
     def mix_slots(self) -> DataFrame:
-        g = F.floor(F.col("vec_id") / 6).cast("bigint")
-        slots = self.embeddings.select(
-            g.alias("g"), (3 + g % 4).alias("k"), (F.col("vec_id") % 6).alias("slot"), "label"
-        ).where("slot < k")
+        """Every embedding is a slot of a group; groups have three to six rows in turn, and the last one what is left."""
+        at = F.col("vec_id") % 18
+        first = F.when(at < 3, 0).when(at < 7, 3).when(at < 12, 7).otherwise(12)
+        turn = F.when(at < 3, 0).when(at < 7, 1).when(at < 12, 2).otherwise(3)
+        g = F.floor(F.col("vec_id") / 18).cast("bigint") * 4 + turn
+        slots = self.embeddings.select("vec_id", g.alias("g"), (at - first).alias("slot"), "label")
+        slots = slots.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("g")))
         return slots.withColumn("weight", (F.col("slot") + 1) * 2.0 / (F.col("k") * (F.col("k") + 1)))
 
+    @cached_property
+    def mix_samples(self) -> DataFrame:
+        """Scored rows with the group whose target they have."""
+        return self.preds.select("vec_id", "model", "logits").join(self.mix_slots.select("vec_id", "g"), "vec_id")
+
     @cached_property
     def mix_targets(self) -> DataFrame:
         """Slots collected per group: at most six."""
@@ -173,9 +181,10 @@ SELECT event_type AS configuration, 42 + user_id % 5 AS seed, value / 100 AS sec
        row_number() OVER (PARTITION BY event_type, user_id % 5 ORDER BY ts, event_id) AS batch_no
 FROM events""",
     "mix_slots": """
-SELECT g, k, slot, label, (slot + 1) * 2.0::DOUBLE / (k * (k + 1)) AS weight
-FROM (SELECT CAST(floor(vec_id / 6) AS BIGINT) AS g, vec_id % 6 AS slot, label, 3 + CAST(floor(vec_id / 6) AS BIGINT) % 4 AS k FROM embeddings) t
-WHERE slot < k""",
+SELECT vec_id, g, k, slot, label, (slot + 1) * 2.0::DOUBLE / (k * (k + 1)) AS weight
+FROM (SELECT *, count(*) OVER (PARTITION BY g) AS k FROM (
+  SELECT vec_id, label, vec_id // 18 * 4 + CASE WHEN vec_id % 18 < 3 THEN 0 WHEN vec_id % 18 < 7 THEN 1 WHEN vec_id % 18 < 12 THEN 2 ELSE 3 END AS g,
+    vec_id % 18 - CASE WHEN vec_id % 18 < 3 THEN 0 WHEN vec_id % 18 < 7 THEN 3 WHEN vec_id % 18 < 12 THEN 7 ELSE 12 END AS slot FROM embeddings) a) t""",
     "preds": """
 SELECT vec_id, concat('m', CAST(vec_id % 4 AS VARCHAR)) AS model, label,
        list_transform(embedding, lambda x: x::DOUBLE * 10) AS logits
@@ -198,8 +207,8 @@ SELECT vec_id, model, label, max(CASE WHEN rk = 1 THEN c END) AS pred, max(p) AS
        max(CASE WHEN c = label THEN p END) AS p_label
 FROM soft GROUP BY vec_id, model, label""",
     "mixed_scores": """
-SELECT m.g, m.k, m.slot, m.label, m.weight, s.model, s.l AS score, s.p, s.logp
-FROM mix_slots m JOIN soft s ON s.vec_id = 6 * m.g AND s.c = m.label""",
+SELECT v.vec_id AS g, m.k, m.slot, m.label, m.weight, s.model, s.l AS score, s.p, s.logp
+FROM mix_slots v JOIN mix_slots m ON m.g = v.g JOIN soft s ON s.vec_id = v.vec_id AND s.c = m.label""",
 }
 _NEEDS = {"soft": ("plong",), "scored": ("plong", "soft"), "mixed_scores": ("mix_slots", "plong", "soft")}
 
