@@ -68,7 +68,27 @@ def html_extraction(t: Tables) -> DataFrame:
     return html.extract_main(t.pages).select("page_id", "url", "text", "n_chars")
 
 
-@query("op6_benchmark_decontamination")
+@query("op6_benchmark_decontamination", oracle=r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, least(len(ws), 10) AS size, array_to_string(list_slice(ws, i, i + least(len(ws), 10) - 1), ' ') AS w
+  FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS i FROM b WHERE len(ws) > 0) x
+), places AS (
+  SELECT doc_id, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM windows) s WHERE len(ws) >= size
+), found AS (
+  SELECT p.doc_id, w.item_id, p.i, p.size FROM (SELECT doc_id, size, i, array_to_string(list_slice(ws, i, i + size - 1), ' ') AS w FROM places) p
+  JOIN windows w ON w.size = p.size AND w.w = p.w
+), hit AS (
+  SELECT doc_id, count(DISTINCT spot) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS spot FROM (SELECT DISTINCT doc_id, i, size FROM found) y) z GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) v GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.ws) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(i.n_items, 0) AS n_items, sha256(coalesce(i.listed, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit h ON h.doc_id = d.doc_id LEFT JOIN items i ON i.doc_id = d.doc_id
+""")
 def benchmark_decontamination(t: Tables) -> DataFrame:
     found = decontaminate.find_benchmark(t.documents.select("doc_id", "text"), t.benchmark)
     digest = F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256).alias("items_sha256")
