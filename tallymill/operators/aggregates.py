@@ -5,12 +5,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
 from tallymill.missing import require_columns, sample_std, to_number
+from tallymill.plans.indexing import Running, by_number, running
 from tallymill.plans.percentiles import percentiles
 from tallymill.plans.sizing import join_null_safe
+from tallymill.session import cut_lineage
 
 EXPECTED_SEEDS = (42, 43, 44)
 
@@ -209,12 +211,11 @@ def natural_stats(df: DataFrame, label: str, k: int) -> DataFrame:
     active classes is a step function of the class sizes. Each distinct size is
     one step: no level is ever expanded.
     """
-    by_size = class_counts(df, label).groupBy("n").agg(F.count(F.lit(1)).alias("classes"))
-    # Distinct class sizes: at most sqrt(2 * rows) values, and in practice few.
-    down = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    steps = by_size.select(
-        (F.col("n") - F.coalesce(F.lead("n").over(Window.orderBy(F.desc("n"))), F.lit(0))).alias("levels"),
-        F.sum("classes").over(down).alias("active"))
+    by_size = cut_lineage(class_counts(df, label).groupBy("n").agg(F.count(F.lit(1)).alias("classes")))
+    classes = by_size.agg(F.sum("classes")).first()[0] or 0
+    placed = running(by_size, [], by_number(F.col("n")), {"upto": Running("sum", F.col("classes")), "below": Running("max_before", F.col("n"))})
+    steps = placed.select(
+        (F.col("n") - F.coalesce("below", F.lit(0))).alias("levels"), (F.lit(classes) - F.col("upto") + F.col("classes")).alias("active"))
     mixed = F.col("active") >= k
     rest = F.col("active") % k
     total = lambda cond, value: F.coalesce(F.sum(F.when(cond, F.col("levels") * value)), F.lit(0)).cast("bigint")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallymill.functions.text import signed
 from tallymill.plans.indexing import Running, by_number, indexed, running
+from tallymill.session import cut_lineage
 
 
 def average_rank(df: DataFrame, within: Sequence[str], item: str, value: Column, higher_is_better: bool = True) -> DataFrame:
@@ -36,9 +37,10 @@ def shared_order(df: DataFrame, within: Sequence[str], item: str, metrics: dict[
     first = F.lit(len(pinned))
     for i, prefix in reversed(list(enumerate(pinned))):
         first = F.when(F.col(item).startswith(prefix), i).otherwise(first)
-    # One row per item: a report axis, not data rows.
-    place = F.row_number().over(Window.orderBy("_first", "mean_rank", item))
-    return mean.withColumn("_first", first).withColumn("place", place).drop("_first")
+    # Means are written before they are put in order, as their last bits depend on the order of addition.
+    order = by_number(F.col("_first"), F.col("mean_rank"), F.col(item))
+    placed = indexed(cut_lineage(mean.withColumn("_first", first)), [], order, "place", 1)
+    return placed.withColumn("place", F.col("place").cast("int")).drop("_first")
 
 
 def best_and_delta(df: DataFrame, group: Sequence[str], method: str, metrics: dict[str, bool], baseline: str) -> DataFrame:
@@ -112,5 +114,5 @@ def preferred_order(df: DataFrame, column: str, preferred: Sequence[str]) -> Dat
     place = F.array_position(F.lit(list(preferred)), F.col(column))
     listed = F.when(place > 0, place).otherwise(F.lit(len(preferred) + 1))
     values = df.select(column).where(F.col(column).isNotNull()).distinct()
-    # One row per distinct value: an axis, not data rows.
-    return values.withColumn("place", F.row_number().over(Window.orderBy(listed, F.col(column))))
+    placed = indexed(values.withColumn("_listed", listed), [], by_number(F.col("_listed"), F.col(column)), "place", 1)
+    return placed.withColumn("place", F.col("place").cast("int")).drop("_listed")
