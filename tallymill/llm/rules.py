@@ -1,14 +1,17 @@
 """Quality rules with thresholds that come from the data: mergeable quantile sketches per language and source.
 
-Each document is described by whole-text counts. Five of them become integer rates, and each rate is sketched by
-counting documents per bucket: values below 32 have a bucket each, larger ones 16 buckets per power of two, so a
-quantile is exact to one part in 16. Sketches are rows of counts. They merge by adding, in any order, so a source with
-too few documents uses its language's merged sketch, and a language with too few uses that of all documents.
-
-The upper threshold of a rate is ``q90 + fence * max(q75 - q50, spread)`` of its sketch; ``spread`` keeps a rate that
-hardly varies from rejecting documents a hair above the rest. Where most documents have a rate of zero, the threshold is
-``fence * spread``, which lies well below what the base rules reject. A document is kept if it passes the two fixed base rules
-and lies at or below every threshold of its language and source.
+Each document is described by whole-text counts. Five of them become integer rates, per thousand of what they could be,
+and five more the same rates as far as they are sure: a count less twice its root, so that a few events are none. Rates
+are sketched by counting documents per bucket: values below 32 have a bucket each, larger ones 16 buckets per power of
+two, so a quantile is exact to one part in 16. Sketches are rows of counts and merge by adding, in any order. A source's
+sketch is blended with its language's, at the weight of ``PRIOR`` documents, and a language's with that of all.
+
+A group's limits come from its sketches alone. The limit of a rate lies as far above the 99.5 % quantile as that lies
+above the 95 % quantile: what one document in 200 has goes if nearly all have none of it, and stays if more have some.
+The limit of a sure rate is where the sketch falls apart: the last value below the first gap of a factor of two that has
+at most ``MAX_OUT`` of the documents above it (buckets of next to no documents count as empty); without such a gap the
+sure rate rejects nothing. A document is kept if it passes the two fixed base rules and lies at or below every limit of
+its language and source.
 
 Defined cases: NULL and empty texts have no words and fail the base rule; NULL language or source is a group of its own;
 repeated rows are judged alike, one output row per input row; input columns named like an added one are replaced.
@@ -19,17 +22,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallymill.llm.common import SPACES, bound, kept, without, words_of
+from tallymill.plans.sizing import join_null_safe
 
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-MIN_GROUP = 200
-FENCE = 6.0
+PRIOR = 200.0
+MAX_OUT = 0.25
+EMPTY = 0.0005
 SYMBOLS = "#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-# rate -> least spread of its fence, in the rate's own unit (per thousand; tenths of a character for word_length).
-SPREADS = {"symbol_rate": 8, "upper_rate": 15, "bang_rate": 8, "dup_line_rate": 25, "repeat_rate": 15}
-RATES = tuple(SPREADS)
+RATES = ("symbol_rate", "upper_rate", "bang_rate", "dup_line_rate", "repeat_rate")
+SURE = tuple(f"sure_{r}" for r in RATES)
 
 
 def _window_hashes(words: Column) -> Column:
@@ -82,11 +86,14 @@ def _columns() -> dict[str, Column]:
     at = lambda name: F.col(f"__q_{name}").cast("bigint")
     words, chars = at("w.n_words"), at("w.word_chars")
     per = lambda a, b: F.when(b > 0, F.floor(F.lit(1000) * a / b)).otherwise(0).cast("bigint")
+    sure = lambda a, b, unit=1: per(F.greatest(F.lit(0.0), a / unit - 2 * F.sqrt(a / unit)) * unit, b)
     return {
         "n_words": words, "word_chars": chars, "n_symbols": at("symbols"), "n_dup_lines": at("l.n_dup_lines"),
         "n_repeat_words": at("w.n_repeat_words"), "symbol_rate": per(at("symbols"), chars), "upper_rate": per(at("upper"), chars),
         "bang_rate": per(at("bangs"), chars), "dup_line_rate": per(at("l.n_dup_lines"), at("l.n_lines")),
-        "repeat_rate": per(at("w.n_repeat_words"), words),
+        "repeat_rate": per(at("w.n_repeat_words"), words), "sure_symbol_rate": sure(at("symbols"), chars),
+        "sure_upper_rate": sure(at("upper"), chars), "sure_bang_rate": sure(at("bangs"), chars),
+        "sure_dup_line_rate": sure(at("l.n_dup_lines"), at("l.n_lines")), "sure_repeat_rate": sure(at("w.n_repeat_words"), words, WINDOW),
         "base_failed": (words < MIN_WORDS) | (F.lit(100) * at("w.n_repeat_words") > F.lit(MAX_REPEAT_PERCENT) * words),
     }
 
@@ -104,9 +111,9 @@ def bucket_value(index: Column) -> Column:
     return F.when(index < 32, index).otherwise((F.lit(16) + rest % 16) * F.pow(F.lit(2.0), F.floor(rest / 16) + 1)).cast("bigint")
 
 
-def sketch(measured: DataFrame, keys: list[str]) -> DataFrame:
+def sketch(measured: DataFrame, keys: list[str], rates: tuple[str, ...] = RATES) -> DataFrame:
     """``(keys, rate, bucket, n)``: one mergeable row of counts per bucket; documents that fail the base rules are left out."""
-    rates = F.explode(F.array(*[F.struct(F.lit(r).alias("rate"), bucket(F.col(r)).alias("bucket")) for r in RATES])).alias("v")
+    rates = F.explode(F.array(*[F.struct(F.lit(r).alias("rate"), bucket(F.col(r)).alias("bucket")) for r in rates])).alias("v")
     return measured.where(~F.col("base_failed")).select(*keys, rates).groupBy(*keys, "v.rate", "v.bucket").agg(F.count("*").alias("n"))
 
 
@@ -116,40 +123,56 @@ def merge(sketches: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def quantiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """``(keys, rate, total, q50, q75, q90)`` of each sketch."""
+    """``(keys, rate, total, q50, q75, q95, q995)`` of each sketch."""
     group = Window.partitionBy(*keys, "rate")
     seen = F.sum("n").over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
     ranked = sketches.withColumns({"seen": seen, "total": F.sum("n").over(group)})
     at = lambda q: F.min(F.when(F.col("seen") >= q * F.col("total"), bucket_value(F.col("bucket"))))
-    return ranked.groupBy(*keys, "rate").agg(F.max("total").alias("total"), at(0.5).alias("q50"), at(0.75).alias("q75"), at(0.9).alias("q90"))
+    return ranked.groupBy(*keys, "rate").agg(F.max("total").alias("total"), at(0.5).alias("q50"), at(0.75).alias("q75"), at(0.95).alias("q95"), at(0.995).alias("q995"))
+
+
+def gaps(sketches: DataFrame, keys: list[str], max_out: float = MAX_OUT, empty: float = EMPTY) -> DataFrame:
+    """``(keys, rate, gap)``: the last value below the first gap of each sketch that has few documents above, NULL without one."""
+    group = Window.partitionBy(*keys, "rate")
+    upto = F.sum("n").over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
+    shares = sketches.withColumns({"total": F.sum("n").over(group), "upto": upto}).where(F.col("n") >= empty * F.col("total"))
+    after = F.lead("bucket").over(group.orderBy("bucket"))
+    value = bucket_value(F.col("bucket"))
+    found = shares.withColumn("after", after).where(F.col("after").isNotNull() & (bucket_value(F.col("after")) > 2 * value))
+    return found.where(F.col("total") - F.col("upto") <= max_out * F.col("total")).groupBy(*keys, "rate").agg(F.min(value).alias("gap"))
+
+
+def blended(fine: DataFrame, coarse: DataFrame, keys: list[str], shared: list[str], prior: float = PRIOR) -> DataFrame:
+    """``fine`` sketches plus ``prior`` documents spread as in the ``coarse`` sketch of their ``shared`` keys; counts are fractions."""
+    whole = Window.partitionBy(*shared, "rate")
+    spread = coarse.select(*shared, "rate", "bucket", (F.lit(prior) * F.col("n") / F.sum("n").over(whole)).alias("n"))
+    groups = fine.select(*keys).distinct()
+    lent = join_null_safe(groups, spread, shared) if shared else groups.join(F.broadcast(spread))
+    return merge(fine.select(*keys, "rate", "bucket", F.col("n").cast("double").alias("n")).unionByName(lent.select(*keys, "rate", "bucket", "n")), keys)
 
 
-def thresholds(sketches: DataFrame, lang: str, source: str, min_group: int = MIN_GROUP, fence: float = FENCE) -> DataFrame:
-    """One row per (language, source): the upper limit of each rate, from the finest sketch with enough documents."""
-    spread = F.create_map(*[x for r, s in SPREADS.items() for x in (F.lit(r), F.lit(s))])
-    limit = lambda df: df.select(
-        *[c for c in df.columns if c not in ("q50", "q75", "q90")],
-        F.floor(F.col("q90") + F.lit(fence) * F.greatest(F.col("q75") - F.col("q50"), spread[F.col("rate")])).alias("limit"))
-    fine = limit(quantiles(sketches, [lang, source]))
-    by_lang = limit(quantiles(merge(sketches, [lang]), [lang])).select(
-        F.col(lang).alias("__l"), F.col("rate").alias("__r"), F.col("total").alias("lang_total"), F.col("limit").alias("lang_limit"))
-    overall = limit(quantiles(merge(sketches, []), [])).select(F.col("rate").alias("__s"), F.col("limit").alias("all_limit"))
-    joined = fine.join(by_lang, F.col(lang).eqNullSafe(F.col("__l")) & (F.col("rate") == F.col("__r"))).join(overall, F.col("rate") == F.col("__s"))
-    chosen = F.when(F.col("total") >= min_group, F.col("limit")).when(F.col("lang_total") >= min_group, F.col("lang_limit")).otherwise(F.col("all_limit"))
-    return joined.groupBy(lang, source).agg(*[F.max(F.when(F.col("rate") == r, chosen)).alias(f"max_{r}") for r in RATES])
+def thresholds(sketches: DataFrame, lang: str, source: str, prior: float = PRIOR, max_out: float = MAX_OUT) -> DataFrame:
+    """One row per (language, source): ``max_<rate>`` of each rate and of each sure rate, NULL where nothing is too much."""
+    by_lang = blended(merge(sketches, [lang]), merge(sketches, []), [lang], [], prior)
+    fine = kept(blended(sketches, by_lang, [lang, source], [lang], prior), "blended")
+    keys = [lang, source]
+    tails = quantiles(fine.where(F.col("rate").isin(*RATES)), keys).select(*keys, "rate", (2 * F.col("q995") - F.col("q95")).alias("limit"))
+    falls = gaps(fine.where(F.col("rate").isin(*SURE)), keys, max_out).select(*keys, "rate", F.col("gap").alias("limit"))
+    return tails.unionByName(falls).groupBy(*keys).agg(*[F.max(F.when(F.col("rate") == r, F.col("limit"))).alias(f"max_{r}") for r in (*RATES, *SURE)])
 
 
 def _limits(measured: DataFrame, lang: str, source: str, **options) -> DataFrame:
-    found = kept(thresholds(sketch(measured, [lang, source]), lang, source, **options), "limits")
+    sketches = kept(sketch(measured, [lang, source], (*RATES, *SURE)), "rate-sketches")
+    found = kept(thresholds(sketches, lang, source, **options), "limits")
     return found.withColumnsRenamed({lang: "__lang", source: "__source"})
 
 
 def _judged(measured: DataFrame, limits: DataFrame, lang: str, source: str) -> DataFrame:
     joined = measured.join(limits, measured[lang].eqNullSafe(F.col("__lang")) & measured[source].eqNullSafe(F.col("__source")), "left")
     within = F.lit(True)
-    for rate in RATES:
+    for rate in (*RATES, *SURE):
         within &= F.coalesce(F.col(rate) <= F.col(f"max_{rate}"), F.lit(True))
-    return joined.withColumn("kept", ~F.col("base_failed") & within).drop("__lang", "__source", *[f"max_{r}" for r in RATES])
+    return joined.withColumn("kept", ~F.col("base_failed") & within).drop("__lang", "__source", *[f"max_{r}" for r in (*RATES, *SURE)])
 
 
 def judge(measured: DataFrame, lang: str, source: str, **options) -> DataFrame:
