@@ -41,7 +41,7 @@ def run_name_entries(name: Column) -> Column:
     """Tokens of all sections after the first, as structs (key, value); a plain tag has a NULL key."""
     sections = F.split(name, "__")
     tokens = F.filter(
-        F.flatten(F.transform(F.slice(sections, 2, 1_000_000), lambda s: F.split(s, "_"))), lambda t: t != ""
+        F.flatten(F.transform(F.slice(sections, 2, F.greatest(F.size(sections), F.lit(1))), lambda s: F.split(s, "_"))), lambda t: t != ""
     )
     equals = r"^([A-Za-z][A-Za-z0-9_]*)=(.+)$"
     prefixed = "^(" + "|".join(PREFIX_KEYS) + r")([0-9-].*)$"
