@@ -125,14 +125,18 @@ def batched(df: DataFrame, order: Order, batch_size: int) -> DataFrame:
 
 def pair_mix(
     rows: DataFrame, key: str, label: str, mode: str = "batch", alpha: float = 1.0, prob: float = 1.0, cut_prob: float = 0.0,
-    height: int = 224, width: int = 224, seed: int = 0, epoch: int = 0, payload: str | None = None,
+    height: int = 224, width: int = 224, seed: int = 0, epoch: int = 0, payload: str | None = None, cut_alpha: float | None = None,
+    box_range: tuple[float, float] | None = None, correct: bool = True,
 ) -> DataFrame:
     """Each row of a batch mixed with its mirror (position B-1-i): ``lam * own + (1-lam) * partner``.
 
     ``mode`` says what shares a draw: the ``batch``, the ``pair`` or each ``elem``.
-    With ``cut_prob`` a draw cuts a box instead and lam becomes one minus the
-    box's area share. ``rows`` come from :func:`batched`; ``payload`` is an
-    ARRAY<DOUBLE> read as height x width for the cut.
+    With ``cut_prob`` a draw cuts a box instead, of lam's area around a centre
+    drawn (lam by ``cut_alpha`` if given), and lam becomes one minus the area
+    share of what lies inside, unless ``correct`` is off. With ``box_range``
+    (least and greatest share of a side) both sides are drawn, the box lies
+    inside, and its area always decides. ``rows`` come from :func:`batched`;
+    ``payload`` is an ARRAY<DOUBLE> read as height x width for the cut.
     """
     own, mirror = F.col("pos"), F.col("batch_rows") - 1 - F.col("pos")
     scope = {"batch": F.lit(0), "pair": F.least(own, mirror), "elem": own}
@@ -144,20 +148,18 @@ def pair_mix(
         F.col("batch"), mirror.alias("pos"), F.col(key).alias("partner"), F.col(label).alias("partner_label"),
         *([F.col(payload).alias("_other")] if payload else []))
     out = rows.join(right, ["batch", "pos"])
-    lam = F.when(unit("use") < prob, beta_draw(draw("lam"), alpha)).otherwise(F.lit(1.0))
+    drawn = beta_draw(draw("lam"), alpha)
+    if cut_prob > 0 and cut_alpha is not None:
+        drawn = F.when(unit("cut") < cut_prob, beta_draw(draw("lam"), cut_alpha)).otherwise(drawn)
+    lam = F.when(unit("use") < prob, drawn).otherwise(F.lit(1.0))
     out = out.withColumn("lam", lam)
     if cut_prob > 0:
         # A skipped draw keeps lam = 1: the box is then empty.
         out = out.withColumn("cut", (unit("cut") < cut_prob) & (F.col("lam") < 1))
-        side = F.sqrt(F.lit(1.0) - F.col("lam"))
-        half_h, half_w = F.floor(F.floor(side * height) / 2), F.floor(F.floor(side * width) / 2)
-        cy, cx = F.floor(unit("cy") * height), F.floor(unit("cx") * width)
-        clip = lambda v, top: F.greatest(F.lit(0), F.least(F.lit(top), v)).cast("int")
-        box = F.struct(
-            clip(cy - half_h, height).alias("y0"), clip(cy + half_h, height).alias("y1"), clip(cx - half_w, width).alias("x0"), clip(cx + half_w, width).alias("x1"))
-        out = out.withColumn("_box", box)
+        out = out.withColumn("_box", _ranged_box(unit, box_range, height, width) if box_range else _lam_box(unit, height, width))
         area = (F.col("_box.y1") - F.col("_box.y0")) * (F.col("_box.x1") - F.col("_box.x0"))
-        out = out.withColumn("lam", F.when(F.col("cut"), F.lit(1.0) - area / float(height * width)).otherwise(F.col("lam")))
+        if correct or box_range:
+            out = out.withColumn("lam", F.when(F.col("cut"), F.lit(1.0) - area / float(height * width)).otherwise(F.col("lam")))
     if payload:
         blend = F.zip_with(payload, "_other", lambda a, b: a * F.col("lam") + b * (F.lit(1.0) - F.col("lam")))
         if cut_prob > 0:
@@ -169,6 +171,33 @@ def pair_mix(
     return out.drop("_box", "_other")
 
 
+def _box(y0: Column, y1: Column, x0: Column, x1: Column) -> Column:
+    return F.struct(*[v.cast("int").alias(n) for n, v in (("y0", y0), ("y1", y1), ("x0", x0), ("x1", x1))])
+
+
+def _lam_box(unit, height: int, width: int) -> Column:
+    """A box of the share one minus lam around a drawn centre, as far as it lies inside."""
+    side = F.sqrt(F.lit(1.0) - F.col("lam"))
+    half_h, half_w = F.floor(F.floor(side * height) / 2), F.floor(F.floor(side * width) / 2)
+    cy, cx = F.floor(unit("cy") * height), F.floor(unit("cx") * width)
+    clip = lambda v, top: F.greatest(F.lit(0), F.least(F.lit(top), v))
+    return _box(clip(cy - half_h, height), clip(cy + half_h, height), clip(cx - half_w, width), clip(cx + half_w, width))
+
+
+def _ranged_box(unit, box_range: tuple[float, float], height: int, width: int) -> Column:
+    """A box whose sides are drawn between two shares of the whole, at a place where it fits."""
+    if not 0 <= box_range[0] < box_range[1] <= 1:
+        raise ValueError(f"box range {box_range} is no rising range within [0, 1]")
+
+    def span(size: int, side: str, place: str) -> tuple[Column, Column]:
+        low, high = int(size * box_range[0]), int(size * box_range[1])
+        long = low + F.floor(unit(side) * max(1, high - low))
+        start = F.floor(unit(place) * (F.lit(size) - long))
+        return start, start + long
+
+    return _box(*span(height, "h", "cy"), *span(width, "w", "cx"))
+
+
 def soft_label(label: Column, partner: Column, lam: Column, classes: int, smoothing: float = 0.0) -> Column:
     """Dense target ``lam * y + (1-lam) * y_partner`` with smoothing; sums to one."""
     off = smoothing / classes

@@ -225,6 +225,24 @@ def pair_cut(t):
     return out.select("vec_id", "partner", "cut", F.round("lam", 6).alias("lam"), F.round(total, 6).alias("payload_sum"))
 
 
+@query("d11_pair_box", f"""
+WITH {BATCHES},
+p AS (SELECT a.vec_id, a.embedding AS e, b.embedding AS o, b.vec_id AS partner, a.batch, least(a.pos, a.rows - 1 - a.pos) AS scope FROM b a JOIN b ON b.batch = a.batch AND b.pos = a.rows - 1 - a.pos),
+l AS (SELECT *, {u(1, 4, "'lam'", 'batch', 'scope')} AS lam, {u(1, 4, "'cut'", 'batch', 'scope')} < 0.6::DOUBLE AS cut, 2 + CAST(floor({u(1, 4, "'h'", 'batch', 'scope')} * 5) AS INTEGER) AS h,
+   2 + CAST(floor({u(1, 4, "'w'", 'batch', 'scope')} * 5) AS INTEGER) AS w, {u(1, 4, "'cy'", 'batch', 'scope')} AS uy, {u(1, 4, "'cx'", 'batch', 'scope')} AS ux FROM p),
+z AS (SELECT *, CAST(floor(uy * (8 - h)) AS INTEGER) AS y0, CAST(floor(ux * (8 - w)) AS INTEGER) AS x0, CASE WHEN cut THEN 1 - h * w / 64.0::DOUBLE ELSE lam END AS fl FROM l),
+v AS (SELECT vec_id, partner, fl, cut, h, w, y0, x0, unnest(e)::DOUBLE AS a, unnest(o)::DOUBLE AS b, generate_subscripts(e, 1) - 1 AS i FROM z)
+SELECT vec_id, partner, cut, round(fl, 6) AS lam, round(sum(CASE WHEN NOT cut THEN a * fl + b * (1 - fl) WHEN i // 8 >= y0 AND i // 8 < y0 + h AND i % 8 >= x0 AND i % 8 < x0 + w THEN b ELSE a END), 6) AS payload_sum
+FROM v GROUP BY vec_id, partner, cut, fl
+""")
+def pair_box(t):
+    """Boxes with drawn sides, shared by the two rows of a pair."""
+    rows = X.batched(embedded(t), by_number(F.col("vec_id")), 48)
+    out = X.pair_mix(rows, "vec_id", "label", mode="pair", cut_prob=0.6, height=8, width=8, seed=1, epoch=4, payload="payload", box_range=(0.25, 0.875))
+    total = F.aggregate("mixed_payload", F.lit(0.0), lambda acc, x: acc + x)
+    return out.select("vec_id", "partner", "cut", F.round("lam", 6).alias("lam"), F.round(total, 6).alias("payload_sum"))
+
+
 @query("d12_derangement_pairs", f"""
 WITH {BATCHES}, o AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY {h(4, 0, 'vec_id')}, vec_id) AS rk FROM b)
 SELECT x.vec_id, x.batch, y.vec_id AS partner FROM o x JOIN o y ON y.batch = x.batch AND y.rk = x.rk % x.rows + 1

@@ -215,6 +215,25 @@ def test_pair_mix_beta_and_soft_label(spark):
         assert 0 <= r["lam"] <= 1 and sum(r["t"]) == pytest.approx(1)
 
 
+def test_cut_options(spark):
+    df = spark.createDataFrame([(i, i % 3, [float(i)] * 64) for i in range(40)], "id long, y int, p array<double>")
+    rows = X.batched(df, by_number(F.col("id")), 8)
+    cut = dict(mode="elem", cut_prob=1.0, height=8, width=8, seed=2, payload="p")
+    pasted = lambda r: sum(v == r["partner"] for v in r["mixed_payload"]) / 64
+    exact = {r["id"]: r for r in X.pair_mix(rows, "id", "y", **cut).collect()}
+    loose = {r["id"]: r for r in X.pair_mix(rows, "id", "y", **cut, correct=False).collect()}
+    assert all(r["lam"] == pytest.approx(1 - pasted(r)) for r in exact.values())
+    assert all(loose[i]["mixed_payload"] == r["mixed_payload"] for i, r in exact.items()) and any(loose[i]["lam"] != r["lam"] for i, r in exact.items())
+    ranged = X.pair_mix(rows, "id", "y", **cut, box_range=(0.5, 0.9), correct=False).collect()
+    assert all(r["lam"] == pytest.approx(1 - pasted(r)) and 16 / 64 <= pasted(r) <= 49 / 64 for r in ranged) and len({r["lam"] for r in ranged}) > 3
+    # Cuts draw lam by their own alpha; mixes keep theirs.
+    drawn = {c: X.pair_mix(rows, "id", "y", mode="elem", cut_prob=0.5, height=8, width=8, seed=2, cut_alpha=c, correct=False).collect() for c in (None, 3.0)}
+    other = {a["id"]: a["lam"] != b["lam"] for a, b in zip(*[sorted(rows_, key=lambda r: r["id"]) for rows_ in drawn.values()])}
+    assert {r["id"] for r in drawn[3.0] if r["cut"]} == {i for i, changed in other.items() if changed}
+    with pytest.raises(ValueError):
+        X.pair_mix(rows, "id", "y", cut_prob=1.0, box_range=(0.9, 0.2))
+
+
 def test_derangement_never_self(spark, cells):
     rows = X.batched(spark.range(11), by_number(F.col("id")), 5)
     out = X.derangement(rows, "id", 3, 0).collect()
