@@ -153,6 +153,32 @@ def test_line_dedup_removes_passages_whole(docs):
         assert got[i] == (t if i < 40 else t.replace(passages[i % 40] + "\n", ""))
 
 
+def test_line_dedup_chunks_of_short_units(spark, docs):
+    # Three neighbouring lines are too short to count; only a chunk holds enough of them.
+    r, text = random.Random(31), lambda: f"w{r.randrange(10**10):010d}"
+    block = [text() for _ in range(120)]
+    rows = [(i, "\n".join([f"own {text()} {text()} {text()} {text()} {text()} {text()} {text()}", *block, f"end {text()}"]), "en", "a") for i in range(2)]
+    df = docs(rows)
+    starts = [r[0] for r in df.select(lines.chunk_starts(F.transform(lines.units_of(F.col("text")), lambda s: F.xxhash64(F.btrim(s, F.lit("\n")))))).collect()]
+    # From the third unit of the block on, both texts are cut at the same places.
+    assert [s for s in starts[0] if 3 <= s < 119] == [s for s in starts[1] if 3 <= s < 119] and 25 < len(starts[0]) < 60
+    got = {r["doc_id"]: r for r in lines.remove_repeated(df).collect()}
+    assert got[0]["text"] == rows[0][1] and got[1]["n_removed"] >= 5
+    assert [x for x in rows[1][1].split("\n") if x not in block] == [x for x in got[1]["text"].split("\n") if x not in block]
+
+
+def test_line_dedup_compares_bytes(monkeypatch, docs):
+    # Under the first seed all units of one length hash alike: nothing may be cut by that.
+    r = random.Random(37)
+    text = lambda: "\n".join(f"{r.randrange(10**60):060d}" for _ in range(6))
+    shared = text()
+    rows = [(i, text() + ("\n" + shared if i in (2, 5) else ""), "en", "a") for i in range(8)]
+    hashes = lines.unit_hashes
+    monkeypatch.setattr(lines, "unit_hashes", lambda s, seed: (F.length(s).cast("long"),) * 2 if seed == 0 else hashes(s, seed))
+    got = {r["doc_id"]: r["text"] for r in lines.remove_repeated(docs(rows)).collect()}
+    assert got == {i: t if i != 5 else t.replace(shared, "") for i, t, *_ in rows}
+
+
 def test_line_dedup_odd(odd, empty):
     before, after = odd.orderBy("doc_id").select("doc_id", "text"), lines.remove_repeated(odd).orderBy("doc_id").select("doc_id", "text")
     assert [r[0] for r in before.collect()] == [r[0] for r in after.collect()]
