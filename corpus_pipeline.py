@@ -25,8 +25,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one with the least id."""
-    return neardup.keep_one(docs)
+    """One document of each near-duplicate group, the one with the least id: first by the whole texts, as line dedup cuts what
+    near copies share, then by what it left."""
+    whole = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return neardup.keep_one(kept(neardup.drop_copies(docs, whole), "without-copies"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,10 +13,15 @@ differ in at most four meet at some point, so linking each to the least fingerpr
 work stays in proportion to the members.
 
 ``keep_one``, the corpus stage, has its own rule: texts link if the Jaccard similarity of their sets of 5-word shingles is
-0.8 or more. Candidates share one of 20 bands of five minimum hashes, which a pair at 0.8 does in all but 4 of 10,000
-cases. All candidates are verified by their whole sets: first each bucket's members with its least one, then all pairs of
+0.8 or more. Candidates are first the SimHash links above (of 5-word shingles, at four bits), and then, as a pair at 0.8
+differs in some ten bits, texts that share one of 20 bands of five minimum hashes, which a pair at 0.8 does in all but 4 of
+10,000 cases. All candidates are verified by their whole sets: first each bucket's members with its least one, then all pairs of
 a bucket that the links found so far leave in different components, so a bucket of near copies costs about its members.
 
+``drop_copies`` goes before it where passages were cut out of the texts: it drops documents whose whole text, as it came, is
+a near copy of that of an earlier document which is still there. Rows meet whole texts by id; an id with several texts is
+dropped only if all of them are such copies.
+
 Components: large-star and small-star rounds (Kiveris et al., 2014) over the links, each written to the shared folder.
 
 Defined cases: NULL and empty texts have fingerprint zero and link like any other; a text of fewer words than a shingle
@@ -59,9 +64,11 @@ def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
 def simhash(text: bytes | None) -> int:
     """The fingerprint as a signed 64-bit integer."""
     words = (text or b"").lower().split()
-    if not words:
-        return 0
-    hashes = shingle_hashes(words, SHINGLE)
+    return majority(shingle_hashes(words, SHINGLE)) if words else 0
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes, as a signed 64-bit integer."""
     ones = np.zeros(64, dtype=np.int64)
     for k in range(0, len(hashes), 1 << 16):
         part = hashes[k:k + (1 << 16)].view(np.uint8).reshape(-1, 8)
@@ -175,22 +182,24 @@ def label_points(marked: DataFrame, doc_id: str, bucket: int = BUCKET) -> DataFr
     return named_components(points, links(points.select("fp"), bucket))
 
 
-def banded(text: bytes | None) -> tuple[int, list[int]]:
-    """A hash of all words, and one per band of minimum hashes; both signed, 0 and none without words."""
+def banded(text: bytes | None) -> tuple[int, int, list[int]]:
+    """A hash of all words, the fingerprint, and one hash per band of minimum hashes; all signed, 0 and none without words."""
     words = (text or b"").lower().split()
     if not words:
-        return 0, []
-    hashes, least = np.unique(shingle_hashes(words, STAGE_SHINGLE)), np.full(len(FACTORS), np.iinfo(np.uint64).max)
+        return 0, 0, []
+    every = shingle_hashes(words, STAGE_SHINGLE)
+    hashes, least = np.unique(every), np.full(len(FACTORS), np.iinfo(np.uint64).max)
     for k in range(0, len(hashes), 1 << 12):
         mixed = (hashes[k:k + (1 << 12), None] ^ (hashes[k:k + (1 << 12), None] >> np.uint64(29))) * FACTORS
         least = np.minimum(least, (mixed >> np.uint64(20)).min(axis=0))
     signed = lambda data, seed: int(np.uint64(xxhash.xxh64_intdigest(data, seed)).view(np.int64))
-    return signed(b" ".join(words), SEED), [signed(least[k * BAND_ROWS:(k + 1) * BAND_ROWS].tobytes(), k) for k in range(BANDS)]
+    return signed(b" ".join(words), SEED), majority(every), [signed(least[k * BAND_ROWS:(k + 1) * BAND_ROWS].tobytes(), k) for k in range(BANDS)]
 
 
 def _banded(texts: pa.Array) -> pa.Array:
     found = [banded(t.as_py()) for t in texts]
-    return pa.StructArray.from_arrays([pa.array([f for f, _ in found], pa.int64()), pa.array([b for _, b in found], pa.list_(pa.int64()))], ["fp", "bands"])
+    fps, sims, bands = ([f[k] for f in found] for k in range(3))
+    return pa.StructArray.from_arrays([pa.array(fps, pa.int64()), pa.array(sims, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["fp", "sim", "bands"])
 
 
 def _shingle_sets(texts: pa.Array) -> pa.Array:
@@ -207,12 +216,24 @@ def _similar(left: pa.Array, right: pa.Array) -> pa.Array:
     return pa.array(out, pa.bool_())
 
 
+def close_pairs(points: DataFrame) -> DataFrame:
+    """``(a, b)``, ``a < b``: points (``fp``, ``sim``) linked by their fingerprints ``sim``, one of each fingerprint for all."""
+    least = kept(points.groupBy("sim").agg(F.min("fp").alias("least")), "fingerprints")
+    equal = points.join(least.hint("merge"), "sim").where("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b"))
+    one, other = (least.select(F.col("sim").alias(c), F.col("least").alias(f"fp_{c}")) for c in "ab")
+    near = links(least.select(F.col("sim").alias("fp"))).join(one.hint("merge"), "a").join(other.hint("merge"), "b")
+    return equal.unionByName(near.select(F.least("fp_a", "fp_b").alias("a"), F.greatest("fp_a", "fp_b").alias("b")))
+
+
 def similar_links(docs: DataFrame, points: DataFrame, text: str) -> DataFrame:
-    """``(a, b)``: verified links among ``points`` (a written table of ``fp``, the ``hash`` of a text, ``bands``)."""
+    """``(a, b)``: verified links among ``points`` (a written table of ``fp``, the ``hash`` of a text, ``sim``, ``bands``)."""
     keyed = points.select("fp", "hash", F.explode("bands").alias("key"))
     several = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("least")).where("n > 1").drop("n")
     met = kept(keyed.join(several.hint("merge"), "key"), "buckets")
-    wanted = met.select("fp", "hash").distinct()
+    close = close_pairs(points.where(F.size("bands") > 0).select("fp", "sim"))
+    stars = kept(close.unionByName(met.where("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b"))).distinct(), "candidates")
+    named = met.select("fp").unionByName(stars.select(F.explode(F.array("a", "b")).alias("fp"))).distinct()
+    wanted = points.select("fp", "hash").join(named.hint("merge"), "fp", "left_semi")
     value = F.col(f"`{text}`")
     texts = docs.select(F.xxhash64(value).alias("hash"), value.cast("binary").alias("text")).join(wanted.hint("merge"), "hash")
     sets = kept(texts.select("fp", F.arrow_udf(_shingle_sets, "array<bigint>")("text").alias("s")).dropDuplicates(["fp"]), "shingle-sets")
@@ -222,7 +243,6 @@ def similar_links(docs: DataFrame, points: DataFrame, text: str) -> DataFrame:
         both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
         return kept(both.where(F.arrow_udf(_similar, "boolean")("s_a", "s_b")).select("a", "b"), "links")
 
-    stars = kept(met.where("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b")).distinct(), "candidates")
     first = verified(stars)
     labels = components(first)
     placed = kept(met.join(labels.hint("merge"), met["fp"] == labels["node"], "left").select("key", "fp", F.coalesce("label", "fp").alias("part")), "placed")
@@ -241,20 +261,40 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return marked.join(labels, "fp").select(F.col(f"`{doc_id}`"), hexed, "component_id")
 
 
+def _grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``(id, hash, n, component)``: rows of one id and text, how many they are, and their near-duplicate group."""
+    sketch = F.arrow_udf(_banded, "struct<fp:bigint,sim:bigint,bands:array<bigint>>")(F.col(f"`{text}`").cast("binary"))
+    marked = docs.select(F.col(f"`{doc_id}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("hash"), sketch.alias("k"))
+    marked = kept(marked.select("id", "hash", "k.fp", "k.sim", "k.bands"), "sketches")
+    points = kept(marked.groupBy("fp").agg(F.min("id").alias("first_id"), F.min(F.struct("hash", "sim", "bands")).alias("k")).select("fp", "first_id", "k.*"), "points")
+    labels = named_components(points.select("fp", "first_id"), similar_links(docs, points, text))
+    return marked.groupBy("id", "hash", "fp").agg(F.count("*").alias("n")).join(labels, "fp").select("id", "hash", "n", "component")
+
+
+def _first_key() -> Column:
+    return F.struct(F.col("id").isNull().alias("none"), "id", "hash")
+
+
+def drop_copies(docs: DataFrame, whole: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without those whose texts in ``whole`` are near copies of the text there of an earlier id in ``docs``."""
+    here = docs.select(F.col(f"`{doc_id}`").alias("__here")).distinct()
+    own = F.col(f"`{doc_id}`")
+    present = whole.select(own, F.col(f"`{text}`")).join(here.hint("merge"), own.eqNullSafe(F.col("__here")), "left_semi")
+    units = kept(_grouped(kept(present, "whole"), doc_id, text), "units")
+    first = units.groupBy("component").agg(F.min(_first_key()).alias("first"))
+    later = ~F.col("id").eqNullSafe(F.col("first.id"))
+    gone = units.join(first.hint("merge"), "component").groupBy("id").agg(F.bool_and(later).alias("gone")).where("gone").select(F.col("id").alias("__gone"))
+    return docs.join(kept(gone, "copies").hint("merge"), own.eqNullSafe(F.col("__gone")), "left_anti")
+
+
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The row with the least id of each component (least text hash among rows of one id), columns as they came.
 
     Ids and hashes are written and grouped; ``docs`` is read again to verify candidates and to meet the chosen ones.
     """
     own_id, own_hash = F.col(f"`{doc_id}`"), F.xxhash64(F.col(f"`{text}`"))
-    sketch = F.arrow_udf(_banded, "struct<fp:bigint,bands:array<bigint>>")(F.col(f"`{text}`").cast("binary"))
-    marked = kept(docs.select(own_id.alias("id"), own_hash.alias("hash"), sketch.alias("k")).select("id", "hash", "k.fp", "k.bands"), "sketches")
-    points = kept(marked.groupBy("fp").agg(F.min("id").alias("first_id"), F.min(F.struct("hash", "bands")).alias("k")).select("fp", "first_id", "k.*"), "points")
-    labels = named_components(points.select("fp", "first_id"), similar_links(docs, points, text))
     # Rows of one id and text are one unit, so that the rare repeated row is all that is left to thin out.
-    units = marked.groupBy("id", "hash", "fp").agg(F.count("*").alias("n")).join(labels, "fp")
-    key = F.struct(F.col("id").isNull().alias("none"), "id", "hash")
-    first = units.groupBy("component").agg(F.min(F.struct(key.alias("key"), "n")).alias("k"))
+    first = _grouped(docs, doc_id, text).groupBy("component").agg(F.min(F.struct(_first_key().alias("key"), "n")).alias("k"))
     chosen = kept(first.select(F.col("k.key.id").alias("__id"), F.col("k.key.hash").alias("__hash"), F.col("k.n").alias("__n")), "chosen")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), own_id.alias("__own"), own_hash.alias("__of"))
     same = F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__of") == F.col("__hash"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
+import corpus_pipeline  # noqa: E402
 from tallymill.llm import decontaminate, html, lines, mixing, neardup, pii, ppm, quality, rules, urls  # noqa: E402
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/es/a", "allow"),
@@ -261,6 +262,31 @@ def test_keep_one_links_at_jaccard_080(docs):
     assert got == set(label) and len(got) < 60
 
 
+def test_simhash_links_are_candidates(spark):
+    # Two texts four bits apart and one far off: the fingerprints alone link the first two, and equal ones their least text.
+    points = spark.createDataFrame([(5, 0b1111), (3, 0), (9, -1), (4, 0)], "fp long, sim long")
+    assert sorted(tuple(r) for r in neardup.close_pairs(points).collect()) == [(3, 4), (3, 5)]
+
+
+def test_near_copies_go_though_lines_were_cut(spark, docs, tmp_path):
+    # Line dedup leaves of a near copy only the sentences that differ; the stage knows it by its whole text.
+    r, rows = random.Random(41), []
+    for i in range(12):
+        sentences = [" ".join(f"w{r.randrange(10**6)}" for _ in range(12)) + "." for _ in range(12)]
+        copy = list(sentences)
+        copy[5] = copy[5].replace(" w", " other", 1)
+        rows += [(i, " ".join(sentences), "en", "a"), (100 + i, " ".join(copy), "en", "a")]
+    rows += [(100, " ".join(f"own{k}" for k in range(60)), "en", "a"), (None, rows[0][1], "en", "a"), rows[2]]
+    docs(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    whole = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    cut = corpus_pipeline.kept(corpus_pipeline.line_dedup(spark, whole, str(tmp_path)), "cut")
+    assert sum(x["doc_id"] is not None and x["doc_id"] >= 101 for x in cut.select("doc_id").collect()) == 11
+    got = corpus_pipeline.near_dedup(spark, cut, str(tmp_path))
+    assert got.columns == whole.columns
+    # Of id 100 one text is no copy, so that the id stays.
+    assert {x["doc_id"] for x in got.collect()} == {*range(12), 100}
+
+
 # --- decontamination
 
 @pytest.mark.parametrize("block_pairs", [400_000, 7])
