@@ -16,16 +16,25 @@ def r6(*columns):
 
 
 PARTS = 4
+FILE_ROWS = 200_000
 
 
 def event_stream(t):
-    """The events as a stream of ``PARTS`` micro-batches: slices of the id range, written one after the other so that they arrive in order."""
+    """The events as a stream of ``PARTS`` micro-batches: slices of the id range, written one after the other so that they arrive in order.
+
+    A slice has as many files as the smallest one fills, so that large slices are written and read by many tasks and a
+    micro-batch is still one whole slice.
+    """
     folder = scratch_path(t.spark, "events")
     end = t.events.agg(F.max("event_id")).first()[0] or 0
     part = F.floor(F.col("event_id") * PARTS / (end + 1))
+    sizes = {r["part"]: r["count"] for r in t.events.groupBy(part.alias("part")).count().collect()}
+    files = max(1, min(sizes.get(k, 0) for k in range(PARTS)) // FILE_ROWS)
     for k in range(PARTS):
-        t.events.where(part == k).coalesce(1).write.mode("append").parquet(folder)
-    return parquet_stream(t.spark, folder, t.events.schema, files_per_trigger=1)
+        rows = t.events.where(part == k)
+        rows = rows.coalesce(1) if files == 1 else rows.repartition(files)
+        rows.write.mode("append").parquet(folder)
+    return parquet_stream(t.spark, folder, t.events.schema, files_per_trigger=files)
 
 
 def notices(events):

@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallymill.operators.mixing import four_groups
+from tallymill.queries import stream_queries
 from tallymill.streaming import meters, sampling, sync
-from tallymill.streaming.tables import drain, parquet_stream, read_between, read_version
+from tallymill.streaming.tables import drain, parquet_stream, read_between, read_version, run_batches
+from tallymill.tables import Tables
 
 
 @pytest.fixture
@@ -97,6 +99,18 @@ def test_groups_of_four_across_batches_equal_the_batch(spark, feed, tmp_path):
     assert key(got) == key(want)
 
 
+@pytest.mark.parametrize("ids, files", [(range(400), 12), ([*range(399), 10**6], 2)])
+def test_slices_of_events_have_many_files(spark, tmp_path, monkeypatch, ids, files):
+    # Each micro-batch is one whole slice; where a slice holds little, all are one file, as before (two of them empty).
+    monkeypatch.setattr(stream_queries, "FILE_ROWS", 30)
+    spark.createDataFrame([(i, "t") for i in ids], "event_id long, event_type string").repartition(5).write.parquet(str(tmp_path / "events.parquet"))
+    seen = []
+    stream = stream_queries.event_stream(Tables(spark, str(tmp_path)))
+    drain(run_batches(stream, lambda rows, k: seen.append((rows.select(F.input_file_name()).distinct().count(), sorted(r["event_id"] for r in rows.collect()))), str(tmp_path / "check"), keep=False))
+    got = [x for _, part in seen for x in part]
+    assert got == sorted(ids) and len(seen) == 4 and sum(n for n, _ in seen) == files
+
+
 def test_history_is_written_once(spark, feed, tmp_path):
     schema = "run_id string, step int, loss double"
     root = str(tmp_path / "h")
