@@ -15,8 +15,14 @@ work stays in proportion to the members.
 ``keep_one``, the corpus stage, has its own rule: texts link if the Jaccard similarity of their sets of 5-word shingles is
 0.8 or more. Candidates are first the SimHash links above (of 5-word shingles, at four bits), and then, as a pair at 0.8
 differs in some ten bits, texts that share one of 20 bands of five minimum hashes, which a pair at 0.8 does in all but 4 of
-10,000 cases. All candidates are verified by their whole sets: first each bucket's members with its least one, then all pairs of
-a bucket that the links found so far leave in different components, so a bucket of near copies costs about its members.
+10,000 cases. All candidates are verified by their whole sets: first each bucket's members with its least one, then pairs of a
+bucket that the links found so far leave in different components. Up to ``PAIRED`` members that is all pairs. A larger bucket may
+hold a crowd of copies of one text, each with too many changes of its own to link to the others. There the most typical member,
+the one with the least share of shingles of its own, is compared with all, and what is left is met by prefixes (Chaudhuri et al.,
+2006; Xiao et al., 2008): shingles are ordered from the rarest on, without those of a single set, which no pair shares, and two
+similar sets share one of their first few. A copy with more shingles of its own than a link allows has no such prefix and meets
+nobody. Prefixes are the shorter the closer the sizes are, so that they are met by classes of sizes. Nothing that links is lost;
+what still costs more than its members is a crowd whose changes are common to many of them and which lies just under the limit.
 
 ``drop_copies`` goes before it where passages were cut out of the texts: it drops documents whose whole text, as it came, is
 a near copy of that of an earlier document which is still there. Rows meet whole texts by id; an id with several texts is
@@ -48,6 +54,9 @@ BUCKET = 4096
 STAGE_SHINGLE = 5
 MIN_PERCENT = 80
 BANDS, BAND_ROWS = 20, 5
+# Buckets of more members are not paired but joined by rare shingles, in classes of sizes about a fiftieth apart.
+PAIRED = 16
+CLASSES = 50
 FACTORS = np.random.default_rng(SEED).integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -244,13 +253,71 @@ def similar_links(docs: DataFrame, points: DataFrame, text: str) -> DataFrame:
         return kept(both.where(F.arrow_udf(_similar, "boolean")("s_a", "s_b")).select("a", "b"), "links")
 
     first = verified(stars)
-    labels = components(first)
+    left = still_apart(met, first)
+    sizes = kept(left.groupBy("key").agg(F.count("*").alias("n")), "bucket-sizes")
+    few, many = (left.join(sizes.where(c).hint("merge"), "key", "left_semi") for c in (F.col("n") <= PAIRED, F.col("n") > PAIRED))
+    one, other = (few.select("key", F.col("fp").alias(c), F.col("part").alias(f"part_{c}")) for c in "ab")
+    pairs = one.join(other.hint("merge"), "key").where("a < b AND part_a <> part_b").select("a", "b")
+    if sizes.where(F.col("n") > PAIRED).isEmpty():
+        return first.unionByName(verified(pairs.distinct().join(stars.hint("merge"), ["a", "b"], "left_anti")))
+    ordered = kept(rare_first(many.select("fp").distinct(), sets), "rare-first")
+    asked = kept(pairs.unionByName(centre_pairs(many, ordered)).distinct().join(stars.hint("merge"), ["a", "b"], "left_anti"), "candidates")
+    second = first.unionByName(verified(asked))
+    rest = rare_pairs(still_apart(many.select("key", "fp"), second), ordered)
+    return second.unionByName(verified(rest.join(stars.unionByName(asked).hint("merge"), ["a", "b"], "left_anti")))
+
+
+def still_apart(met: DataFrame, found: DataFrame) -> DataFrame:
+    """``(key, fp, part)``: members of buckets (``key``, ``fp``) that the links ``found`` leave in several components, and their own one."""
+    labels = components(found)
     placed = kept(met.join(labels.hint("merge"), met["fp"] == labels["node"], "left").select("key", "fp", F.coalesce("label", "fp").alias("part")), "placed")
     apart = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
-    left = kept(placed.join(apart.hint("merge"), "key", "left_semi"), "apart")
-    one, other = left.select("key", F.col("fp").alias("a"), F.col("part").alias("p")), left.select("key", F.col("fp").alias("b"), F.col("part").alias("q"))
-    rest = one.join(other.hint("merge"), "key").where("a < b AND p <> q").select("a", "b").distinct().join(stars.hint("merge"), ["a", "b"], "left_anti")
-    return first.unionByName(verified(rest))
+    return kept(placed.join(apart.hint("merge"), "key", "left_semi"), "apart")
+
+
+def rare_first(points: DataFrame, sets: DataFrame) -> DataFrame:
+    """``points`` (``fp``) with the ``size`` of their set, its ``class``, and ``rare``, the shingles that another one's set holds too,
+    the rarest first."""
+    wanted = kept(sets.join(points.hint("merge"), "fp", "left_semi").select("fp", "s", F.size("s").alias("size")), "crowded-sets")
+    flat = wanted.select("fp", F.explode("s").alias("shingle"))
+    shared = flat.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    found = flat.join(shared.hint("merge"), "shingle").groupBy("fp").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("r"))
+    size_class = F.floor(F.log(F.col("size").cast("double")) * CLASSES)
+    return wanted.join(found.hint("merge"), "fp").select("fp", "size", size_class.alias("class"), F.col("r.shingle").alias("rare"))
+
+
+def centre_pairs(members: DataFrame, ordered: DataFrame) -> DataFrame:
+    """``(a, b)``, ``a < b``: each of ``members`` with the one of its bucket that has the least share of shingles of its own, as the
+    text that all others were made from."""
+    shares = members.join(ordered.select("fp", (F.size("rare") / F.col("size")).alias("share")).hint("merge"), "fp")
+    centre = shares.groupBy("key").agg(F.max(F.struct("share", "fp", "part")).alias("c")).select("key", F.col("c.fp").alias("centre"), F.col("c.part").alias("its"))
+    other = members.join(centre.hint("merge"), "key").where("part <> its")
+    return other.select(F.least("fp", "centre").alias("a"), F.greatest("fp", "centre").alias("b"))
+
+
+def rare_pairs(members: DataFrame, ordered: DataFrame) -> DataFrame:
+    """``(a, b)``, ``a < b``: pairs of different parts that hold all similar ones of a bucket, among ``members`` (``key``, ``fp``, ``part``)
+    with their sets as ``rare_first`` orders them."""
+    # The sizes that a set meets in its buckets: by class, the least one.
+    sized = members.join(ordered.select("fp", "size", "class").hint("merge"), "fp").select("key", "fp", F.col("class").alias("own"), "size")
+    met = sized.groupBy("key", F.col("own").alias("class")).agg(F.min("size").alias("low"))
+    mates = sized.join(met.hint("merge"), "key").where("class <= own").groupBy("fp", "class").agg(F.min("low").alias("low"))
+    # Sets of this size or more that are similar share at least that many shingles, so one of the first ``length``.
+    low = F.greatest("low", F.ceil(F.col("size") * MIN_PERCENT / 100))
+    length = F.size("rare") - F.ceil(MIN_PERCENT * (F.col("size") + low) / (100 + MIN_PERCENT)) + 1
+    begun = ordered.withColumnRenamed("class", "own").join(members.select("fp", "part").distinct().hint("merge"), "fp").join(mates.hint("merge"), "fp")
+    begun = begun.withColumn("length", length.cast("int")).where("length > 0").withColumn("n", F.size("rare"))
+    heads = begun.select("fp", "part", "size", "own", "class", "n", F.posexplode(F.slice("rare", 1, F.col("length"))).alias("at", "shingle"))
+    heads = kept(heads.withColumn("rest", F.col("n") - F.col("at")).drop("n", "at"), "prefixes")
+    mixed = heads.groupBy("shingle", "class").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most").select("shingle", "class")
+    heads = heads.join(mixed.hint("merge"), ["shingle", "class"], "left_semi")
+    # A set meets those of its own class and of smaller ones.
+    a, b = (df.select("shingle", "class", F.col("own").alias(f"own_{c}"), *[F.col(x).alias(f"{x}_{c}") for x in ("fp", "part", "size", "rest")])
+            for df, c in ((heads, "a"), (heads.where("own = class"), "b")))
+    enough = (100 + MIN_PERCENT) * F.least("rest_a", "rest_b") >= MIN_PERCENT * (F.col("size_a") + F.col("size_b"))
+    once = (F.col("own_a") > F.col("own_b")) | (F.col("fp_a") < F.col("fp_b"))
+    close = a.join(b.hint("merge"), ["shingle", "class"]).where((F.col("part_a") != F.col("part_b")) & once & enough)
+    return close.select(F.least("fp_a", "fp_b").alias("a"), F.greatest("fp_a", "fp_b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

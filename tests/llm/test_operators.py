@@ -262,6 +262,54 @@ def test_keep_one_links_at_jaccard_080(docs):
     assert got == set(label) and len(got) < 60
 
 
+def crowd(r, n, changes, fresh):
+    """Copies of one text of 150 words with some words changed, each into one of ``fresh`` others."""
+    base = [f"t{k}" for k in range(150)]
+    texts = []
+    for _ in range(n):
+        words = list(base)
+        for at in r.sample(range(150), r.choice(changes)):
+            words[at] = f"x{r.randrange(fresh)}"
+        texts.append(" ".join(words[:150 - r.randrange(12)]))
+    return texts
+
+
+def jaccard_labels(texts):
+    sets = [{tuple(w[k:k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    label = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    return label
+
+
+@pytest.mark.parametrize("changes, fresh", [((1, 2, 3, 4, 5, 6), 3), ((2, 3, 4), 10**6), ((3, 4, 5), 2)])
+def test_keep_one_in_a_crowd_loses_no_link(monkeypatch, docs, changes, fresh):
+    monkeypatch.setattr(neardup, "PAIRED", 2)
+    texts = crowd(random.Random(43), 150, changes, fresh)
+    label = jaccard_labels(texts)
+    got = {r["doc_id"] for r in neardup.keep_one(docs([(i, t, "en", "a") for i, t in enumerate(texts)])).collect()}
+    assert got == set(label) and len(got) > 1
+
+
+def test_a_crowd_is_not_compared_pair_by_pair(monkeypatch, docs, tmp_path):
+    # Copies of one text that link to it or to none: 400 have some 50,000 pairs in different components.
+    counted, similar = str(tmp_path), neardup._similar
+
+    def counting(left, right):
+        with open(f"{counted}/{os.getpid()}", "a") as f:
+            f.write(f"{len(left)}\n")
+        return similar(left, right)
+
+    monkeypatch.setattr(neardup, "_similar", counting)
+    texts = crowd(random.Random(47), 400, (0, 1, 4, 5), 10**9)
+    neardup.keep_one(docs([(i, t, "en", "a") for i, t in enumerate(texts)])).collect()
+    compared = sum(int(x) for name in os.listdir(counted) for x in open(f"{counted}/{name}"))
+    assert 0 < compared < 20 * len(texts)
+
+
 def test_simhash_links_are_candidates(spark):
     # Two texts four bits apart and one far off: the fingerprints alone link the first two, and equal ones their least text.
     points = spark.createDataFrame([(5, 0b1111), (3, 0), (9, -1), (4, 0)], "fp long, sim long")
