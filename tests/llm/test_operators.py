@@ -168,6 +168,22 @@ def test_line_dedup_chunks_of_short_units(spark, docs):
     assert [x for x in rows[1][1].split("\n") if x not in block] == [x for x in got[1]["text"].split("\n") if x not in block]
 
 
+@settings(max_examples=20, deadline=None)
+@given(st.lists(st.text(alphabet="a \n.!?\t\r\u00e9", max_size=40), min_size=30, max_size=60))
+def test_units_end_at_lines_and_sentences(spark, texts):
+    ends = re.compile(r"(?<=\n)(?!\n)|(?<=[.!?] )")
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select("text", lines.units_of(F.col("text")))
+    assert all(units == [s for s in ends.split(t) if s] for t, units in collected(df))
+
+
+def test_a_text_is_cut_once_for_the_comparison(spark, docs, capsys):
+    # Looking behind every character took most of the time of cutting, and units were trimmed three times over.
+    df = docs([(1, "One line.\nAnother one. And more.", "en", "a")])
+    lines.pieces(df, "doc_id", "text", 0).explain("extended")
+    plan = capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    assert "(?<" not in plan and plan.count("trim(BOTH") + plan.count("btrim") <= 1
+
+
 def test_line_dedup_compares_bytes(monkeypatch, docs):
     # Under the first seed all units of one length hash alike: nothing may be cut by that.
     r = random.Random(37)
