@@ -247,7 +247,7 @@ def similar_links(docs: DataFrame, points: DataFrame, text: str) -> DataFrame:
     texts = docs.select(F.xxhash64(value).alias("hash"), value.cast("binary").alias("text")).join(wanted.hint("merge"), "hash")
     sets = kept(texts.select("fp", F.arrow_udf(_shingle_sets, "array<bigint>")("text").alias("s")).dropDuplicates(["fp"]), "shingle-sets")
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame, sets: DataFrame = sets) -> DataFrame:
         left, right = (sets.select(F.col("fp").alias(c), F.col("s").alias(f"s_{c}")) for c in "ab")
         both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
         return kept(both.where(F.arrow_udf(_similar, "boolean")("s_a", "s_b")).select("a", "b"), "links")
@@ -260,11 +260,12 @@ def similar_links(docs: DataFrame, points: DataFrame, text: str) -> DataFrame:
     pairs = one.join(other.hint("merge"), "key").where("a < b AND part_a <> part_b").select("a", "b")
     if sizes.where(F.col("n") > PAIRED).isEmpty():
         return first.unionByName(verified(pairs.distinct().join(stars.hint("merge"), ["a", "b"], "left_anti")))
-    ordered = kept(rare_first(many.select("fp").distinct(), sets), "rare-first")
+    crowded = kept(sets.join(many.select("fp").distinct().hint("merge"), "fp", "left_semi"), "crowded-sets")
+    ordered = kept(rare_first(crowded), "rare-first")
     asked = kept(pairs.unionByName(centre_pairs(many, ordered)).distinct().join(stars.hint("merge"), ["a", "b"], "left_anti"), "candidates")
     second = first.unionByName(verified(asked))
     rest = rare_pairs(still_apart(many.select("key", "fp"), second), ordered)
-    return second.unionByName(verified(rest.join(stars.unionByName(asked).hint("merge"), ["a", "b"], "left_anti")))
+    return second.unionByName(verified(rest.join(stars.unionByName(asked).hint("merge"), ["a", "b"], "left_anti"), crowded))
 
 
 def still_apart(met: DataFrame, found: DataFrame) -> DataFrame:
@@ -275,15 +276,15 @@ def still_apart(met: DataFrame, found: DataFrame) -> DataFrame:
     return kept(placed.join(apart.hint("merge"), "key", "left_semi"), "apart")
 
 
-def rare_first(points: DataFrame, sets: DataFrame) -> DataFrame:
-    """``points`` (``fp``) with the ``size`` of their set, its ``class``, and ``rare``, the shingles that another one's set holds too,
+def rare_first(sets: DataFrame) -> DataFrame:
+    """``(fp, size, class, rare)`` of the ``sets`` (``fp``, ``s``): their size and its class, and the shingles that another one holds too,
     the rarest first."""
-    wanted = kept(sets.join(points.hint("merge"), "fp", "left_semi").select("fp", "s", F.size("s").alias("size")), "crowded-sets")
-    flat = wanted.select("fp", F.explode("s").alias("shingle"))
+    flat = sets.select("fp", F.explode("s").alias("shingle"))
     shared = flat.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
     found = flat.join(shared.hint("merge"), "shingle").groupBy("fp").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("r"))
     size_class = F.floor(F.log(F.col("size").cast("double")) * CLASSES)
-    return wanted.join(found.hint("merge"), "fp").select("fp", "size", size_class.alias("class"), F.col("r.shingle").alias("rare"))
+    sized = sets.select("fp", F.size("s").alias("size")).join(found.hint("merge"), "fp")
+    return sized.select("fp", "size", size_class.alias("class"), F.col("r.shingle").alias("rare"))
 
 
 def centre_pairs(members: DataFrame, ordered: DataFrame) -> DataFrame:
