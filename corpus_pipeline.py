@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallymill.llm import decontaminate, lines, mixing, neardup, rules
-from tallymill.llm.common import kept
+from tallymill.llm.common import kept, kept_alone
 from tallymill.llm.targets import MIX_SEED, MIX_WEIGHTS, mix_domain
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -54,5 +54,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = kept(stage(spark, docs, sf_dir), name)
+        docs = kept_alone(lambda: stage(spark, docs, sf_dir), name)
     return docs

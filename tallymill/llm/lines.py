@@ -28,7 +28,7 @@ from itertools import count
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallymill.llm.common import SPACES, bound, kept, without
+from tallymill.llm.common import SPACES, bound, kept, kept_alone, without
 
 MIN_CHARS = 40
 LONG = 200
@@ -132,7 +132,7 @@ def remove_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     base = without(docs, "n_removed", "chars_removed")
     same = F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")) & (F.xxhash64(value) == F.col("__hash"))
     for seed in count():
-        places = kept(repeated_places(docs, doc_id, text, seed), "places").withColumnsRenamed({"id": "__id", "hash": "__hash", "places": "__places", "cited": "__cited"})
+        places = kept_alone(lambda: repeated_places(docs, doc_id, text, seed), "places").withColumnsRenamed({"id": "__id", "hash": "__hash", "places": "__places", "cited": "__cited"})
         # The table of places grows with the documents: joined by shuffle at every size, never broadcast.
         joined = kept(base.join(places.hint("merge"), same, "left").drop("__id", "__hash"), "placed")
         if not _differing(joined, text, seed):

@@ -44,7 +44,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallymill.llm.common import kept
+from tallymill.llm.common import kept, kept_alone
 
 SHINGLE = 4
 SEED = 42
@@ -345,14 +345,18 @@ def _first_key() -> Column:
 
 def drop_copies(docs: DataFrame, whole: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without those whose texts in ``whole`` are near copies of the text there of an earlier id in ``docs``."""
-    here = docs.select(F.col(f"`{doc_id}`").alias("__here")).distinct()
     own = F.col(f"`{doc_id}`")
-    present = whole.select(own, F.col(f"`{text}`")).join(here.hint("merge"), own.eqNullSafe(F.col("__here")), "left_semi")
-    units = kept(_grouped(kept(present, "whole"), doc_id, text), "units")
-    first = units.groupBy("component").agg(F.min(_first_key()).alias("first"))
-    later = ~F.col("id").eqNullSafe(F.col("first.id"))
-    gone = units.join(first.hint("merge"), "component").groupBy("id").agg(F.bool_and(later).alias("gone")).where("gone").select(F.col("id").alias("__gone"))
-    return docs.join(kept(gone, "copies").hint("merge"), own.eqNullSafe(F.col("__gone")), "left_anti")
+
+    def copies() -> DataFrame:
+        here = docs.select(own.alias("__here")).distinct()
+        present = whole.select(own, F.col(f"`{text}`")).join(here.hint("merge"), own.eqNullSafe(F.col("__here")), "left_semi")
+        units = kept(_grouped(kept(present, "whole"), doc_id, text), "units")
+        first = units.groupBy("component").agg(F.min(_first_key()).alias("first"))
+        later = ~F.col("id").eqNullSafe(F.col("first.id"))
+        gone = units.join(first.hint("merge"), "component").groupBy("id").agg(F.bool_and(later).alias("gone"))
+        return gone.where("gone").select(F.col("id").alias("__gone"))
+
+    return docs.join(kept_alone(copies, "copies").hint("merge"), own.eqNullSafe(F.col("__gone")), "left_anti")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -361,9 +365,13 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     Ids and hashes are written and grouped; ``docs`` is read again to verify candidates and to meet the chosen ones.
     """
     own_id, own_hash = F.col(f"`{doc_id}`"), F.xxhash64(F.col(f"`{text}`"))
-    # Rows of one id and text are one unit, so that the rare repeated row is all that is left to thin out.
-    first = _grouped(docs, doc_id, text).groupBy("component").agg(F.min(F.struct(_first_key().alias("key"), "n")).alias("k"))
-    chosen = kept(first.select(F.col("k.key.id").alias("__id"), F.col("k.key.hash").alias("__hash"), F.col("k.n").alias("__n")), "chosen")
+
+    def firsts() -> DataFrame:
+        # Rows of one id and text are one unit, so that the rare repeated row is all that is left to thin out.
+        first = _grouped(docs, doc_id, text).groupBy("component").agg(F.min(F.struct(_first_key().alias("key"), "n")).alias("k"))
+        return first.select(F.col("k.key.id").alias("__id"), F.col("k.key.hash").alias("__hash"), F.col("k.n").alias("__n"))
+
+    chosen = kept_alone(firsts, "chosen")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), own_id.alias("__own"), own_hash.alias("__of"))
     same = F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__of") == F.col("__hash"))
     single = rows.join(chosen.where("__n = 1"), same, "left_semi").select("__row.*")

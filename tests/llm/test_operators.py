@@ -7,6 +7,7 @@ import os
 import random
 import re
 import sys
+import time
 
 import numpy as np
 import pytest
@@ -326,6 +327,41 @@ def test_a_crowd_is_not_compared_pair_by_pair(monkeypatch, docs, tmp_path):
     assert 0 < compared < 20 * len(texts)
 
 
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {str(files.apply(k).getName()) for k in range(files.size()) if str(files.apply(k).getName()).startswith("shuffle_")}
+
+
+def test_tables_on_the_way_go(spark, monkeypatch, docs):
+    # What a result still reads stays, and it can be read again; the rest goes as soon as nothing reads it.
+    monkeypatch.setattr(neardup, "PAIRED", 2)
+    texts = crowd(random.Random(53), 60, (2, 3, 4), 10**6)
+    rows, shared, found = docs([(i, t, "en", "a") for i, t in enumerate(texts)]), spark.conf.get("spark.checkpoint.dir"), {}
+    for name, step in (("one", neardup.keep_one), ("copies", lambda d: neardup.drop_copies(d, d)), ("lines", lines.keep_remaining)):
+        there = set(os.listdir(shared))
+        result = step(rows)
+        first = sorted(r["doc_id"] for r in result.collect())
+        assert first == sorted(r["doc_id"] for r in result.collect())
+        found[name] = first, sorted(x.rsplit("-", 1)[0] for x in set(os.listdir(shared)) - there)
+    label = sorted(set(jaccard_labels(texts)))
+    assert found["one"] == (label, ["chosen"]) and found["copies"] == (label, ["copies"])
+    assert found["lines"][1] == ["placed", "places"]
+
+
+def test_shuffle_files_go_with_the_write(spark):
+    from tallymill.llm.common import CLEANUP, kept
+
+    setting, there = spark.conf.get(CLEANUP, None), shuffle_files(spark)
+    sums = spark.range(50_000).groupBy((F.col("id") % 999).alias("k")).agg(F.sum("id").alias("s"))
+    out = kept(sums, "sums")
+    ends = time.time() + 20
+    while (left := shuffle_files(spark) - there) and time.time() < ends:
+        time.sleep(0.2)
+    assert not left and spark.conf.get(CLEANUP, None) == setting
+    # The same frame written and read once more gives the same rows.
+    assert sorted(collected(out)) == sorted(collected(sums)) == sorted(collected(kept(sums, "sums")))
+
+
 def test_simhash_links_are_candidates(spark):
     # Two texts four bits apart and one far off: the fingerprints alone link the first two, and equal ones their least text.
     points = spark.createDataFrame([(5, 0b1111), (3, 0), (9, -1), (4, 0)], "fp long, sim long")
