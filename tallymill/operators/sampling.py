@@ -286,8 +286,9 @@ def shard_assign(df: DataFrame, key: str, n: int, mode: str) -> DataFrame:
     total = df.count()
     if mode == "strided":
         padding = -total % n
-        copies = rows.where(F.col("_i") < padding).withColumn("_i", F.col("_i") + total).withColumn("padding", F.lit(True))
-        both = rows.withColumn("padding", F.lit(False)).unionByName(copies)
+        # The copies come from the same pass as the rows.
+        both = rows.withColumn("padding", F.explode(F.when(F.col("_i") < padding, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+        both = both.withColumn("_i", F.col("_i") + F.when(F.col("padding"), total).otherwise(0))
         return both.withColumns({"shard": F.col("_i") % n, "seq": F.floor(F.col("_i") / n)}).drop("_i")
     if mode == "contiguous":
         edge = lambda s: F.bround(s * F.lit(float(total)) / n, 0)

@@ -85,6 +85,23 @@ def test_cells_by_joined_bounds_stay_small(spark, skewed, small_cells, monkeypat
     assert cut and len(sizes) > 100 and max(sizes) <= 12
 
 
+@pytest.mark.parametrize("bounds", [0, 1, 2, 3, 7, 8, 100])
+def test_cells_count_the_bounds_below(spark, bounds):
+    from tallymill.plans.indexing import CELL, _with_bucket
+
+    held = F.array(*[F.lit(10 * i) for i in range(bounds)]).cast("array<bigint>")
+    got = {r["id"]: r[CELL] for r in _with_bucket(spark.range(-5, 1010), held, bounds, F.col("id")).collect()}
+    assert got == {i: sum(10 * b <= i for b in range(bounds)) for i in range(-5, 1010)}
+
+
+def test_cells_are_found_by_compiled_code(spark, skewed, small_cells):
+    """No expression over the bounds that Spark can only interpret, row by row."""
+    for keys in ([], ["k"]):
+        tagged, cut = with_cells(skewed, keys, by_number(F.col("id")))
+        plan = tagged._jdf.queryExecution().optimizedPlan().toString()
+        assert cut and "lambda" not in plan
+
+
 def test_hot_groups_are_cut_and_others_are_not(spark, skewed):
     spark.conf.set("tallymill.cell.rows", "100")
     try:

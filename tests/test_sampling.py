@@ -304,6 +304,16 @@ def test_shard_assignment(spark, cells, rows, n):
     assert even == want
 
 
+@pytest.mark.parametrize("rows,n", [(10, 3), (7, 7), (100, 8), (5, 8)])
+def test_strided_copies_come_from_one_pass(spark, cells, rows, n):
+    df = spark.range(rows)
+    strided = D.shard_assign(df, "id", n, "strided")
+    padding = [i for i in range(rows) if i < -rows % n]
+    assert sorted((r["id"], r["shard"], r["seq"], r["padding"]) for r in strided.collect()) == sorted(
+        [(i, i % n, i // n, False) for i in range(rows)] + [(i, (i + rows) % n, (i + rows) // n, True) for i in padding])
+    assert "Union" not in strided._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("repeats", [1, 3, 1.5, 2.25])
 def test_repeat_sampler_equals_the_list(spark, cells, repeats):
     import math
